@@ -16,3 +16,14 @@ def register(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"kosha.plans.{name}")
+
+
+MODULES = ("series_queries",)
