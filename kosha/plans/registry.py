@@ -26,4 +26,4 @@ def load() -> None:
         importlib.import_module(f"kosha.plans.{name}")
 
 
-MODULES = ("series_queries", "technical_queries", "factor_queries", "catalog_queries", "finance_queries")
+MODULES = ("series_queries", "technical_queries", "factor_queries", "catalog_queries", "finance_queries", "ops_queries")
