@@ -13,9 +13,12 @@ def price_at(y: Column, coupon: Column, n: Column, first: Column, freq: Column)
 
 
 def schedule(bonds: DataFrame) -> DataFrame:
-    """Adds years to maturity, periods left (n), the first of them (a fraction of a period) and accrued interest."""
+    """Adds years to maturity, periods left (n), the first of them (a fraction of a period) and accrued interest.
+
+    Up to a fiftieth of a period over a whole number is a leap day, not one more coupon.
+    """
     years = F.datediff("maturity", "settle") / 365.25
-    out = bonds.withColumn("years", years).withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("years") * F.col("freq") - 1e-9)).cast("int"))
+    out = bonds.withColumn("years", years).withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("years") * F.col("freq") - 0.02)).cast("int"))
     out = out.withColumn("first", F.col("years") * F.col("freq") - (F.col("n") - 1))
     return out.withColumn("accrued", F.col("coupon") / F.col("freq") * (1 - F.col("first")))
 

@@ -75,7 +75,7 @@ def f10(spark, sf):
     return _r(L.xirr(fl, "portfolio_id", 60))
 
 
-_SCH = f"{BO}, b1 AS (SELECT *, date_diff('day', settle, maturity) / 365.25 AS years FROM bonds), b2 AS (SELECT *, greatest(1, CAST(ceil(years * freq - 1e-9) AS INTEGER)) AS n FROM b1), b3 AS (SELECT *, years * freq - (n - 1) AS first FROM b2), sch AS (SELECT *, coupon / freq * (1 - first) AS accrued FROM b3)"
+_SCH = f"{BO}, b1 AS (SELECT *, date_diff('day', settle, maturity) / 365.25 AS years FROM bonds), b2 AS (SELECT *, greatest(1, CAST(ceil(years * freq - 0.02) AS INTEGER)) AS n FROM b1), b3 AS (SELECT *, years * freq - (n - 1) AS first FROM b2), sch AS (SELECT *, coupon / freq * (1 - first) AS accrued FROM b3)"
 
 
 def _pv(y):
