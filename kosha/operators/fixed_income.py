@@ -20,7 +20,7 @@ def schedule(bonds: DataFrame) -> DataFrame:
     years = F.datediff("maturity", "settle") / 365.25
     out = bonds.withColumn("years", years).withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("years") * F.col("freq") - 0.02)).cast("int"))
     out = out.withColumn("first", F.col("years") * F.col("freq") - (F.col("n") - 1))
-    return out.withColumn("accrued", F.col("coupon") / F.col("freq") * (1 - F.col("first")))
+    return out.withColumn("accrued", F.greatest(F.lit(0.0), F.col("coupon") / F.col("freq") * (1 - F.col("first"))))
 
 
 def bisect(f, low: float, high: float, steps: int = 100) -> Column:

@@ -75,7 +75,7 @@ def f10(spark, sf):
     return _r(L.xirr(fl, "portfolio_id", 60))
 
 
-_SCH = f"{BO}, b1 AS (SELECT *, date_diff('day', settle, maturity) / 365.25 AS years FROM bonds), b2 AS (SELECT *, greatest(1, CAST(ceil(years * freq - 0.02) AS INTEGER)) AS n FROM b1), b3 AS (SELECT *, years * freq - (n - 1) AS first FROM b2), sch AS (SELECT *, coupon / freq * (1 - first) AS accrued FROM b3)"
+_SCH = f"{BO}, b1 AS (SELECT *, date_diff('day', settle, maturity) / 365.25 AS years FROM bonds), b2 AS (SELECT *, greatest(1, CAST(ceil(years * freq - 0.02) AS INTEGER)) AS n FROM b1), b3 AS (SELECT *, years * freq - (n - 1) AS first FROM b2), sch AS (SELECT *, greatest(0.0, coupon / freq * (1 - first)) AS accrued FROM b3)"
 
 
 def _pv(y):
@@ -87,7 +87,7 @@ SELECT isin, i + 1, CASE WHEN {_pv('((lo + hi) / 2)')} > price + accrued THEN (l
 yt AS (SELECT sch.*, CASE WHEN coupon = 0 THEN CASE WHEN price < 100 THEN power(100 / price, 1 / years) - 1 END ELSE (lo + hi) / 2 END AS ytm FROM sch LEFT JOIN yb ON yb.isin = sch.isin AND i = 60)"""
 
 
-@register("k01_present_value", f"WITH {_SCH} SELECT isin, n, round(first, 6) AS first, round(accrued, 6) AS accrued, round({_pv('0.07')}, 6) AS price7 FROM sch")
+@register("k01_present_value", f"WITH {_SCH} SELECT isin, n, round(first, 6) AS first, round(accrued, 6) + 0.0 AS accrued, round({_pv('0.07')}, 6) AS price7 FROM sch")
 def k01(spark, sf):
     b = K.schedule(D.bonds(spark, sf))
     return _r(b.select("isin", "n", "first", "accrued", K.price_at(F.lit(0.07), F.col("coupon"), F.col("n"), F.col("first"), F.col("freq")).alias("price7")), 6)
