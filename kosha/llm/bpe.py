@@ -3,8 +3,8 @@
 A merge can only join two symbols if their concatenation is a vocabulary token,
 so two neighbouring bytes that stand side by side inside no token always end up
 in different tokens.  Words are cut there; the fragments are encoded on their own
-and their ids concatenated.  Fragments are far fewer and shorter than words, so
-a bounded memo of them serves most of a corpus.
+and their ids concatenated.  The fragments of many words are encoded together;
+a bounded memo of words serves the frequent ones.
 
 Vocabularies are files in the public `tokenizers` JSON format with word ends
 (`end_of_word_suffix`), byte-level symbols and NFC, white-space and lower-case
@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MEMO = 200_000  # most entries of a worker's memo of words; a full one is emptied
-MEMO_LENGTH = 64  # longer words are encoded each time
+MEMO = 300_000  # most entries of a worker's memo of words; a full one is emptied
+LONG = 32  # bytes; longer words are encoded one by one and not kept
+CHUNK = 1_000_000  # characters of texts that are encoded together
+NO_RANK = np.int32(2**31 - 1)
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -36,22 +38,6 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Memo(dict):
-    """A dict that computes what it lacks, keeps it for short keys and is emptied when full."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= MEMO_LENGTH:
-            if len(self) >= MEMO:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Codec:
     """Encoder and decoder for one vocabulary, equal to the library's; special tokens in a text are their ids."""
 
@@ -61,7 +47,7 @@ class Codec:
             raise ValueError("only deterministic BPE vocabularies with word ends and no decoder are read")
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.symbols = _byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -73,7 +59,8 @@ class Codec:
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in pre if p["type"] == "Split"))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.inside = self._pairs_inside()
-        self.word = _Memo(lambda piece: np.array(self.word_ids(piece), dtype=np.int32).tobytes())
+        self.memo: dict[str, bytes] = {}
+        self._tables(merges)
 
     def _step(self, p: dict):
         if p["type"] == "NFC":
@@ -125,20 +112,118 @@ class Codec:
         fragments = self.cut("".join(map(self.symbols.__getitem__, piece.encode())))
         return [i for k, f in enumerate(fragments) for i in self.merge(f, k == len(fragments) - 1)]
 
-    def _plain(self, text: str) -> bytes:
-        for step in self.steps:
-            text = step(text)
-        return b"".join(map(self.word.__getitem__, self.pattern.findall(text)))
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text as int32."""
-        if not self.specials or not (hits := list(self.specials.finditer(text))):
-            return np.frombuffer(self._plain(text), dtype=np.int32)
+    def _tables(self, merges) -> None:
+        """Arrays for encoding many words at once: ids of bytes, byte pairs inside tokens, ranks and results of merges."""
+        plain = [self.symbols[b] for b in range(256)]
+        self.byte_id = np.array([self.vocab[x] for x in plain], dtype=np.int32)
+        self.last_id = np.array([self.vocab[x + self.suffix] for x in plain], dtype=np.int32)
+        self.byte_pairs = np.array([[a + b in self.inside for b in plain] for a in plain])
+        keys = np.array([(self.vocab[a] << 32) + self.vocab[b] for a, b in merges], dtype=np.int64)
+        self.result = np.array([self.vocab[a + b] for a, b in merges], dtype=np.int32)
+        self.by_key = np.argsort(keys)
+        self.keys = keys[self.by_key]
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a.astype(np.int64) << 32) + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.by_key[at], NO_RANK).astype(np.int32)
+
+    def _merge_rows(self, rows: np.ndarray) -> np.ndarray:
+        """merge() for many fragments at once: a row of ids each, -1 behind the last; every step joins the best pair of each row."""
+        rows, todo = rows.copy(), np.arange(len(rows))
+        now, width = rows, rows.shape[1]
+        ranks = self._rank(now[:, :-1], now[:, 1:])
+        columns = np.arange(width - 1)
+        while len(todo):
+            j = ranks.argmin(1)
+            best = ranks[np.arange(len(j)), j]
+            live = best != NO_RANK
+            rows[todo[~live]] = now[~live]
+            todo, now, ranks, j, best = todo[live], now[live], ranks[live], j[live], best[live]
+            i = np.arange(len(j))
+            now[i, j] = self.result[best]
+            behind = columns + (columns > j[:, None])
+            now = np.concatenate((np.take_along_axis(now, behind, 1), np.full((len(i), 1), -1, np.int32)), 1)
+            ranks = np.concatenate((np.take_along_axis(ranks, behind[:, :-1], 1), np.full((len(i), 1), NO_RANK, np.int32)), 1)
+            ranks[i, j] = self._rank(now[i, j], now[i, np.minimum(j + 1, width - 1)])
+            left = j > 0
+            ranks[i[left], j[left] - 1] = self._rank(now[i[left], j[left] - 1], now[i[left], j[left]])
+        return rows
+
+    def _learn(self, words: list[str]) -> None:
+        """Put short words into the memo: cut all of them, encode the fragments together, concatenate."""
+        coded = [w.encode() for w in words]
+        size = np.array([len(c) for c in coded])
+        data = np.frombuffer(b"".join(coded), dtype=np.uint8)
+        first = np.zeros(len(data), dtype=bool)
+        first[np.cumsum(size) - size] = True
+        starts = np.flatnonzero(first | np.concatenate(([True], ~self.byte_pairs[data[:-1], data[1:]])))
+        ends = np.append(starts[1:], len(data))
+        ids = self.byte_id[data]
+        final = np.cumsum(size) - 1
+        ids[final] = self.last_id[data[final]]
+        out = np.full((len(starts), LONG), -1, dtype=np.int32)
+        length, low = ends - starts, 0
+        for width in (8, 16, LONG):
+            pick = np.flatnonzero((length > low) & (length <= width))
+            low = width
+            if len(pick):
+                place = starts[pick, None] + np.arange(width)
+                rows = np.where(place < ends[pick, None], ids[np.minimum(place, len(data) - 1)], -1)
+                out[pick, :width] = self._merge_rows(rows)
+        there = out >= 0
+        of_word = np.cumsum(first)[starts] - 1
+        stops = np.cumsum(np.bincount(of_word, there.sum(1), len(words)).astype(np.int64)) * 4
+        flat = out[there].tobytes()
+        if len(self.memo) + len(words) > MEMO:
+            self.memo.clear()
+        self.memo.update(zip(words, (flat[a:b] for a, b in zip(np.append(0, stops), stops, strict=False)), strict=True))
+
+    def _bytes(self, word: str) -> bytes:
+        """Ids of a word that the memo lacks."""
+        return np.array(self.word_ids(word), dtype=np.int32).tobytes()
+
+    def _parts(self, text: str) -> list[list[str] | int]:
+        """Words of the stretches between special tokens, and these as integers."""
         out, at = [], 0
-        for m in hits:
-            out += [self._plain(text[at : m.start()]), np.int32(self.special[m[0]]).tobytes()]
+        for m in self.specials.finditer(text) if self.specials else ():
+            out += [text[at : m.start()], self.special[m[0]]]
             at = m.end()
-        return np.frombuffer(b"".join([*out, self._plain(text[at:])]), dtype=np.int32)
+        found: list = []
+        for part in [*out, text[at:]]:
+            if isinstance(part, str):
+                for step in self.steps:
+                    part = step(part)
+                part = self.pattern.findall(part)
+            found.append(part)
+        return found
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts as int32 arrays; words new to the memo are encoded together."""
+        parts = [self._parts(t) for t in texts]
+        words = {w for found in parts for p in found if isinstance(p, list) for w in p}
+        new = [w for w in words if w not in self.memo]
+        short = [w for w in new if len(w) <= LONG and len(w.encode()) <= LONG]
+        if short:
+            self._learn(short)
+            new = [w for w in words if w not in self.memo]  # the memo may have been emptied
+        memo = self.memo if not new else {**{w: self.memo[w] for w in words if w in self.memo}, **{w: self._bytes(w) for w in new}}
+        get = memo.__getitem__
+        return [np.frombuffer(b"".join(np.int32(p).tobytes() if isinstance(p, int) else b"".join(map(get, p)) for p in found), dtype=np.int32) for found in parts]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
+
+    def encode_column(self, column) -> list[np.ndarray]:
+        """encode_many over an Arrow column, a few texts at a time; nulls count as empty."""
+        out, held, n = [], [], 0
+        for t in column:
+            held.append(t.as_py() or "")
+            n += len(held[-1])
+            if n >= CHUNK:
+                out += self.encode_many(held)
+                held, n = [], 0
+        return out + self.encode_many(held)
 
     def decode(self, ids: np.ndarray) -> str:
         """Token strings joined by spaces, as a vocabulary without a decoder gives them."""
@@ -169,8 +254,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
     def run(batches):
         codec = load(path)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            ids = [codec.encode(t.as_py() or "") for t in texts]
+            ids = codec.encode_column(batch.column(batch.schema.get_field_index(text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, _ids_array(ids)], names=schema.names)
 
     return rest.mapInArrow(run, schema)

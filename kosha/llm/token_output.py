@@ -69,7 +69,7 @@ def token_stream(docs: DataFrame, path: str, text_col: str, end: int = END) -> D
     def run(batches):
         codec, part, at = load(path), TaskContext.get().partitionId(), 0
         for b in batches:
-            got = [np.append(codec.encode(t.as_py() or ""), end).astype("<u2") for t in b.column(0)]
+            got = [np.append(x, end).astype("<u2") for x in codec.encode_column(b.column(0))]
             n = np.array([len(x) for x in got], dtype=np.int64)
             places = at + np.cumsum(n) - n
             at += int(n.sum())
