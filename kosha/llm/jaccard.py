@@ -6,13 +6,15 @@ sufficient similarity share an n-gram among their first few in that order (their
 prefixes), so only prefixes are indexed; an n-gram that no other indexed set has
 is left out.
 
-Groups of nodes under one n-gram are not paired.  First every node is compared
-with the least node of its groups, and what is linked becomes one class.  Only
-groups that still hold several classes are joined in full: their sets are stored
-in a radix tree, each set walks down the tree with the overlap counted so far,
-and subtrees are left where the remaining lengths cannot reach the bound or where
-all sets are of the walker's class already.  The result has every class that all
-links would give.
+Nodes that meet under some n-gram, directly or through others, form a
+neighbourhood.  The sets of a neighbourhood are brought together once and stored
+in a radix tree.  The tree is traversed once for all its sets together: at each
+node, every set that is still in the running has the overlap with the path from
+the root, which all sets below share, and leaves where the remaining lengths
+cannot reach the bound.  Links within one class found already are not made again;
+the result has every class that all links would give.  Neighbourhoods over a size
+limit are cut into units of one n-gram and two parts of its nodes, with the same
+result.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import Forest, components
+from .components import components
 from .shared import broadcast_if_small, keep
 from .shingles import shingle_set
 
 BLOCKS = 4  # blocks of hash values in the global order
-UNIT = 256  # nodes that one tree takes; larger groups are cut into pairs of parts
+UNIT_GRAMS = 2_000_000  # n-grams of a neighbourhood that one task takes, 8 bytes each
+UNIT = 256  # nodes of a part of an n-gram's nodes in a larger one
 
 
 
@@ -103,127 +106,101 @@ def _in_block(b: int):
     return lambda x: x["block"] == b
 
 
-def _close(a: str, b: str, percent: int) -> Column:
-    """Whether sizes a and b allow the similarity at all."""
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, exactly."""
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-
-    def run(batches):
-        for batch in batches:
-            a, b = [], []
-            for i, j, x, y in zip(*batch.columns, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    a.append(i.as_py())
-                    b.append(j.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
-
-
 class _Tree:
-    """A node of the radix tree: a run of hashes, the trees below by their first hash, and what is known of all sets at or below."""
+    """A node of the radix tree: a run of n-grams, the trees below by their first one, the sets that end here, and the sizes of all sets below."""
 
-    __slots__ = ("run", "below", "ends", "low", "high", "label")
+    __slots__ = ("run", "below", "ends", "low", "high")
 
     def __init__(self, run: np.ndarray):
         self.run, self.below, self.ends = run, {}, []
-        self.low, self.high, self.label = 1 << 60, 0, None
-
-    def note(self, size: int, label: int) -> None:
-        fresh = not self.high
-        self.low, self.high = min(self.low, size), max(self.high, size)
-        self.label = label if fresh or self.label == label else None
+        self.low, self.high = 1 << 60, 0
 
-    def insert(self, grams: np.ndarray, member: int, label: int) -> None:
-        tree, at = self, 0
-        tree.note(len(grams), label)
-        while at < len(grams):
+    def insert(self, grams: np.ndarray, member: int) -> None:
+        tree, at, size = self, 0, len(grams)
+        tree.low, tree.high = min(tree.low, size), max(tree.high, size)
+        while at < size:
             first = int(grams[at])
             child = tree.below.get(first)
             if child is None:
                 child = tree.below[first] = _Tree(grams[at:])
             else:
-                m = min(len(child.run), len(grams) - at)
+                m = min(len(child.run), size - at)
                 differ = np.flatnonzero(child.run[:m] != grams[at : at + m])
                 same = int(differ[0]) if len(differ) else m
                 if same < len(child.run):  # split the run
                     upper = _Tree(child.run[:same])
-                    upper.low, upper.high, upper.label = child.low, child.high, child.label
+                    upper.low, upper.high = child.low, child.high
                     child.run = child.run[same:]
                     upper.below[int(child.run[0])] = child
                     child = tree.below[first] = upper
-            child.note(len(grams), label)
+            child.low, child.high = min(child.low, size), max(child.high, size)
             at += len(child.run)
             tree = child
         tree.ends.append(member)
 
-    def search(self, grams: np.ndarray, label: int, classes: Forest, percent: int):
-        """Members whose sets are similar enough and not of the walker's class yet."""
-        n = len(grams)
-        stack = [(self, 0, 0, 0)]
-        while stack:
-            tree, at, depth, common = stack.pop()
-            mine = classes.find(label)
-            if tree.label is not None and classes.find(tree.label) == mine:
-                continue
-            if len(tree.run):
-                places = at + np.searchsorted(grams[at:], tree.run)
-                common += int(np.count_nonzero(grams[np.minimum(places, n - 1)] == tree.run))
-                at += int(np.searchsorted(grams[at:], tree.run[-1], side="right"))
-                depth += len(tree.run)
-            # The size below that has most room: all of the walker's rest could still be found in it.
-            best = min(max(depth + n - at, tree.low), tree.high)
-            if (100 + percent) * (common + min(n - at, best - depth)) < percent * (n + best):
-                continue
-            if tree.ends and (100 + percent) * common >= percent * (n + depth):
-                yield from tree.ends
-            stack.extend((child, at, depth, common) for child in tree.below.values())
-
-
-def _tree_links(table: pa.Table, percent: int) -> pa.Table:
-    """Links of one unit: between its two parts, or within its only one; visitors are not paired with each other."""
-    nodes, labels, parts, homes = (table.column(c).to_pylist() for c in ("node", "label", "part", "home"))
+
+def _unit_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) of one unit that give its classes; of a unit of two parts, those between the parts."""
+    nodes, parts = table.column("node").to_numpy(), table.column("part").to_numpy()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
-    two = table.column("i")[0] != table.column("j")[0]
-    classes, links = Forest(), []
-    order = sorted(range(len(nodes)), key=lambda k: nodes[k])
-    trees = {}
-    for k in order:
-        for (part, home), tree in trees.items():
-            if (two and part == parts[k]) or not (home or homes[k]):
-                continue
-            for m in tree.search(sets[k], labels[k], classes, percent):
-                if classes.find(labels[m]) != classes.find(labels[k]):
-                    classes.join(labels[m], labels[k])
-                    links.append((labels[m], labels[k]))
-        trees.setdefault((parts[k], homes[k]), _Tree(np.zeros(0, np.uint64))).insert(sets[k], k, labels[k])
-    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-
-def tree_join(entries: DataFrame, labels: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int, unit: int = UNIT) -> DataFrame:
-    """Links (a, b) between classes (labels) that groups of entries still hold apart."""
-    labelled = entries.join(labels, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("label"))
-    groups = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("l"), F.max("label").alias("h"), F.bit_xor("node").alias("x"), F.min("node").alias("f"), F.max("node").alias("g"))
-    # Groups of the same nodes are one group.
-    mixed = groups.where("l <> h").groupBy("k", "x", "f", "g").agg(F.min("token").alias("token")).select("token")
-    rows = keep(labelled.join(mixed, "token"), "mixed-groups")
-    # Sizes in steps of the similarity: linked sets are at most one step apart.
-    rung = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int")
-    spread = rows.withColumn("rung", rung).withColumn("u", F.explode(F.array(F.col("rung"), F.col("rung") - 1))).withColumn("home", F.col("u") == F.col("rung"))
-    units = spread.groupBy("token", "u").agg(F.count(F.lit(1)).alias("k"), F.max("home").alias("any"), F.min("label").alias("l"), F.max("label").alias("h")).where("any AND l <> h")
-    spread = spread.join(units.select("token", "u", F.ceil(F.col("k") / unit).cast("int").alias("parts")), ["token", "u"])
-    spread = spread.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("token", "u", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "home", "node", "label")
-    sets = full_sets(docs, text_col, width, rows)
-    ready = spread.join(sets.select("node", "grams"), "node")
-    return ready.groupBy("token", "u", "i", "j").applyInArrow(lambda t: _tree_links(t, percent), "a long, b long")
+    first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    k, sizes = len(sets), np.array([len(x) for x in sets])
+    grams, number = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.append(0, np.cumsum(np.bincount(number, minlength=len(grams))))
+    owners = np.repeat(np.arange(k), sizes)[np.argsort(number, kind="stable")]  # of each n-gram, from starts on
+    ids = np.split(number, np.cumsum(sizes)[:-1])
+    tree = _Tree(number[:0])
+    for m in np.flatnonzero(parts == first):
+        tree.insert(ids[m], int(m))
+    walkers = np.flatnonzero(parts == second)
+    classes, a, b = np.arange(k), [], []
+    stack = [(tree, walkers, np.zeros(len(walkers), dtype=np.int64), 0)]
+    while stack:
+        tree, walkers, common, depth = stack.pop()
+        if len(tree.run):
+            low, count = starts[tree.run], starts[tree.run + 1] - starts[tree.run]
+            places = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            common = common + np.bincount(owners[places], minlength=k)[walkers]
+            depth += len(tree.run)
+        size = sizes[walkers]
+        # The size below that has most room: all of a walker's rest could still be found in it.
+        best = np.clip(depth + size - common, tree.low, tree.high)
+        stays = (100 + percent) * (common + np.minimum(size - common, best - depth)) >= percent * (size + best)
+        walkers, common = walkers[stays], common[stays]
+        if not len(walkers):
+            continue
+        for member in tree.ends:
+            near = walkers[(100 + percent) * common >= percent * (sizes[walkers] + depth)]
+            for w in near[classes[near] != classes[member]]:
+                if classes[w] != classes[member]:
+                    classes[classes == classes[w]] = classes[member]
+                    a.append(nodes[member])
+                    b.append(nodes[w])
+        stack.extend((child, walkers, common, depth) for child in tree.below.values())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def tree_links(entries: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int, most: int = UNIT_GRAMS, unit: int = UNIT) -> DataFrame:
+    """Links (a, b) that give the classes of all entries (token, node, n).
+
+    A neighbourhood whose sets have at most `most` n-grams together is one unit.
+    A larger one is cut: a unit is an n-gram and two of the parts, of about
+    `unit` nodes each, into which the nodes under it are dealt.
+    """
+    groups = entries.groupBy("token").agg(F.min("node").alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = keep(entries.join(groups, "token").select("token", "node", "n", "f", "k"), "met")
+    near = keep(components(met.where("node <> f").select(F.col("node").alias("a"), F.col("f").alias("b")).distinct()), "neighbourhoods")
+    placed = met.join(near, "node")
+    members = keep(near.join(entries.select("node", "n").distinct(), "node"), "neighbours")
+    large = members.groupBy("root").agg(F.sum("n").alias("grams")).where(F.col("grams") > most).select("root")
+    large = broadcast_if_small(keep(large, "large"))
+    one = members.join(large, "root", "left_anti").select(F.col("root").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "node")
+    cut = placed.join(large, "root", "left_semi").withColumn("parts", F.ceil(F.col("k") / unit).cast("int"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select(F.col("token").alias("unit"), F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "node")
+    sets = full_sets(docs, text_col, width, near)
+    ready = one.unionByName(cut).join(sets.select("node", "grams"), "node")
+    return ready.groupBy("unit", "i", "j").applyInArrow(lambda t: _unit_links(t, percent), "a long, b long")
 
 
 def similar_classes(docs: DataFrame, text_col: str = "text", width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -234,20 +211,8 @@ def similar_classes(docs: DataFrame, text_col: str = "text", width: int = 4, per
     """
     sets = keep(prefix_sets(docs, text_col, width, percent), "prefix-sets")
     entries = keep(index_entries(sets, percent), "entries")
-    anchors = entries.groupBy("token").agg(F.min(F.struct("node", "n")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    anchors = anchors.select("token", F.col("x.node").alias("a"), F.col("x.n").alias("an"))
-    stars = entries.join(anchors, "token").where((F.col("node") != F.col("a")) & _close("n", "an", percent)).select("a", F.col("node").alias("b")).distinct()
-    stars = keep(stars, "stars")
-    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node")))
-    links = verify(stars, full_sets(docs, text_col, width, ends), percent)
-    first = keep(components(links), "classes")
-    joined = keep(tree_join(entries, first, docs, text_col, width, percent), "tree-links")
-    if joined.isEmpty():
-        return sets.select("node", "n"), first
-    roots = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    whole = first.join(roots, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    rest = roots.join(first.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-    return sets.select("node", "n"), keep(whole.unionByName(rest), "classes")
+    links = keep(tree_links(entries, docs, text_col, width, percent), "links")
+    return sets.select("node", "n"), keep(components(links), "classes")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -261,27 +226,36 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by 64-bit hashes.  An empty table gives an empty result; other columns play
     no part.
     """
+    rows = _classed(docs, id_col, text_col, width, percent)
+    return rows.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """id, node (hash of the text), n, root (null without words) and least (id of the class, null for classes of one row) of every row."""
     sets, classes = similar_classes(docs, text_col, width, percent)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).isNotNull().alias("there"))
     rows = rows.join(sets, "node", "left").join(classes, "node", "left")
-    rows = rows.select("id", F.when(F.col("there"), F.col("n")).alias("n"), F.when(F.col("there") & F.col("n").isNotNull(), F.coalesce("root", "node")).alias("root"))
+    rows = rows.select("id", "node", F.when(F.col("there"), F.col("n")).alias("n"), F.when(F.col("there") & F.col("n").isNotNull(), F.coalesce("root", "node")).alias("root"))
     rows = keep(rows, "rows")
     least = rows.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select("r", "least")
-    return rows.join(least, F.col("root") == F.col("r"), "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    return rows.join(least, F.col("root") == F.col("r"), "left").select("id", "node", "n", "root", "least")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """docs with one row of each class of similar texts: the one with the least id; all columns stay.
+    """docs with one row of each class of similar texts: that with the least id; all columns stay.
 
-    Of repeated rows with that id and similar texts one stays; null ids stay if
-    their class has no other id.
+    Null ids come last.  Of rows that repeat both id and text one stays; texts
+    without words belong to no class, and all their rows stay.
     """
-    classes = keep(jaccard_classes(docs, id_col, text_col, width, percent), "jaccard-classes")
-    stay = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("k"))
-    stay = keep(stay, "stay")
-    chosen = docs.join(broadcast_if_small(stay.select("__id"), 1_000_000), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    if stay.where("k > 1").isEmpty():
+    rows = keep(_classed(docs, id_col, text_col, width, percent), "classed")
+    last = F.struct(F.col("id").isNull().alias("u"), F.col("id").alias("id"), F.col("node").alias("node"))
+    best = rows.where("root is not null").groupBy("root").agg(F.min(last).alias("b")).select(F.col("b.id").alias("__id"), F.col("b.node").alias("__node"))
+    loose = rows.where("root is null").select(F.col("id").alias("__id"), F.col("node").alias("__node")).distinct()
+    stay = broadcast_if_small(keep(best.unionByName(loose), "stay"), 1_000_000)
+    chosen = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__node")), "left_semi")
+    twice = rows.where("root is not null").groupBy(F.col("id").alias("__id"), F.col("node").alias("__node")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    twice = keep(twice, "repeated")
+    if twice.isEmpty():
         return chosen
-    twice = broadcast_if_small(stay.where("k > 1").select("__id"))
-    same = F.col(id_col).eqNullSafe(F.col("__id"))
-    return chosen.join(twice, same, "left_anti").unionByName(chosen.join(twice, same, "left_semi").dropDuplicates([id_col]))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__node"))
+    return chosen.join(twice, same, "left_anti").unionByName(chosen.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

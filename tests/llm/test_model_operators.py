@@ -78,26 +78,15 @@ def test_jaccard_classes(spark, seed, width, percent):
     kept = jaccard.keep_one_of_each(docs(spark, rows), width=width, percent=percent)
     assert kept.columns == ["doc_id", "text", "n", "tokens"]
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({c for d, _, c in got if d == c and d is not None}) and ids.count(None) == 1
-
-
-def test_tree_finds_links_across_parts(spark):
-    """With units of 3 nodes every group is cut; the links don't change."""
-    rows = corpus(7, 200)
-    frame = docs(spark, rows)
-    sets = shared.keep(jaccard.prefix_sets(frame, "text", 4, 85))
-    entries = shared.keep(jaccard.index_entries(sets, 85))
-    none = spark.createDataFrame([], "node long, root long")
-    whole = {tuple(sorted(r)) for r in jaccard.tree_join(entries, none, sets, 85).collect()}
-    parts = {tuple(sorted(r)) for r in jaccard.tree_join(entries, none, sets, 85, unit=3).collect()}
-    assert whole == parts and whole
-    node = {r.node: r.text for r in frame.selectExpr("xxhash64(text) AS node", "text").collect()}
-    texts = sorted(node)
-    for a in range(len(texts)):
-        for b in range(a):
-            x, y = gram_set(node[texts[a]], 4), gram_set(node[texts[b]], 4)
-            if x and 100 * len(x & y) >= 85 * len(x | y):
-                assert (texts[b], texts[a]) in whole
+    assert sorted({i for i in ids if i is not None}) == sorted({c for d, _, c in got if d == c and d is not None}) and ids.count(None) == sum(d is None and c is None for d, _, c in got)
+
+
+def test_cut_neighbourhoods_give_the_same_classes(spark):
+    """With units of 3 nodes and no neighbourhood in one piece the classes don't change."""
+    frame = docs(spark, corpus(7, 200))
+    entries = shared.keep(jaccard.index_entries(shared.keep(jaccard.prefix_sets(frame, "text", 4, 85)), 85))
+    classes = [{r.node: r.root for r in components.components(jaccard.tree_links(entries, frame, "text", 4, 85, most, 3)).collect()} for most in (10**9, 0)]
+    assert classes[0] == classes[1] and classes[0]
 
 
 def test_jaccard_empty(spark):
