@@ -11,6 +11,7 @@ from kosha import conventions as C
 # Transaction vocabulary.
 INFLOW = ("purchase", "sip", "investment", "additional purchase")
 OUTFLOW = ("redemption", "swp", "withdrawal")
+BROADCAST_SCHEMES = 200  # about 100 KB of calendar each
 NEUTRAL = ("switch in", "switch out", "merger in", "merger out")
 
 
@@ -33,39 +34,67 @@ def value_path(tx: DataFrame, nav: DataFrame, by: str, key: str) -> DataFrame:
     """Daily value and flow of each portfolio: units so far at the last known NAV, summed over its schemes.
 
     tx: by, key, d, units (signed), amount (signed).  nav: key, d, nav.
+
+    Moves become segments of constant units, and the NAV of a scheme one array of
+    calendar days; a segment takes its slice of the array. Everything else stays
+    with its portfolio, so the days are never shuffled where the arrays are small.
     """
-    moves = tx.groupBy(by, key, "d").agg(F.sum("units").alias("units"), F.sum("amount").alias("flow"))
-    lines = tx.select(by, key).distinct()
-    days = lines.join(nav.select(key, "d"), key).select(by, "d").unionByName(tx.select(by, "d")).distinct()
-    first = tx.groupBy(by).agg(F.min("d").alias("first"))
-    days = days.join(first, by).where("d >= first").drop("first")
-    grid = lines.join(days, by)
-    prices = lines.join(nav, key)  # of the portfolio's schemes only
-    w = W.partitionBy(by, key).orderBy("d").rowsBetween(W.unboundedPreceding, 0)
-    rows = grid.join(moves, [by, key, "d"], "left").unionByName(prices.select(by, key, "d", "nav"), allowMissingColumns=True)
-    rows = rows.groupBy(by, key, "d").agg(F.max("units").alias("units"), F.max("flow").alias("flow"), F.max("nav").alias("nav"))
-    rows = rows.withColumn("held", F.sum(F.coalesce("units", F.lit(0.0))).over(w)).withColumn("price", F.last("nav", ignorenulls=True).over(w))
-    out = rows.join(days, [by, "d"], "left_semi")
-    return out.groupBy(by, "d").agg(F.sum(F.col("held") * F.col("price")).alias("value"), F.sum(F.coalesce("flow", F.lit(0.0))).alias("flow"))
+    tx = tx.where(F.col(by).isNotNull())
+    first = tx.groupBy(by).agg(F.min("d").alias("d"))
+    opened = tx.select(by, key).distinct().join(first, by).select(by, key, "d", F.lit(0.0).alias("units"), F.lit(0.0).alias("amount"))
+    moves = tx.select(by, key, "d", "units", "amount").where("d is not null").unionByName(opened)
+    parts = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number: few moves make many days, so partitions must not be merged by size
+    moves = moves.repartition(parts, by).groupBy(by, key, "d").agg(F.sum("units").alias("units"), F.sum("amount").alias("flow"))
+    w = W.partitionBy(by, key).orderBy("d")
+    sofar = w.rowsBetween(W.unboundedPreceding, 0)
+    held = moves.select(by, key, "d", "flow", F.sum(F.coalesce("units", F.lit(0.0))).over(sofar).alias("held"), F.lead("d").over(w).alias("until"))
+    days = _calendar(tx, nav, key)
+    if tx.select(key).distinct().limit(BROADCAST_SCHEMES + 1).count() <= BROADCAST_SCHEMES:
+        days = F.broadcast(days)
+    skip = F.greatest(F.datediff("d", "day0"), F.lit(0))
+    size = F.greatest(F.coalesce(F.datediff("until", "day0"), F.size("days")) - skip, F.lit(0))
+    move = F.array(F.struct(F.col("d"), F.lit(None).cast("double").alias("price"), F.lit(True).alias("real")))
+    cells = F.when(F.col("days").isNull(), move).otherwise(F.concat(move, F.slice("days", skip + 1, size)))
+    rows = held.join(days, key, "left").select(by, "held", "flow", F.posexplode(cells).alias("n", "cell"))
+    flow = F.when(F.col("n") == 0, F.coalesce("flow", F.lit(0.0))).otherwise(0.0)
+    out = rows.groupBy(by, F.col("cell.d").alias("d")).agg(F.sum(F.col("held") * F.col("cell.price")).alias("value"), F.sum(flow).alias("flow"), F.max("cell.real").alias("real"))
+    return out.where("real").drop("real")
+
+
+def _calendar(tx: DataFrame, nav: DataFrame, key: str) -> DataFrame:
+    """key, day0, days: every day from the first NAV of a scheme in tx to the last day of all, as (d, price, real); real days have a NAV of their own."""
+    own = nav.join(tx.select(key).distinct(), key, "left_semi").where("d is not null").groupBy(key, "d").agg(F.max("nav").alias("nav"))
+    last = own.select("d").unionByName(tx.select("d")).agg(F.max("d").alias("last"))
+    w = W.partitionBy(key).orderBy("d")
+    own = own.crossJoin(F.broadcast(last)).select(key, "d", F.last("nav", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("price"), F.coalesce(F.date_sub(F.lead("d").over(w), 1), "last").alias("to"))
+    filled = own.select(key, "price", F.posexplode(F.sequence("d", "to")).alias("n", "d"))
+    rows = F.sort_array(F.collect_list(F.struct("d", "price", (F.col("n") == 0).alias("real"))))
+    return filled.groupBy(key).agg(F.min("d").alias("day0"), rows.alias("days"))
 
 
 def twr_days(path: DataFrame, by: str) -> DataFrame:
     """Daily returns free of flows; tiny ones without a flow are skipped, and those over 20 percent are artifacts."""
+    return _marked(path, by).where("counts").drop("counts")
+
+
+def _marked(path: DataFrame, by: str) -> DataFrame:
+    """All days of the path with r, artifact and whether the day counts in the chain."""
     prev = F.lag("value").over(W.partitionBy(by).orderBy("d"))
     r = F.when(prev > 0, (F.col("value") - F.col("flow") - prev) / prev)
-    rows = path.withColumn("r", r).where("r is not null")
-    rows = rows.where(~((F.abs("r") < 1e-6) & (F.col("flow") == 0)))
-    return rows.withColumn("artifact", F.abs("r") > C.ARTIFACT_RETURN)
+    rows = path.withColumn("r", r).withColumn("artifact", F.abs("r") > C.ARTIFACT_RETURN)
+    return rows.withColumn("counts", F.coalesce(F.col("r").isNotNull() & ~((F.abs("r") < 1e-6) & (F.col("flow") == 0)), F.lit(False)))
 
 
 def twr(path: DataFrame, by: str) -> DataFrame:
-    """Chained return, annualised from 90 days on, drawdown of the chain (null with artifacts)."""
-    days = twr_days(path, by)
+    """Chained return, annualised from 90 days on, drawdown of the chain (null with artifacts).
+
+    Days that do not count leave the chain as it is, so one pass gives the span of all days too.
+    """
     w = W.partitionBy(by).orderBy("d").rowsBetween(W.unboundedPreceding, 0)
-    chain = days.withColumn("index", F.exp(F.sum(F.when(~F.col("artifact"), F.log1p("r")).otherwise(0.0)).over(w)))
-    chain = chain.withColumn("dd", F.col("index") / F.greatest(F.lit(1.0), F.max("index").over(w)) - 1)
-    spans = path.groupBy(by).agg(F.datediff(F.max("d"), F.min("d")).alias("span"))
-    g = chain.groupBy(by).agg(F.max_by("index", "d").alias("x"), F.count_if("artifact").alias("artifacts"), F.min("dd").alias("dd")).join(spans, by)
+    chain = _marked(path, by).withColumn("index", F.exp(F.sum(F.when(F.col("counts") & ~F.col("artifact"), F.log1p("r")).otherwise(0.0)).over(w)))
+    chain = chain.withColumn("dd", F.when(F.col("counts"), F.col("index") / F.greatest(F.lit(1.0), F.max("index").over(w)) - 1))
+    span = F.datediff(F.max("d"), F.min("d")).alias("span")
+    g = chain.groupBy(by).agg(F.max_by("index", "d").alias("x"), F.count_if(F.col("counts") & F.col("artifact")).alias("artifacts"), F.min("dd").alias("dd"), span, F.count_if("counts").alias("n")).where("n > 0")
     return g.select(by, (F.col("x") - 1).alias("twr"), "artifacts", "span", F.when(F.col("span") >= C.MIN_CAGR_WINDOW_DAYS, F.pow("x", C.DAYS_PER_YEAR / F.col("span")) - 1).alias("annualised"), F.when(F.col("artifacts") == 0, F.col("dd")).alias("max_drawdown"))
 
 

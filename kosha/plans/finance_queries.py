@@ -27,7 +27,7 @@ def f01(spark, sf):
 
 
 def _scheme_tx(spark, sf):
-    t = D.transactions(spark, sf).where("portfolio_id % 50 = 0").withColumn("kind", L.flow_kind(F.col("tx_type")))
+    t = D.transactions(spark, sf).withColumn("kind", L.flow_kind(F.col("tx_type")))
     f = L.signed(F.col("kind"), F.col("amount"))
     return t.select("portfolio_id", F.pmod("tx_id", F.lit(7)).alias("scheme_id"), "d", f.alias("amount"), (f / 100).alias("units")).where("amount <> 0")
 
