@@ -86,7 +86,7 @@ def n19(spark, sf):
 def v01(spark, sf):
     from kosha.conventions import normalize_rate
 
-    r = D.read(spark, sf, "lineitem").where("l_orderkey < 500")
+    r = D.read(spark, sf, "lineitem")
     return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", normalize_rate(F.col("l_quantity") / 100, 0.3).alias("v"))
 
 

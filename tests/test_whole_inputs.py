@@ -64,3 +64,8 @@ def test_value_path_by_brute_force(spark, monkeypatch, schemes):
     frame = spark.createDataFrame([(*t, 100 * t[3]) for t in tx], "p int, s string, d date, units double, amount double")
     got = {(r.p, r.d): (r.value, r.flow) for r in flows.value_path(frame, spark.createDataFrame(nav, "s string, d date, nav double"), "p", "s").collect()}
     assert got == want
+
+
+def test_all_line_items(spark):
+    check_cut(spark, "v01_normalize_metric", "l_orderkey < 500", 6)
+    assert len(rows(spark, "v01_normalize_metric")) == asked(f"SELECT count(*) FROM '{SF}/lineitem.parquet'")[0][0]
