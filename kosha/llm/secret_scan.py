@@ -3,8 +3,8 @@
 Strong patterns (assignments, access identifiers, long hexadecimal runs) are
 reported wherever they stand.  Weak candidates (bare 40-character keys, user
 names, endpoints) are noise on their own: they are reported only when a
-complementary part lies within `scope` code points of them, found by an interval
-join over position bins.
+complementary part ends or begins within `scope` code points of them, found by an
+interval join over position bins.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ ASSIGN = (
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a maximal run of 24 and more, as leftmost runs of any length, the short ones dropped
 # Weak kinds; each needs one of its complements nearby.
-KEY40 = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
+KEY40 = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
 USER = r"(?:[Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}"
 ENDPOINT = r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|s3)://[A-Za-z0-9.-]+(?::[0-9]+)?"
 KINDS = ("assign", "access", "hex", "key40", "user", "endpoint")
@@ -74,22 +74,22 @@ def _base(text: Column) -> Column:
 def link_parts(found: DataFrame, scope: int) -> DataFrame:
     """The weak spans of `found` (__id, __text, base, weak) that have a complement within scope: (l_id, l_text, linked).
 
-    Positions are dealt into bins of `scope` code points.  A weak part in bin b
-    has a complement within reach if the nearest one in bins b-1, b and b+1 is
-    no further than scope; the least and largest start of each bin are enough
-    for that, so no pairs are made, and a text with many parts is spread over
-    its bins.
+    The distance is that of the nearest edges.  Positions are dealt into bins of
+    `scope` code points; a complement stands in every bin it covers, a weak part
+    looks into every bin within its reach.  Gaps between complements in one bin
+    are shorter than a reach, so the least start and largest end of each bin are
+    enough: no pairs are made, and a text with many parts is spread over its bins.
     """
     key = ["__id", "__text"]
     both = found.where(F.size("weak") > 0).dropDuplicates(key)
-    strong = both.select(*key, F.explode("base").alias("s")).select(*key, F.col("s.kind").alias("part"), F.col("s.start").alias("at"))
-    bins = strong.where(F.col("part") != "hex").groupBy(*key, "part", F.expr(f"at div {scope}").alias("bin")).agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    reach = bins.select(*key, "part", "low", "high", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    strong = both.select(*key, F.explode("base").alias("s")).select(*key, F.col("s.kind").alias("part"), F.col("s.start").alias("at"), F.col("s.end").alias("to")).where("part != 'hex'")
+    strong = strong.withColumn("bin", F.explode(F.expr(f"sequence(at div {scope}, (to - 1) div {scope})")))
+    bins = strong.groupBy(*key, "part", "bin").agg(F.min("at").alias("low"), F.max("to").alias("high"))
     needs = F.create_map(*[x for k, v in COMPLEMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    wanted = both.select(*key, F.explode("weak").alias("s")).select(*key, "s", F.explode(needs[F.col("s.kind")]).alias("part"), F.expr("s.start").alias("at"))
-    wanted = wanted.withColumn("bin", F.expr(f"at div {scope}"))
-    near = F.least(F.abs(F.col("at") - F.col("r_low")), F.abs(F.col("at") - F.col("r_high"))) <= scope
-    reach = reach.select(*[F.col(c).alias(f"r_{c}") for c in reach.columns])
+    wanted = both.select(*key, F.explode("weak").alias("s")).select(*key, "s", F.explode(needs[F.col("s.kind")]).alias("part"))
+    wanted = wanted.withColumn("bin", F.explode(F.expr(f"sequence(greatest(s.start - {scope} - 1, 0) div {scope}, (s.end + {scope}) div {scope})")))
+    near = F.expr(f"r_low - s.end <= {scope} AND s.start - r_high <= {scope}")
+    reach = bins.select(*[F.col(c).alias(f"r_{c}") for c in bins.columns])
     same = F.expr("__id <=> r___id AND __text = r___text AND part = r_part AND bin = r_bin")
     hits = wanted.join(reach, same).where(near).select(*key, "s").distinct()
     return hits.groupBy(F.col("__id").alias("l_id"), F.col("__text").alias("l_text")).agg(F.collect_list("s").alias("linked"))
