@@ -69,3 +69,9 @@ def test_value_path_by_brute_force(spark, monkeypatch, schemes):
 def test_all_line_items(spark):
     check_cut(spark, "v01_normalize_metric", "l_orderkey < 500", 6)
     assert len(rows(spark, "v01_normalize_metric")) == asked(f"SELECT count(*) FROM '{SF}/lineitem.parquet'")[0][0]
+
+
+def test_all_valuation_dates(spark):
+    sql, got = __spark_entry__.oracle_sql()["j26_asof_valuation"], {r[:2]: r[2] for r in rows(spark, "j26_asof_valuation")}
+    part, whole = ({r[:2]: r[2] for r in asked(q)} for q in (sql, sql.replace(" WHERE o_orderkey % 50 = 0", "")))
+    assert len(part) < len(whole) and got == pytest.approx(whole, abs=2e-6) and {k: got[k] for k in part} == pytest.approx(part, abs=2e-6)
