@@ -17,6 +17,19 @@ MIN_RISK_WINDOW_DAYS = 365
 ARTIFACT_RETURN = 0.20
 
 
-def normalize_rate(value: Column, plausible: float) -> Column:
-    """A rate stored as a fraction; values beyond the plausible band are percentages that leaked in, and are scaled once."""
-    return F.when(F.abs(value) <= plausible, value).when(F.abs(value) <= plausible * 100, value / 100)
+# Plausible bands of metrics in stored units (fractions, years).
+BANDS = {"ter": (0.0, 0.05), "ytm": (0.0, 0.35), "duration": (0.0, 60.0), "avg_maturity": (0.0, 60.0)}
+
+
+def normalize_metric(value: Column, kind: str) -> Column:
+    """A value above the band of its kind that a hundredth brings inside is a percentage that leaked in, and is scaled once.
+
+    Other values pass as they are, whether plausible or not, as do all of kinds
+    without a band; what is no number is null.
+    """
+    v = value.try_cast("double")
+    v = F.when(~F.isnan(v), v)
+    if kind not in BANDS:
+        return v
+    low, high = BANDS[kind]
+    return F.when((v > high) & (v / 100).between(low, high), v / 100).otherwise(v)

@@ -17,6 +17,11 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def top_of_each(df: DataFrame, by: str, order: list[Column], limit: int) -> DataFrame:
+    """The first rows of each group in a total order."""
+    return df.withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("k") <= limit).drop("k")
+
+
 def list_schemes(schemes: DataFrame, holdings: DataFrame | None = None, securities: DataFrame | None = None, amc=None, category=None, search=None, cap=None, sector=None, limit=50, offset=0) -> DataFrame:
     """Schemes that meet every given condition, by size; conditions on securities are semi-joins, so no scheme repeats."""
     out = schemes

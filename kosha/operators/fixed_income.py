@@ -7,42 +7,44 @@ from pyspark.sql import functions as F
 
 
 def price_at(y: Column, coupon: Column, n: Column, first: Column, freq: Column) -> Column:
-    """Dirty price of 100 face: coupons at first, first + 1, ... periods, n of them, at the annual yield y compounded freq times."""
-    per, c = y / freq, coupon / freq
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, k: acc + c / F.pow(1 + per, first + k)) + 100 / F.pow(1 + per, first + n - 1)
+    """Dirty price of 100 face: n coupons at first, first + 1, ... periods, at the annual yield y (not 0) compounded freq times, in closed form."""
+    growth, c = 1 + y / freq, coupon / freq
+    return c * F.pow(growth, -first) * (1 - F.pow(growth, -n)) / (1 - 1 / growth) + 100 * F.pow(growth, -(first + n - 1))
 
 
 def schedule(bonds: DataFrame) -> DataFrame:
-    """Adds years to maturity, periods left (n), the first of them (a fraction of a period) and accrued interest.
+    """Adds years to maturity, coupons left (n), the first of them (in periods from now, over 0 and up to 1) and accrued interest."""
+    periods = F.col("years") * F.col("freq")
+    part = periods - F.floor(periods)
+    on_date = part < 1e-9
+    out = bonds.withColumn("years", F.datediff("maturity", "settle") / 365.25)
+    out = out.withColumn("first", F.when(on_date, 1.0).otherwise(part)).withColumn("n", F.greatest(F.lit(1), F.when(on_date, F.round(periods)).otherwise(F.floor(periods) + 1)).cast("int"))
+    return out.withColumn("accrued", F.col("coupon") / F.col("freq") * (1 - F.col("first")))
 
-    Up to a fiftieth of a period over a whole number is a leap day, not one more coupon.
-    """
-    years = F.datediff("maturity", "settle") / 365.25
-    out = bonds.withColumn("years", years).withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("years") * F.col("freq") - 0.02)).cast("int"))
-    out = out.withColumn("first", F.col("years") * F.col("freq") - (F.col("n") - 1))
-    return out.withColumn("accrued", F.greatest(F.lit(0.0), F.col("coupon") / F.col("freq") * (1 - F.col("first"))))
 
+def bisect(f, low: float, high: float, steps: int = 60) -> Column:
+    """Zero of a falling function of a yield between low and high; null where it is below 0 at low.
 
-def bisect(f, low: float, high: float, steps: int = 100) -> Column:
-    """Zero of a falling function of a yield between low and high; null where it has none there."""
+    The interval halves at each step, so only its lower end is carried along.
+    """
+    width = high - low
 
-    def step(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2
-        above = f(mid) > 0
-        return F.struct(F.when(above, mid).otherwise(acc["lo"]).alias("lo"), F.when(above, acc["hi"]).otherwise(mid).alias("hi"))
+    def step(at, k):
+        half = F.lit(width) / F.pow(F.lit(2.0), k)
+        return at + F.when(f(at + half) > 0, half).otherwise(0.0)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi")), step, lambda a: (a["lo"] + a["hi"]) / 2)
-    return F.when((f(F.lit(low)) > 0) & (f(F.lit(high)) < 0), found)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(low), step)
+    return F.when(f(F.lit(low)) >= 0, found)
 
 
 def with_ytm(bonds: DataFrame) -> DataFrame:
-    """Yield to maturity from clean prices above 0 and up to 300; zero-coupon bonds in closed form, annual."""
+    """Yield to maturity from clean prices above 0 and up to 300; zero-coupon bonds in closed form, annual, below 0 at prices over 100."""
     b = schedule(bonds)
     dirty = F.col("price") + F.col("accrued")
     solved = bisect(lambda y: price_at(y, F.col("coupon"), F.col("n"), F.col("first"), F.col("freq")) - dirty, 1e-6, 6.0)
     zero = F.pow(100 / F.col("price"), 1 / F.col("years")) - 1
     fair = (F.col("price") > 0) & (F.col("price") <= 300) & (F.col("years") > 0)
-    return b.withColumn("ytm", F.when(fair, F.when(F.col("coupon") == 0, F.when(zero > 0, zero)).otherwise(solved)))
+    return b.withColumn("ytm", F.when(fair, F.when(F.coalesce("coupon", F.lit(0.0)) <= 0, zero).otherwise(solved)))
 
 
 def with_duration(bonds: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def current_yield(coupon: Column, price: Column) -> Column:
 
 
 def resolve_yield(bonds: DataFrame) -> DataFrame:
-    """The best yield known, with its source: last trade, weighted average, computed, current yield, none."""
-    ladder = [("last_trade", F.col("trade_yield")), ("weighted", F.col("weighted_yield")), ("computed", 100 * F.col("ytm")), ("current_yield", F.when(F.col("coupon") > 0, current_yield(F.col("coupon"), F.col("price"))))]
+    """The best yield known, with its source: last trade and weighted average where above 0, computed, current yield, none."""
+    ladder = [("last_trade", F.when(F.col("trade_yield") > 0, F.col("trade_yield"))), ("weighted", F.when(F.col("weighted_yield") > 0, F.col("weighted_yield"))), ("computed", 100 * F.col("ytm")), ("current_yield", current_yield(F.col("coupon"), F.col("price")))]
     pick = F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("yield"), F.lit(n).alias("source"))) for n, v in ladder], F.struct(F.lit(None).cast("double").alias("yield"), F.lit("n/a").alias("source")))
     return bonds.withColumn("p", pick).select("*", F.col("p.yield").alias("yield"), F.col("p.source").alias("source")).drop("p")

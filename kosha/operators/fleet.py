@@ -49,10 +49,17 @@ def decay(scores: DataFrame, as_of: str) -> DataFrame:
 
 
 def evaluate_rules(metrics: DataFrame, rules: DataFrame, by: str) -> DataFrame:
-    """Each rule against each portfolio's metric; unknown metrics are not evaluable.  Rules are a short list."""
-    r = metrics.join(F.broadcast(rules), "metric", "right")
-    ok = F.when(F.col("op") == "<=", F.col("value") <= F.col("bound")).otherwise(F.col("value") >= F.col("bound"))
-    return r.where(F.col(by).isNotNull()).select(by, "rule", "metric", "value", "bound", ok.alias("passed"), F.when(F.col("op") == "<=", F.col("bound") - F.col("value")).otherwise(F.col("value") - F.col("bound")).alias("headroom"))
+    """Each rule (rule, metric, op, bound) for each portfolio of metrics (by, metric, value).
+
+    A rule whose metric a portfolio lacks, or that has no bound, is reported with
+    passed null.  Rules are a short stated list, held as one array.
+    """
+    listed = rules.agg(F.collect_list(F.struct("rule", "metric", "op", F.col("bound").cast("double").alias("bound"))).alias("rules"))
+    asked = metrics.select(by).distinct().crossJoin(F.broadcast(listed)).select(by, F.inline("rules"))  # one row on the right
+    r = asked.join(metrics, [by, "metric"], "left")
+    most = F.col("op") == "<="
+    ok = F.when(most, F.col("value") <= F.col("bound")).otherwise(F.col("value") >= F.col("bound"))
+    return r.select(by, "rule", "metric", "value", "bound", ok.alias("passed"), F.when(most, F.col("bound") - F.col("value")).otherwise(F.col("value") - F.col("bound")).alias("headroom"))
 
 
 def compliance(results: DataFrame, by: str) -> DataFrame:

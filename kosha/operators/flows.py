@@ -98,7 +98,7 @@ def twr(path: DataFrame, by: str) -> DataFrame:
     return g.select(by, (F.col("x") - 1).alias("twr"), "artifacts", "span", F.when(F.col("span") >= C.MIN_CAGR_WINDOW_DAYS, F.pow("x", C.DAYS_PER_YEAR / F.col("span")) - 1).alias("annualised"), F.when(F.col("artifacts") == 0, F.col("dd")).alias("max_drawdown"))
 
 
-def xirr(flows: DataFrame, by: str, steps: int = 200) -> DataFrame:
+def xirr(flows: DataFrame, by: str, steps: int = 60) -> DataFrame:
     """Rate at which the flows (d, amount) of each portfolio are worth nothing: bisection on [-0.99, 10]; null without a change of sign.
 
     The flows of one portfolio are one array; each step is a fold over it.
@@ -109,12 +109,12 @@ def xirr(flows: DataFrame, by: str, steps: int = 200) -> DataFrame:
     def worth(rate):
         return F.aggregate("fs", F.lit(0.0), lambda acc, f: acc + f["a"] / F.pow(1 + rate, f["t"]))
 
-    def step(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2
-        left = F.signum(worth(mid)) == F.signum(acc["at"])
-        return F.struct(F.when(left, mid).otherwise(acc["lo"]).alias("lo"), F.when(left, acc["hi"]).otherwise(mid).alias("hi"), acc["at"].alias("at"))
+    low, width = -0.99, 10.99
 
-    rows = rows.withColumn("lo", worth(F.lit(-0.99))).withColumn("hi", worth(F.lit(10.0)))
-    zero = F.struct(F.lit(-0.99).alias("lo"), F.lit(10.0).alias("hi"), F.col("lo").alias("at"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+    def step(at, k):  # the interval halves at each step, so only its lower end is carried along
+        half = F.lit(width) / F.pow(F.lit(2.0), k)
+        return at + F.when(F.signum(worth(at + half)) == F.signum(F.col("lo")), half).otherwise(0.0)
+
+    rows = rows.withColumn("lo", worth(F.lit(low))).withColumn("hi", worth(F.lit(low + width)))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(low), step)
     return rows.select(by, F.when(F.col("lo") * F.col("hi") < 0, found).alias("xirr"))

@@ -45,14 +45,14 @@ def scheme_stats(rows: DataFrame, scheme: str) -> DataFrame:
     return rows.groupBy(scheme).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("weight") > 0).alias("n_long"), F.max("weight").alias("top_weight"), F.max_by("isin", F.struct("weight", "isin")).alias("top_isin"), F.sum("weight").alias("total"))
 
 
-def overlap(rows: DataFrame, scheme: str, key: str) -> DataFrame:
-    """Sum of the smaller weights on common keys for each pair of schemes; the diagonal is a scheme's total.
+def overlap(rows: DataFrame, by: str, scheme: str, key: str) -> DataFrame:
+    """Sum of the smaller weights on common keys for each pair of schemes of a set (by); the diagonal is a scheme's total.
 
-    The join is on the key; callers compare a few schemes, so a key meets as many rows as schemes were asked for.
+    The join is on the set and the key; a set has at most 12 schemes, so a key meets as many rows.
     """
-    a = rows.groupBy(F.col(scheme).alias("a"), key).agg(F.sum("weight").alias("wa"))
-    b = rows.groupBy(F.col(scheme).alias("b"), key).agg(F.sum("weight").alias("wb"))
-    return a.join(b, key).where("a <= b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("overlap"), F.count(F.lit(1)).alias("common"))
+    a = rows.groupBy(by, F.col(scheme).alias("a"), key).agg(F.sum("weight").alias("wa"))
+    b = rows.groupBy(by, F.col(scheme).alias("b"), key).agg(F.sum("weight").alias("wb"))
+    return a.join(b, [by, key]).where("a <= b").groupBy(by, "a", "b").agg(F.sum(F.least("wa", "wb")).alias("overlap"), F.count(F.lit(1)).alias("common"))
 
 
 def concentration(rows: DataFrame, scheme: str) -> DataFrame:
@@ -78,13 +78,9 @@ def look_through(items: DataFrame, units: DataFrame, depth: int = 10) -> DataFra
     join; levels end at `depth`.
     """
     shares = units.select("fund", F.col("isin").alias("child"), (F.col("weight") / F.sum("weight").over(W.partitionBy("fund"))).alias("share"))
-    now = items.select("portfolio", "isin", "weight", F.array().cast("array<string>").alias("path"))
-    funds = units.select(F.col("fund").alias("f")).distinct()
-    leaves = None
+    rows = items.select("portfolio", "isin", "weight", F.array().cast("array<string>").alias("path"))
     for _ in range(depth):
-        marked = now.join(funds, F.col("isin") == F.col("f"), "left").withColumn("opens", F.col("f").isNotNull() & ~F.array_contains("path", F.col("isin")))
-        done = marked.where(~F.col("opens")).select("portfolio", "isin", "weight")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        now = marked.where("opens").join(shares, F.col("isin") == F.col("fund")).select("portfolio", F.col("child").alias("isin"), (F.col("weight") * F.col("share")).alias("weight"), F.concat("path", F.array("isin")).alias("path"))
-    leaves = leaves.unionByName(now.select("portfolio", "isin", "weight"))
-    return leaves.groupBy("portfolio", "isin").agg(F.sum("weight").alias("weight"))
+        rows = rows.join(shares, (F.col("isin") == F.col("fund")) & ~F.array_contains("path", F.col("fund")), "left").select(
+            "portfolio", F.coalesce("child", "isin").alias("isin"), (F.col("weight") * F.coalesce("share", F.lit(1.0))).alias("weight"), F.when(F.col("fund").isNotNull(), F.concat("path", F.array("fund"))).otherwise(F.col("path")).alias("path")
+        )
+    return rows.groupBy("portfolio", "isin").agg(F.sum("weight").alias("weight"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from kosha import conventions as C
 
+from .joins import small
+
 
 def clean_series(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One positive value for each key and date, the last in `order`, by date."""
@@ -126,52 +128,93 @@ def benchmark_stats(nav: DataFrame, bench: DataFrame, key: str) -> DataFrame:
     )
 
 
-def series_analytics(nav: DataFrame, bench: DataFrame, key: str) -> DataFrame:
-    """Growth over 1, 3 and 5 years and since inception, risk, drawdown and benchmark statistics of every series."""
-    out = nav.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("inception"), F.max("d").alias("as_of"), F.min_by("nav", "d").alias("s"), F.max_by("nav", "d").alias("e"))
-    span = F.datediff("as_of", "inception")
-    out = out.select(key, "n", "inception", "as_of", F.when(span >= C.MIN_CAGR_WINDOW_DAYS, cagr(F.col("s"), F.col("e"), span)).alias("cagr_inception"))
-    for y in (1, 3, 5):
-        out = out.join(window_info(nav, key, y).select(key, F.col("cagr").alias(f"cagr_{y}y"), F.col("complete").alias(f"complete_{y}y")), key, "left")
-    out = out.join(risk(nav, key).select(key, "volatility", "sharpe", "sortino", "risk_unavailable"), key, "left").join(max_drawdown(nav, key), key, "left")
-    return out.join(benchmark_stats(nav, bench, key).select(key, "beta", "alpha", "tracking_error", "r_squared"), key, "left")
-
+def series_analytics(nav: DataFrame, bench: DataFrame, key: str, rf_pct: float = C.DEFAULT_RF_PCT) -> DataFrame:
+    """Growth over 1, 3 and 5 years and since inception, risk, drawdown and benchmark statistics of every series.
 
-def asof_fill(grid: DataFrame, series: DataFrame, key: str) -> DataFrame:
+    One pass of windows over each series and one aggregation; the index, a row for
+    each day, is joined by date.
+    """
+    need = {y: round(y * C.DAYS_PER_YEAR) for y in (1, 3, 5)}
+    by_day, rf = W.partitionBy(key).orderBy("d"), rf_pct / 100
+    index = daily_returns(bench.withColumn("k", F.lit(0)), "k").where("ret is not null").select("d", F.col("ret").alias("b"))
+    rows = nav.withColumns({
+        "last": F.max("d").over(W.partitionBy(key)),
+        "before": F.lag("d").over(by_day),
+        "ret": F.when((F.lag("nav").over(by_day) > 0) & (F.col("nav") > 0), F.col("nav") / F.lag("nav").over(by_day) - 1),
+        "peak": F.max("nav").over(by_day.rowsBetween(W.unboundedPreceding, 0)),
+    }).join(small(index), "d", "left")
+    inside = {y: F.col("d") >= F.date_sub("last", n) for y, n in need.items()}
+    ret3 = F.when(F.col("before") >= F.date_sub("last", need[3]), F.col("ret"))
+    below = F.when(ret3.isNotNull(), F.least(ret3 - rf / C.TRADING_DAYS, F.lit(0.0)))
+    both = F.col("ret").isNotNull() & F.col("b").isNotNull()
+    mine, theirs, day = (F.when(both, F.col(c)) for c in ("ret", "b", "d"))
+    ends = []
+    for y in need:
+        d = F.when(inside[y], F.col("d"))
+        ends += [F.min(d).alias(f"s{y}"), F.min_by("nav", d).alias(f"n{y}"), F.count(d).alias(f"k{y}")]
+    g = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.min("d").alias("inception"), F.max("d").alias("as_of"), F.min_by("nav", "d").alias("first"), F.max_by("nav", "d").alias("e"), *ends,
+        F.stddev_samp(ret3).alias("sd3"), F.sqrt(F.avg(below * below)).alias("dd3"), F.min(F.col("nav") / F.col("peak") - 1).alias("max_drawdown"),
+        F.count(day).alias("common"), F.datediff(F.max(day), F.min(day)).alias("span"), F.covar_samp(mine, theirs).alias("cov"), F.var_samp(theirs).alias("var"), F.avg(mine).alias("m"), F.avg(theirs).alias("mb"),
+        F.stddev_samp(mine - theirs).alias("sd"), F.corr(mine, theirs).alias("rho"),
+    )
+    years, days3 = [], F.datediff("as_of", "s3")
+    for y, n in need.items():
+        days = F.datediff("as_of", f"s{y}")
+        years += [F.when(days >= n - 5, cagr(F.col(f"n{y}"), F.col("e"), days)).alias(f"cagr_{y}y"), (days >= n - 5).alias(f"complete_{y}y")]
+    few, short = F.col("k3") < C.MIN_POINTS_FOR_STATS, days3 < C.MIN_RISK_WINDOW_DAYS
+    growth, year = cagr(F.col("n3"), F.col("e"), days3), C.TRADING_DAYS**0.5
+    ratio = lambda c: F.when(~few & ~short, F.try_divide(growth - rf, F.nullif(F.col(c) * year, F.lit(0.0))))
+    ok, beta = (F.col("common") >= C.MIN_POINTS_FOR_STATS) & (F.col("span") >= C.MIN_RISK_WINDOW_DAYS) & (F.col("var") > 0), F.col("cov") / F.col("var")
+    whole = F.datediff("as_of", "inception")
+    return g.select(
+        key, "n", "inception", "as_of", F.when(whole >= C.MIN_CAGR_WINDOW_DAYS, cagr(F.col("first"), F.col("e"), whole)).alias("cagr_inception"), *years,
+        F.when(~few & ~short, F.col("sd3") * year).alias("volatility"), ratio("sd3").alias("sharpe"), ratio("dd3").alias("sortino"), F.when(few, "too few points").when(short, "span below one year").alias("risk_unavailable"),
+        "max_drawdown", F.when(ok, beta).alias("beta"), F.when(ok, (F.col("m") - beta * F.col("mb")) * C.TRADING_DAYS).alias("alpha"), F.when(ok, F.col("sd") * year).alias("tracking_error"), F.when(ok, F.col("rho") * F.col("rho")).alias("r_squared"),
+    )
+
+
+def asof_fill(grid: DataFrame, series: DataFrame, key: str | list[str]) -> DataFrame:
     """The last value at or before each grid date, for each series: a union and a running last value instead of a range join."""
-    asked = grid.select(key, "d", F.lit(None).cast("double").alias("nav"), F.lit(True).alias("asked"))
-    both = asked.unionByName(series.select(key, "d", "nav", F.lit(False).alias("asked")))
-    w = W.partitionBy(key).orderBy("d", "asked").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("value", F.last("nav", ignorenulls=True).over(w)).where("asked").select(key, "d", F.col("value").alias("nav"))
-
-
-def compare(nav: DataFrame, key: str) -> DataFrame:
-    """Growth of all given series over their common window, on the grid of the densest one (least key on ties), rebased to 100."""
-    spans = nav.groupBy(key).agg(F.min("d").alias("s"), F.max("d").alias("e"))
-    common = spans.agg(F.max("s").alias("s"), F.min("e").alias("e"))
-    inside = nav.join(F.broadcast(common), F.col("d").between(F.col("s"), F.col("e")))
-    dense = inside.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(1)
-    dates = inside.join(F.broadcast(dense.select(key)), key, "left_semi").select("d")
-    grid = nav.select(key).distinct().crossJoin(F.broadcast(dates))  # at most 12 series, by the caller's choice
-    filled = asof_fill(grid, nav, key)
-    first = F.first("nav").over(W.partitionBy(key).orderBy("d"))
+    keys = [key] if isinstance(key, str) else key
+    asked = grid.select(*keys, "d", F.lit(None).cast("double").alias("nav"), F.lit(True).alias("asked"))
+    both = asked.unionByName(series.select(*keys, "d", "nav", F.lit(False).alias("asked")))
+    w = W.partitionBy(*keys).orderBy("d", "asked").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("value", F.last("nav", ignorenulls=True).over(w)).where("asked").select(*keys, "d", F.col("value").alias("nav"))
+
+
+def _grids(nav: DataFrame, by: str, key: str, lines: DataFrame) -> DataFrame:
+    """by, key, d: the dates of the densest series of each set (least key on ties), for every line (by, key)."""
+    dense = nav.groupBy(by, key).agg(F.count(F.lit(1)).alias("n")).groupBy(by).agg(F.max_by(key, F.struct("n", (-F.col(key)).alias("k"))).alias(key))
+    return lines.select(by, key).distinct().join(nav.join(dense, [by, key], "left_semi").select(by, "d"), by)
+
+
+def compare(nav: DataFrame, by: str, key: str) -> DataFrame:
+    """Growth of the series of each set over their common window, on the grid of the densest one, rebased to 100.
+
+    nav: by (the set, of at most 12 series), key (a number), d, nav.
+    """
+    common = nav.groupBy(by, key).agg(F.min("d").alias("s"), F.max("d").alias("e")).groupBy(by).agg(F.max("s").alias("s"), F.min("e").alias("e"))
+    inside = nav.join(small(common), by).where(F.col("d").between(F.col("s"), F.col("e")))
+    filled = asof_fill(_grids(inside, by, key, nav), nav, [by, key])
+    first = F.first("nav").over(W.partitionBy(by, key).orderBy("d"))
     return filled.withColumn("rebased", 100 * F.col("nav") / first)
 
 
-def portfolio_blend(nav: DataFrame, weights: DataFrame, key: str) -> DataFrame:
-    """Value of a weighted portfolio on the densest grid, every series at 100 on its first valued grid date; days on which one has no value yet are skipped.
+def portfolio_blend(nav: DataFrame, weights: DataFrame, by: str, key: str) -> DataFrame:
+    """Value of weighted portfolios on the densest grid of each, every series at 100 on its first valued grid date; days on which one has no value yet are skipped.
 
-    weights (key, weight) are scaled to 100 in total.
+    weights (by, key, weight) are scaled to 100 for each portfolio, of at most 50
+    lines; nav: key (a number), d, nav.
     """
-    mine = nav.join(F.broadcast(weights), key)
-    n = weights.select(key).distinct().count()
-    dense = mine.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(1)
-    dates = mine.join(F.broadcast(dense.select(key)), key, "left_semi").select("d")
-    filled = asof_fill(weights.select(key).distinct().crossJoin(F.broadcast(dates)), nav, key).where("nav is not null")
-    base = F.first("nav").over(W.partitionBy(key).orderBy("d"))
-    share = weights.groupBy(key).agg(F.sum("weight").alias("w")).withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy(F.lit(0))))
-    valued = filled.withColumn("rel", F.col("nav") / base).join(F.broadcast(share), key)
-    return valued.groupBy("d").agg((100 * F.sum(F.col("rel") * F.col("w"))).alias("nav"), F.count(F.lit(1)).alias("k")).where(F.col("k") == n).select("d", "nav")
+    lines = weights.groupBy(by, key).agg(F.sum("weight").alias("w"))
+    total = lines.groupBy(by).agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("lines"))
+    mine = nav.join(small(lines), key)
+    filled = asof_fill(_grids(mine, by, key, lines), mine, [by, key]).where("nav is not null")
+    base = F.first("nav").over(W.partitionBy(by, key).orderBy("d"))
+    valued = filled.withColumn("rel", F.col("nav") / base).join(small(lines), [by, key])
+    sums = valued.groupBy(by, "d").agg(F.sum(F.col("rel") * F.col("w")).alias("x"), F.count(F.lit(1)).alias("k"))
+    return sums.join(small(total), by).where(F.col("k") == F.col("lines")).select(by, "d", (100 * F.col("x") / F.col("total")).alias("nav"))
 
 
 def completeness(nav: DataFrame, key: str, as_of: str, max_gap: int = 10, max_age: int = 7) -> DataFrame:

@@ -90,15 +90,23 @@ def j04(spark, sf):
     return b.join(D.securities(spark, sf).select("isin", "sector"), "isin", "left").select("isin", F.coalesce("own", "sector").alias("issuer"), "coupon")
 
 
-@register("j06_overlap_matrix", f"WITH {H}, h AS (SELECT * FROM holdings WHERE scheme_id < 12) SELECT a.scheme_id AS a, b.scheme_id AS b, round(sum(least(a.weight, b.weight)), 4) AS overlap, count(*) AS common FROM h a JOIN h b USING (isin) WHERE a.scheme_id <= b.scheme_id GROUP BY ALL")
+_OVER = f"{H}, h AS (SELECT scheme_id // 12 AS set_id, * FROM holdings), o AS (SELECT a.set_id, a.scheme_id AS a, b.scheme_id AS b, sum(least(a.weight, b.weight)) AS overlap, count(*) AS common FROM h a JOIN h b USING (set_id, isin) WHERE a.scheme_id <= b.scheme_id GROUP BY ALL)"
+
+
+def _overlaps(spark, sf):
+    """Sets of at most 12 schemes that together hold every scheme."""
+    return P.overlap(D.holdings(spark, sf).withColumn("set_id", F.expr("scheme_id div 12")), "set_id", "scheme_id", "isin")
+
+
+@register("j06_overlap_matrix", f"WITH {_OVER} SELECT set_id, a, b, round(overlap, 4) AS overlap, common FROM o")
 def j06(spark, sf):
-    return _r(P.overlap(D.holdings(spark, sf).where("scheme_id < 12"), "scheme_id", "isin"))
+    return _r(_overlaps(spark, sf))
 
 
-@register("g18_top_overlap_pairs", f"WITH {H}, h AS (SELECT * FROM holdings WHERE scheme_id < 12), o AS (SELECT a.scheme_id AS a, b.scheme_id AS b, sum(least(a.weight, b.weight)) AS overlap FROM h a JOIN h b USING (isin) WHERE a.scheme_id < b.scheme_id GROUP BY ALL) SELECT a, b, round(overlap, 4) AS overlap FROM o ORDER BY o.overlap DESC, a, b LIMIT 5")
+@register("g18_top_overlap_pairs", f"WITH {_OVER} SELECT set_id, a, b, round(overlap, 4) AS overlap FROM o WHERE a < b QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY o.overlap DESC, a, b) <= 5")
 def g18(spark, sf):
-    o = P.overlap(D.holdings(spark, sf).where("scheme_id < 12"), "scheme_id", "isin").where("a < b").select("a", "b", "overlap")
-    return _r(C.page(o, [F.desc("overlap"), F.col("a"), F.col("b")], 5))
+    o = _overlaps(spark, sf).where("a < b").select("set_id", "a", "b", "overlap")
+    return _r(C.top_of_each(o, "set_id", [F.desc("overlap"), F.col("a"), F.col("b")], 5))
 
 
 @register("j24_identity_coalesce", "SELECT p_partkey AS isin, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_name END, CASE WHEN p_partkey % 3 = 0 THEN p_brand END, p_type) AS name FROM part")
@@ -168,9 +176,9 @@ def g11(spark, sf):
     return _r(P.sector_split(D.holdings(spark, sf).join(D.securities(spark, sf), "isin"), "scheme_id", "sector"))
 
 
-@register("g17_overlap_concentration", f"WITH {H} SELECT isin, round(sum(weight), 4) AS weight, count(*) AS schemes FROM holdings WHERE scheme_id < 12 GROUP BY 1 ORDER BY sum(weight) DESC, isin LIMIT 10")
+@register("g17_overlap_concentration", f"WITH {H} SELECT isin, round(sum(weight), 4) AS weight, count(*) AS schemes FROM holdings GROUP BY 1 ORDER BY sum(weight) DESC, isin LIMIT 10")
 def g17(spark, sf):
-    g = D.holdings(spark, sf).where("scheme_id < 12").groupBy("isin").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("schemes"))
+    g = D.holdings(spark, sf).groupBy("isin").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("schemes"))
     return _r(C.page(g, [F.desc("weight"), F.col("isin")], 10))
 
 
@@ -186,12 +194,12 @@ def g36(spark, sf):
     return _r(u.groupBy("code").agg(F.max("d").alias("d"), F.max_by("nav", "d").alias("nav")))
 
 
-@register("j16_look_through", """WITH RECURSIVE units AS (SELECT CAST(l_suppkey AS VARCHAR) AS fund, CASE WHEN l_partkey % 50 < 12 THEN CAST(l_partkey % 10 AS VARCHAR) ELSE 'P' || l_partkey % 50 END AS isin, sum(l_quantity) AS weight FROM lineitem WHERE l_suppkey < 10 GROUP BY ALL),
+@register("j16_look_through", """WITH RECURSIVE units AS (SELECT CAST(l_suppkey AS VARCHAR) AS fund, CASE WHEN l_partkey % 50 < 12 THEN CAST(l_partkey % 10 AS VARCHAR) ELSE 'P' || l_partkey % 50 END AS isin, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL),
 sh AS (SELECT fund, isin AS child, weight / sum(weight) OVER (PARTITION BY fund) AS share FROM units),
-t(portfolio, isin, weight, path, lv) AS (SELECT 1, CAST(x AS VARCHAR), 25.0::DOUBLE, []::VARCHAR[], 0 FROM range(0, 4) r(x) UNION ALL SELECT portfolio, child, t.weight * share, list_append(path, t.isin), lv + 1 FROM t JOIN sh ON t.isin = sh.fund WHERE NOT list_contains(path, t.isin) AND lv < 3)
+t(portfolio, isin, weight, path, lv) AS (SELECT s_suppkey // 50, CAST(s_suppkey AS VARCHAR), 2.0::DOUBLE, []::VARCHAR[], 0 FROM supplier UNION ALL SELECT portfolio, child, t.weight * share, list_append(path, t.isin), lv + 1 FROM t JOIN sh ON t.isin = sh.fund WHERE NOT list_contains(path, t.isin) AND lv < 3)
 SELECT portfolio, isin, round(sum(weight), 4) AS weight FROM t WHERE isin NOT IN (SELECT fund FROM units) OR list_contains(path, isin) OR lv = 3 GROUP BY ALL""")
 def j16(spark, sf):
     child = F.expr("CASE WHEN l_partkey % 50 < 12 THEN cast(l_partkey % 10 AS string) ELSE concat('P', l_partkey % 50) END")
-    units = D.read(spark, sf, "lineitem").where("l_suppkey < 10").groupBy(F.col("l_suppkey").cast("string").alias("fund"), child.alias("isin")).agg(F.sum("l_quantity").alias("weight"))
-    items = spark.createDataFrame([(1, str(i), 25.0) for i in range(4)], "portfolio int, isin string, weight double")
+    units = D.read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("fund"), child.alias("isin")).agg(F.sum("l_quantity").alias("weight"))
+    items = D.read(spark, sf, "supplier").select(F.expr("s_suppkey div 50").alias("portfolio"), F.col("s_suppkey").cast("string").alias("isin"), F.lit(2.0).alias("weight"))
     return _r(P.look_through(items, units, depth=3))

@@ -32,7 +32,7 @@ def _scheme_tx(spark, sf):
     return t.select("portfolio_id", F.pmod("tx_id", F.lit(7)).alias("scheme_id"), "d", f.alias("amount"), (f / 100).alias("units")).where("amount <> 0")
 
 
-_STX = f"{T}, k AS (SELECT *, {KIND} AS kind FROM tx WHERE portfolio_id % 50 = 0), st AS (SELECT portfolio_id, tx_id % 7 AS scheme_id, d, CASE kind WHEN 'in' THEN amount WHEN 'out' THEN -amount ELSE 0 END AS amount FROM k), stx AS (SELECT *, amount / 100 AS units FROM st WHERE amount <> 0)"
+_STX = f"{T}, k AS (SELECT *, {KIND} AS kind FROM tx), st AS (SELECT portfolio_id, tx_id % 7 AS scheme_id, d, CASE kind WHEN 'in' THEN amount WHEN 'out' THEN -amount ELSE 0 END AS amount FROM k), stx AS (SELECT *, amount / 100 AS units FROM st WHERE amount <> 0)"
 
 
 @register("f02_opening_units", f"WITH {_STX}, m AS (SELECT portfolio_id, scheme_id, sum(units) AS moved, count(*) * 1000.0 AS end_units FROM stx GROUP BY ALL) SELECT portfolio_id, scheme_id, round(greatest(0, end_units - moved), 4) AS opening FROM m")
@@ -75,16 +75,17 @@ def f10(spark, sf):
     return _r(L.xirr(fl, "portfolio_id", 60))
 
 
-_SCH = f"{BO}, b1 AS (SELECT *, date_diff('day', settle, maturity) / 365.25 AS years FROM bonds), b2 AS (SELECT *, greatest(1, CAST(ceil(years * freq - 0.02) AS INTEGER)) AS n FROM b1), b3 AS (SELECT *, years * freq - (n - 1) AS first FROM b2), sch AS (SELECT *, greatest(0.0, coupon / freq * (1 - first)) AS accrued FROM b3)"
+_SCH = f"""{BO}, b1 AS (SELECT *, date_diff('day', settle, maturity) / 365.25 AS years FROM bonds), b2 AS (SELECT *, years * freq - floor(years * freq) AS part FROM b1),
+b3 AS (SELECT *, CASE WHEN part < 1e-9 THEN 1.0 ELSE part END AS first, greatest(1, CAST(CASE WHEN part < 1e-9 THEN round(years * freq) ELSE floor(years * freq) + 1 END AS INTEGER)) AS n FROM b2), sch AS (SELECT *, coupon / freq * (1 - first) AS accrued FROM b3)"""
 
 
 def _pv(y):
     return f"(list_sum(list_transform(range(0, n), lambda k: coupon / freq / power(1 + {y} / freq, first + k))) + 100 / power(1 + {y} / freq, first + n - 1))"
 
 
-_YTM = f"""{_SCH}, yb(isin, i, lo, hi) AS (SELECT isin, 0, 1e-6::DOUBLE, 6.0::DOUBLE FROM sch WHERE coupon > 0 AND {_pv('1e-6')} > price + accrued UNION ALL
+_YTM = f"""{_SCH}, yb(isin, i, lo, hi) AS (SELECT isin, 0, 1e-6::DOUBLE, 6.0::DOUBLE FROM sch WHERE coupon > 0 AND {_pv('1e-6')} >= price + accrued UNION ALL
 SELECT isin, i + 1, CASE WHEN {_pv('((lo + hi) / 2)')} > price + accrued THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_pv('((lo + hi) / 2)')} > price + accrued THEN hi ELSE (lo + hi) / 2 END FROM yb JOIN sch USING (isin) WHERE i < 60),
-yt AS (SELECT sch.*, CASE WHEN coupon = 0 THEN CASE WHEN price < 100 THEN power(100 / price, 1 / years) - 1 END ELSE (lo + hi) / 2 END AS ytm FROM sch LEFT JOIN yb ON yb.isin = sch.isin AND i = 60)"""
+yt AS (SELECT sch.*, CASE WHEN coupon = 0 THEN power(100 / price, 1 / years) - 1 ELSE (lo + hi) / 2 END AS ytm FROM sch LEFT JOIN yb ON yb.isin = sch.isin AND i = 60)"""
 
 
 @register("k01_present_value", f"WITH {_SCH} SELECT isin, n, round(first, 6) AS first, round(accrued, 6) + 0.0 AS accrued, round({_pv('0.07')}, 6) AS price7 FROM sch")

@@ -82,12 +82,15 @@ def n19(spark, sf):
     return _r(h.withColumn("w", F.when(F.max("w").over(W.partitionBy("k")).between(1e-9, 2), F.col("w") * 100).otherwise(F.col("w"))))
 
 
-@register("v01_normalize_metric", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_quantity / 100 <= 0.3 THEN l_quantity / 100 WHEN l_quantity / 100 <= 30 THEN l_quantity / 100 / 100 END AS v FROM lineitem WHERE l_orderkey < 500")
+_V01 = ", ".join(f"CASE WHEN {x} > {hi} AND {x} / 100 <= {hi} THEN {x} / 100 ELSE {x} END AS {k}" for k, x, hi in (("ter", "CAST(l_quantity AS DOUBLE)", 0.05), ("ytm", "CAST(l_quantity AS DOUBLE)", 0.35), ("duration", "CAST(l_extendedprice AS DOUBLE)", 60.0)))
+
+
+@register("v01_normalize_metric", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {_V01} FROM lineitem")
 def v01(spark, sf):
-    from kosha.conventions import normalize_rate
+    from kosha.conventions import normalize_metric
 
-    r = D.read(spark, sf, "lineitem")
-    return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", normalize_rate(F.col("l_quantity") / 100, 0.3).alias("v"))
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    return D.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", normalize_metric(q, "ter").alias("ter"), normalize_metric(q, "ytm").alias("ytm"), normalize_metric(p, "duration").alias("duration"))
 
 
 @register("m01_latest_wins", "SELECT l_partkey AS k, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) AS price, max(l_shipdate)::DATE AS d FROM lineitem GROUP BY 1")
@@ -174,7 +177,8 @@ def e04(spark, sf):
 
 
 _RULES = [("r1", "top1", "<=", 1.0), ("r2", "top5", "<=", 3.0), ("r3", "top10", ">=", 4.0), ("r4", "unknown", "<=", 1.0)]
-_METRICS = f"{sql.HOLDINGS}, k AS (SELECT *, row_number() OVER (PARTITION BY scheme_id ORDER BY weight DESC, isin) AS k FROM holdings), m AS (SELECT scheme_id, 'top' || n AS metric, sum(weight) FILTER (k <= n) AS value FROM k, (VALUES (1), (5), (10)) v(n) GROUP BY ALL), r(rule, metric, op, bound) AS (VALUES ('r1', 'top1', '<=', 1.0), ('r2', 'top5', '<=', 3.0), ('r3', 'top10', '>=', 4.0), ('r4', 'unknown', '<=', 1.0)), x AS (SELECT scheme_id, rule, metric, value, bound, CASE op WHEN '<=' THEN value <= bound ELSE value >= bound END AS passed, CASE op WHEN '<=' THEN bound - value ELSE value - bound END AS headroom FROM m JOIN r USING (metric))"
+_METRICS = f"""{sql.HOLDINGS}, k AS (SELECT *, row_number() OVER (PARTITION BY scheme_id ORDER BY weight DESC, isin) AS k FROM holdings), m AS (SELECT scheme_id, 'top' || n AS metric, sum(weight) FILTER (k <= n) AS value FROM k, (VALUES (1), (5), (10)) v(n) GROUP BY ALL), r(rule, metric, op, bound) AS (VALUES ('r1', 'top1', '<=', 1.0), ('r2', 'top5', '<=', 3.0), ('r3', 'top10', '>=', 4.0), ('r4', 'unknown', '<=', 1.0)),
+x AS (SELECT s.scheme_id, rule, r.metric, value, bound, CASE op WHEN '<=' THEN value <= bound ELSE value >= bound END AS passed, CASE op WHEN '<=' THEN bound - value ELSE value - bound END AS headroom FROM (SELECT DISTINCT scheme_id FROM holdings) s, r LEFT JOIN m ON m.scheme_id = s.scheme_id AND m.metric = r.metric)"""
 
 
 def _results(spark, sf):

@@ -113,23 +113,22 @@ def a13(spark, sf):
     return _rounded(S.series_analytics(D.nav(spark, sf), D.benchmark_nav(spark, sf), K))
 
 
-_FILL = """sel AS (SELECT DISTINCT scheme_id FROM {src}), filled AS (SELECT s.scheme_id, g.d, n.nav FROM sel s CROSS JOIN grid g ASOF LEFT JOIN nav n ON n.scheme_id = s.scheme_id AND n.d <= g.d)"""
-
-
-@register("a15_compare_schemes", f"""WITH {sql.NAV.replace("AS nav FROM nr)", "AS nav FROM nr WHERE scheme_id < 12)")}, sp AS (SELECT scheme_id, min(d) AS s, max(d) AS e FROM nav GROUP BY 1), cm AS (SELECT max(s) AS s, min(e) AS e FROM sp),
-ins AS (SELECT nav.* FROM nav, cm WHERE d BETWEEN cm.s AND cm.e), de AS (SELECT scheme_id FROM ins GROUP BY 1 ORDER BY count(*) DESC, scheme_id LIMIT 1), grid AS (SELECT d FROM ins JOIN de USING (scheme_id)),
-{_FILL.format(src="nav")} SELECT scheme_id, d, round(nav, 6) AS nav, round(100 * nav / first_value(nav) OVER (PARTITION BY scheme_id ORDER BY d), 6) AS rebased FROM filled""")
+# Sets of at most 12 schemes for a comparison, of at most 50 for a portfolio; together they hold every scheme.
+@register("a15_compare_schemes", f"""WITH {sql.NAV}, ns AS (SELECT scheme_id // 12 AS set_id, * FROM nav), sp AS (SELECT set_id, scheme_id, min(d) AS s, max(d) AS e FROM ns GROUP BY ALL), cm AS (SELECT set_id, max(s) AS s, min(e) AS e FROM sp GROUP BY 1),
+ins AS (SELECT ns.* FROM ns JOIN cm ON ns.set_id = cm.set_id AND ns.d BETWEEN cm.s AND cm.e), ct AS (SELECT set_id, scheme_id, count(*) AS n FROM ins GROUP BY ALL), de AS (SELECT set_id, scheme_id FROM ct QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY n DESC, scheme_id) = 1),
+grid AS (SELECT set_id, d FROM ins JOIN de USING (set_id, scheme_id)), filled AS (SELECT g.set_id, s.scheme_id, g.d, n.nav FROM sp s JOIN grid g USING (set_id) ASOF LEFT JOIN nav n ON n.scheme_id = s.scheme_id AND n.d <= g.d)
+SELECT set_id, scheme_id, d, round(nav, 6) AS nav, round(100 * nav / first_value(nav) OVER (PARTITION BY set_id, scheme_id ORDER BY d), 6) AS rebased FROM filled""")
 def a15(spark, sf):
-    return _rounded(S.compare(D.nav(spark, sf).where(F.col(K) < 12), K))
+    return _rounded(S.compare(D.nav(spark, sf).withColumn("set_id", F.expr("scheme_id div 12")), "set_id", K))
 
 
-@register("a16_portfolio_blend", f"""WITH {sql.NAV}, w AS (SELECT s_suppkey AS scheme_id, CAST(1 + s_suppkey % 5 AS DOUBLE) AS weight FROM supplier WHERE s_suppkey % 10 = 3), mine AS (SELECT nav.* FROM nav JOIN w USING (scheme_id)),
-de AS (SELECT scheme_id FROM mine GROUP BY 1 ORDER BY count(*) DESC, scheme_id LIMIT 1), grid AS (SELECT d FROM mine JOIN de USING (scheme_id)), {_FILL.format(src="w")},
-v AS (SELECT scheme_id, d, nav / first_value(nav) OVER (PARTITION BY scheme_id ORDER BY d) AS rel FROM filled WHERE nav IS NOT NULL)
-SELECT d, round(100 * sum(rel * weight / (SELECT sum(weight) FROM w)), 6) AS nav FROM v JOIN w USING (scheme_id) GROUP BY d HAVING count(*) = (SELECT count(*) FROM w)""")
+@register("a16_portfolio_blend", f"""WITH {sql.NAV}, w AS (SELECT s_suppkey // 50 AS portfolio_id, s_suppkey AS scheme_id, CAST(1 + s_suppkey % 5 AS DOUBLE) AS weight FROM supplier), t AS (SELECT portfolio_id, sum(weight) AS total, count(*) AS n FROM w GROUP BY 1), mine AS (SELECT portfolio_id, nav.* FROM nav JOIN w USING (scheme_id)),
+ct AS (SELECT portfolio_id, scheme_id, count(*) AS n FROM mine GROUP BY ALL), de AS (SELECT portfolio_id, scheme_id FROM ct QUALIFY row_number() OVER (PARTITION BY portfolio_id ORDER BY n DESC, scheme_id) = 1), grid AS (SELECT portfolio_id, d FROM mine JOIN de USING (portfolio_id, scheme_id)),
+filled AS (SELECT g.portfolio_id, s.scheme_id, g.d, n.nav FROM w s JOIN grid g USING (portfolio_id) ASOF LEFT JOIN nav n ON n.scheme_id = s.scheme_id AND n.d <= g.d), v AS (SELECT portfolio_id, scheme_id, d, nav / first_value(nav) OVER (PARTITION BY portfolio_id, scheme_id ORDER BY d) AS rel FROM filled WHERE nav IS NOT NULL)
+SELECT portfolio_id, d, round(100 * sum(rel * weight) / any_value(total), 6) AS nav FROM v JOIN w USING (portfolio_id, scheme_id) JOIN t USING (portfolio_id) GROUP BY portfolio_id, d HAVING count(*) = any_value(n)""")
 def a16(spark, sf):
-    w = D.read(spark, sf, "supplier").where(F.pmod("s_suppkey", F.lit(10)) == 3).select(F.col("s_suppkey").alias(K), (1.0 + F.pmod("s_suppkey", F.lit(5))).alias("weight"))
-    return _rounded(S.portfolio_blend(D.nav(spark, sf), w, K))
+    w = D.read(spark, sf, "supplier").select(F.expr("s_suppkey div 50").alias("portfolio_id"), F.col("s_suppkey").alias(K), (1.0 + F.pmod("s_suppkey", F.lit(5))).alias("weight"))
+    return _rounded(S.portfolio_blend(D.nav(spark, sf), w, "portfolio_id", K))
 
 
 @register("a20_history_completeness", f"""WITH {sql.NAV}, g AS (SELECT scheme_id, d, date_diff('day', lag(d) OVER (PARTITION BY scheme_id ORDER BY d), d) AS gap FROM nav)
@@ -143,7 +142,7 @@ def j25(spark, sf):
     return _rounded(D.nav(spark, sf).join(D.benchmark_nav(spark, sf).withColumnRenamed("nav", "bench"), "d"))
 
 
-@register("j26_asof_valuation", f"""WITH {sql.NAV}, grid AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 50 = 0), {_FILL.format(src="nav")} SELECT scheme_id, d, round(nav, 6) AS nav FROM filled""")
+@register("j26_asof_valuation", f"""WITH {sql.NAV}, grid AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), filled AS (SELECT s.scheme_id, g.d, n.nav FROM (SELECT DISTINCT scheme_id FROM nav) s CROSS JOIN grid g ASOF LEFT JOIN nav n ON n.scheme_id = s.scheme_id AND n.d <= g.d) SELECT scheme_id, d, round(nav, 6) AS nav FROM filled""")
 def j26(spark, sf):
     nav = D.nav(spark, sf)
     dates = D.read(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()

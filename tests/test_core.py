@@ -30,12 +30,16 @@ def test_xirr(spark):
 
 
 def test_bond_duration(spark):
-    rows = [("zero5", 0.0, 100 / 1.06**5, D(2025, 1, 1), 1), ("two10", 10.0, 103.5666, D(2022, 1, 1), 1), ("one8", 8.0, 100.0, D(2021, 1, 1), 1)]
+    # A day short of whole years of 365.25 days: a day more would mean one more coupon, due at once.
+    rows = [("zero5", 0.0, 100 / 1.06**5, D(2025, 1, 1), 1), ("two10", 10.0, 103.5666, D(2021, 12, 31), 1), ("one8", 8.0, 100.0, D(2020, 12, 31), 1), ("more", 10.0, 103.5666, D(2022, 1, 1), 1)]
     b = spark.createDataFrame([(*r[:4], D(2020, 1, 1), r[4]) for r in rows], "isin string, coupon double, price double, maturity date, settle date, freq int")
     got = {r.isin: r for r in fixed_income.with_duration(fixed_income.with_ytm(b)).collect()}
     assert got["zero5"].modified == pytest.approx(4.717, abs=5e-3)
     assert got["two10"].macaulay == pytest.approx(1.9106, abs=5e-3) and got["two10"].modified == pytest.approx(1.7691, abs=5e-3)
     assert got["one8"].macaulay == pytest.approx(1, abs=5e-3) and got["one8"].modified == pytest.approx(0.9259, abs=5e-3)
+    assert (got["two10"].n, got["more"].n) == (2, 3) and got["more"].accrued == pytest.approx(9.986, abs=1e-3)
+    over = fixed_income.with_ytm(b.withColumn("price", F.lit(104.0))).where("coupon = 0").first()
+    assert over.ytm == pytest.approx((100 / 104) ** (1 / over.years) - 1)  # below 0
 
 
 def test_rsi_anchor():
