@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import broadcast_if_small, keep, scratch
 
-SEGMENT = 256 * 1024  # bytes of a block in one record
+SEGMENT = 2 * 1024  # bytes of a block in one record; few pages of a crawl are shorter
 CHUNK = 16 * 1024  # bytes of a chunk of the transfer framing
 FILE = 64 * 1024 * 1024  # a file of this many bytes is closed and the next begun
 LEAST_REVISIT = 1000  # bytes of payload from which equal ones are revisits
@@ -226,36 +226,38 @@ _PART = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa
 
 
 def reassemble(parts: DataFrame) -> DataFrame:
-    """Whole records: segments in order, their numbers and total length verified, chunked framing decoded.
+    """id, record_type, refers_to, payload_digest and payload of whole records, one for each origin.
 
-    Records in one piece pass without a shuffle.  A segmented record whose
-    numbers are not 1 to n, or whose length is not the total, raises.
+    The parts of an origin are ordered by segment number, their numbers and total
+    length verified, the blocks joined and chunked framing decoded.  A segmented
+    record whose numbers are not 1 to n, or whose length is not the total, raises,
+    as does a payload that differs from its digest.
     """
-    whole = parts.where("number = 0").select("id", "record_type", "refers_to", "digest", "body")
-    groups = parts.where("number > 0").groupBy("origin").agg(
+    groups = parts.groupBy("origin").agg(
         F.max("id").alias("id"),
-        F.max(F.when(F.col("number") == 1, F.col("record_type"))).alias("record_type"),
+        F.max(F.when(F.col("record_type") != "continuation", F.col("record_type"))).alias("record_type"),
         F.max("refers_to").alias("refers_to"),
         F.max("digest").alias("digest"),
         F.max("total").alias("total"),
         F.array_sort(F.collect_list(F.struct("number", "body"))).alias("s"),
     )
-    body = F.aggregate("s", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["body"]))
-    groups = groups.withColumn("body", body)
-    right = (F.col("s")[0]["number"] == 1) & (F.col("s")[F.size("s") - 1]["number"] == F.size("s")) & (F.octet_length("body") == F.col("total"))
-    checked = groups.select("id", "record_type", "refers_to", "digest", F.when(F.coalesce(right, F.lit(False)), F.col("body")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), "origin"))).alias("body"))
-    return _payloads(whole.unionByName(checked))
+    numbers, bodies = F.transform("s", lambda x: x["number"]), F.transform("s", lambda x: x["body"])
+    return _payloads(groups.select("origin", "id", "record_type", "refers_to", "digest", "total", numbers.alias("numbers"), bodies.alias("bodies")))
 
 
 def _payloads(records: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = batch.to_pydict()
-            payloads = [None if kind == "revisit" else http_payload(b) for kind, b in zip(rows["record_type"], rows["body"], strict=True)]
-            for kind, p, d in zip(rows["record_type"], payloads, rows["digest"], strict=True):
-                if kind == "response" and d and hashlib.sha1(p).hexdigest() != d:
-                    raise ValueError("payload differs from its digest")
-            yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(rows["record_type"], pa.string()), pa.array(rows["refers_to"], pa.int64()), pa.array(rows["digest"], pa.string()), pa.array(payloads, pa.binary())], names=["id", "record_type", "refers_to", "payload_digest", "payload"])
+            columns = {c: batch.column(c).to_pylist() for c in ("origin", "id", "record_type", "refers_to", "digest", "total", "numbers")}
+            payloads = []
+            for origin, kind, digest, total, numbers, bodies in zip(*(columns[c] for c in ("origin", "record_type", "digest", "total", "numbers")), batch.column("bodies"), strict=True):
+                block = b"".join(x.as_buffer() for x in bodies)
+                if numbers != [0] and (kind is None or numbers != list(range(1, len(numbers) + 1)) or len(block) != total):
+                    raise ValueError(f"segments missing of {origin}")
+                payloads.append(None if kind == "revisit" else http_payload(block))
+                if kind == "response" and digest and hashlib.sha1(payloads[-1]).hexdigest() != digest:
+                    raise ValueError(f"payload of {origin} differs from its digest")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "record_type", "refers_to", "digest")), pa.array(payloads, pa.binary())], names=["id", "record_type", "refers_to", "payload_digest", "payload"])
 
     return records.mapInArrow(run, "id long, record_type string, refers_to long, payload_digest string, payload binary")
 
