@@ -29,28 +29,50 @@ KINDS = ("assign", "access", "hex", "key40", "user", "endpoint")
 COMPLEMENTS = {"key40": ("access",), "user": ("assign",), "endpoint": ("access", "assign")}
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(items: Column, kind: str, item) -> Column:
+    """item(at, x) for every x of the array, in order; item gives a struct of `kind` whose field `at` is passed on, 0 at first.
+
+    The fold goes block by block, the square root of the number of items each, so
+    that no step copies more than a block's results or the list of blocks.
+    """
+    none, blocks = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def block(acc, part):
+        zero = F.struct(acc["at"].alias("at"), none.alias("out"))
+        step = lambda a, x: _let(item(a["at"], x), lambda got: F.struct(got["at"].alias("at"), F.concat(a["out"], F.array(got)).alias("out")))
+        return F.aggregate(part, zero, step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+    def fold(xs):
+        side = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.size(xs) - 1, side), lambda i: F.slice(xs, i + 1, side))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), blocks.alias("out")), block, lambda acc: F.flatten(acc["out"]))
+
+    return F.when(F.size(items) > 0, _let(items, fold)).otherwise(none)
+
+
 def _spans(text: Column, kind: str, pattern: str, group: int = 0) -> Column:
     """All leftmost non-overlapping matches as structs (start, end, kind, value), in code points, end exclusive.
 
     A match starts where the texts between matches and the matches before it
     end; both lists come from one pattern, so their lengths give positions.
     """
-    none = _none()
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(
-            end.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))).alias("out"),
-        )
+    def item(at, x):
+        start = at + F.length(x["gap"])
+        return F.struct((start + F.length(x["hit"])).alias("at"), start.alias("start"), x["value"].alias("value"))
 
     parts = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"), values.alias("value"))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(none)
+    placed = _running(parts, "struct<at:int,start:int,value:string>", item)
+    spans = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), x["at"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
+    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(_none())
 
 
 def _joined(spans: Column) -> Column:
@@ -126,26 +148,38 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """text with the union of the sorted spans replaced.  UTF-32 gives code points fixed places; a mark before each piece is taken off by decoding."""
+    encoded = F.encode(text, "UTF-32")
+
+    def item(at, s):
+        return F.struct(F.greatest(at, s["end"]).alias("at"), at.alias("low"), F.when(s["start"] >= at, s["start"]).alias("high"))
+
+    gaps = F.filter(_running(spans, "struct<at:int,low:int,high:int>", item), lambda g: g["high"].isNotNull())
+    last = F.array(F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("low"), F.length(text).alias("high")))
+    gaps = F.concat(F.transform(gaps, lambda g: F.struct(g["low"].alias("low"), g["high"].alias("high"))), last)
+
+    def pieces(e):
+        cut = lambda g: F.substring(e, 4 * g["low"] + 1, 4 * (g["high"] - g["low"]))
+        return F.transform(gaps, lambda g: F.decode(F.concat(F.lit(b"\x00\x00\xfe\xff"), cut(g)), "UTF-32"))
+
+    return F.array_join(_let(encoded, pieces), mask)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200, mask: str = "[REDACTED]") -> DataFrame:
     """docs with every span that find_spans reports replaced by mask; all rows and columns stay.
 
     Overlapping spans are replaced once, as their union.  Null texts stay null,
-    texts without spans stay as they are.
+    texts without spans stay as they are, repeated rows stay repeated, and an
+    empty table gives an empty result.  Columns may have any names but those that
+    begin with two underscores.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.withColumn("__text", F.xxhash64(text)).withColumn("__base", _base(text))
     weak = F.concat(*[_spans(text, k, p) for k, p in (("key40", KEY40), ("user", USER), ("endpoint", ENDPOINT))])
     found = marked.where(F.size("__base") > 0).select(F.col(id_col).alias("__id"), "__text", F.col("__base").alias("base"), weak.alias("weak"))
-    linked = broadcast_if_small(keep(link_parts(found, scope), "secret-links"))
-    marked = marked.join(linked, F.col(id_col).eqNullSafe(F.col("l_id")) & (F.col("__text") == F.col("l_text")), "left")
-    spans = F.sort_array(F.concat("__base", F.coalesce("linked", _none())))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    cleaned = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    touched = F.size("__base") > 0
-    return marked.select(*[F.when(touched, cleaned).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    linked = keep(link_parts(found, scope), "secret-links").select(F.col("l_id").alias("__l_id"), F.col("l_text").alias("__l_text"), F.col("linked").alias("__linked"))
+    marked = marked.join(broadcast_if_small(linked), F.col(id_col).eqNullSafe(F.col("__l_id")) & (F.col("__text") == F.col("__l_text")), "left")
+    spans = F.sort_array(F.concat("__base", F.coalesce("__linked", _none())))
+    cleaned = F.when(F.size("__base") > 0, _masked(F.col(text_col), spans, mask)).otherwise(F.col(text_col))
+    return marked.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns])
