@@ -32,6 +32,7 @@ FAMILIES = {
 SIZE = 2048  # hashed features
 MAX_ROWS = 6_000  # most documents that a model is fitted on, in equal shares of the languages
 STEPS, COST = 150, 10.0
+ROWS = 1000  # rows of a matrix of vectors
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
 _MIXERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -81,27 +82,30 @@ class Model:
     family_machines: np.ndarray
     pair_machines: dict
 
-    def predict(self, v: np.ndarray) -> tuple[str, float]:
-        v = np.append(v, 1.0)
+    def predict(self, v: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Languages and scores of the rows of v: the family with the largest margin, then the language with most votes, of equal ones that with the largest sum of margins."""
+        v = np.concatenate((v, np.ones((len(v), 1))), 1)
+        best, sure = np.zeros(len(v), dtype=np.int64), np.ones(len(v))
         if len(self.families) > 1:
-            margins = self.family_machines @ v
-            best = int(np.argmax(margins))
-            rest = np.max(np.delete(margins, best))
-            sure = 1 / (1 + np.exp(-2.0 * (margins[best] - rest)))
-        else:
-            best, sure = 0, 1.0
-        langs = self.families[best]
-        votes = dict.fromkeys(langs, 0.0)
-        sums = dict.fromkeys(langs, 0.0)
-        for a, b in combinations(langs, 2):
-            m = float(self.pair_machines[a, b] @ v)
-            votes[a if m > 0 else b] += 1
-            sums[a] += m
-            sums[b] -= m
-        won = max(langs, key=lambda x: (votes[x], sums[x]))
-        if len(langs) > 1:
-            sure *= 1 / (1 + np.exp(-2.0 * sums[won] / (len(langs) - 1)))
-        return won, float(min(1.0, max(0.0, sure)))
+            margins = v @ self.family_machines.T
+            best = margins.argmax(1)
+            two = np.sort(margins, 1)[:, -2:]
+            sure = 1 / (1 + np.exp(-2.0 * (two[:, 1] - two[:, 0])))
+        found = np.empty(len(v), dtype=object)
+        for i, langs in enumerate(self.families):
+            rows = np.flatnonzero(best == i)
+            votes, sums = np.zeros((len(rows), len(langs))), np.zeros((len(rows), len(langs)))
+            for a, b in combinations(range(len(langs)), 2):
+                m = v[rows] @ self.pair_machines[langs[a], langs[b]]
+                votes[:, a] += m > 0
+                votes[:, b] += m <= 0
+                sums[:, a] += m
+                sums[:, b] -= m
+            won = np.lexsort((-np.arange(len(langs)) + 0 * sums, sums, votes), axis=1)[:, -1] if len(rows) else rows
+            found[rows] = np.array(langs, dtype=object)[won]
+            if len(langs) > 1:
+                sure[rows] *= 1 / (1 + np.exp(-2.0 * sums[np.arange(len(rows)), won] / (len(langs) - 1)))
+        return found.tolist(), np.clip(sure, 0.0, 1.0)
 
 
 def fit(x: np.ndarray, lang: np.ndarray) -> Model:
@@ -159,10 +163,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches):
         for b in batches:
-            found = []
-            for t in b.column(1):
-                v = ngram_vector(t.as_py()) if model is not None and t.is_valid else None
-                found.append(("und", 0.0) if v is None else model.predict(v))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=schema.names)
+            vectors = [ngram_vector(t.as_py()) if model is not None and t.is_valid else None for t in b.column(1)]
+            known = [i for i, v in enumerate(vectors) if v is not None]
+            langs, scores = ["und"] * len(vectors), np.zeros(len(vectors))
+            for low in range(0, len(known), ROWS):
+                some = known[low : low + ROWS]
+                got, scores[some] = model.predict(np.array([vectors[i] for i in some]))
+                for i, a in zip(some, got, strict=True):
+                    langs[i] = a
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
