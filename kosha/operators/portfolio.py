@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kosha.functions import classes as K
+
 
 def merge_snapshot(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row for each security of a snapshot: sums of amounts, first known coupon and label."""
@@ -84,3 +86,80 @@ def look_through(items: DataFrame, units: DataFrame, depth: int = 10) -> DataFra
             "portfolio", F.coalesce("child", "isin").alias("isin"), (F.col("weight") * F.coalesce("share", F.lit(1.0))).alias("weight"), F.when(F.col("fund").isNotNull(), F.concat("path", F.array("fund"))).otherwise(F.col("path")).alias("path")
         )
     return rows.groupBy("portfolio", "isin").agg(F.sum("weight").alias("weight"))
+
+
+# Patterns that move a holding to another asset class in an analysis.
+GOLD = r"(?i)\bgold\b"
+RATED = r"(?i)AAA|AA\+|AA|A1\+|BBB|A\+|SOV|SOVEREIGN"
+DEBT_TEXT = r"(?i)government security|state government|g-sec|gsec|sovereign|treasury|t-bill|tbill|\bsdl\b|\bgoi\b|net current assets|net receivables"
+CASH_FUND = r"(?i)money market|liquid|savings|overnight|low duration|ultra short|tbill|t-bill|treasury"
+
+
+def reclassified(holdings: DataFrame) -> DataFrame:
+    """holdings with asset_class as an analysis counts it: gold by name; rated or sovereign paper among others is debt; fund units and rated untagged lines are no equity."""
+    company, sector, asset = (F.coalesce(c, F.lit("")) for c in ("company", "sector", "asset_class"))
+    like = lambda c, p: F.rlike(c, F.lit(p))
+    unit = F.startswith(F.upper(F.coalesce("isin", F.lit(""))), F.lit("INF"))
+    stocks = F.when(unit & like(company, CASH_FUND), "cash_equivalents").when(unit, "debt").when((F.coalesce("cap", F.lit("na")) == "na") & like(sector, RATED), "debt").otherwise("stocks")
+    loose = asset.isin("", "other")
+    found = (
+        F.when(like(company, GOLD) | like(sector, GOLD), "gold")
+        .when(loose & (like(sector, RATED) | like(F.concat_ws(" ", company, sector), DEBT_TEXT)), "debt")
+        .when(loose, "other")
+        .when(asset == "stocks", stocks)
+        .otherwise(asset)
+    )
+    return holdings.withColumn("asset_class", found)
+
+
+def portfolio_splits(holdings: DataFrame, by: str) -> DataFrame:
+    """by, block, label, value: shares of each portfolio by asset class, equity sector, market cap, credit and instrument.
+
+    holdings: by, isin, company, sector, section, cap, asset_class, rating, weight
+    (effective, in percent).  Untagged equity is spread over the tagged caps in
+    proportion, so these add up to the equity share.  One pass labels every line
+    for every block, one aggregation sums them.
+    """
+    h = reclassified(holdings)
+    c = F.col
+    stocks, debt = c("asset_class") == "stocks", c("asset_class") == "debt"
+    bucket = K.cap_bucket(c("company"), c("sector"), c("isin"), c("asset_class"), c("cap"))
+    cap = F.when(stocks & bucket.isin("large", "mid", "small", "microcap", "ipo"), bucket)
+    sector = F.coalesce(F.nullif(F.trim(c("sector")), F.lit("")), F.lit("na"))
+    labels = {
+        "asset": c("asset_class"),
+        "sector": F.when(stocks, sector),
+        "cap": cap,
+        "credit": F.when(debt, K.credit_bucket(c("rating"), c("sector"), c("section"), c("company"))),
+        "instrument": F.when(debt, K.instrument_type(c("company"), c("sector"), c("section"))),
+    }
+    rows = h.select(by, "weight", F.inline(F.array(*[F.struct(F.lit(k).alias("block"), v.alias("label")) for k, v in labels.items()]))).where("label IS NOT NULL")
+    sums = rows.groupBy(by, "block", "label").agg(F.sum("weight").alias("value"))
+    w = W.partitionBy(by)
+    equity = F.sum(F.when((c("block") == "asset") & (c("label") == "stocks"), c("value"))).over(w)
+    tagged = F.sum(F.when(c("block") == "cap", c("value"))).over(w)
+    scale = F.when((c("block") == "cap") & (tagged > 0) & (equity > tagged * 1.0001), equity / tagged).otherwise(1.0)
+    return sums.withColumn("value", c("value") * scale)
+
+
+def portfolio_summary(holdings: DataFrame, by: str, as_of: str) -> DataFrame:
+    """One row for each portfolio: holdings, the largest 1, 5 and 10, debt share, debt yield and its cover, average maturity in years at as_of.
+
+    Beside the columns of portfolio_splits: yield (a number), maturity_date.
+    Yields of a portfolio whose largest is below 1 are fractions, all of them.
+    """
+    h = reclassified(holdings)
+    c = F.col
+    debt = c("asset_class") == "debt"
+    k = F.row_number().over(W.partitionBy(by).orderBy(F.desc("weight"), "isin"))
+    top_yield = F.max(F.when(debt & (c("yield") > 0), c("yield"))).over(W.partitionBy(by))
+    percent = F.when(top_yield < 1, c("yield") * 100).otherwise(c("yield"))
+    years = F.datediff("maturity_date", F.lit(as_of).cast("date")) / 365.25
+    h = h.withColumns({"k": k, "y": F.when(debt, percent), "m": F.when(debt & years.between(-1, 60), years)})
+    top = lambda n: F.sum(F.when(c("k") <= n, c("weight")))
+    mean = lambda x: F.try_divide(F.sum(c("weight") * c(x)), F.nullif(F.sum(F.when(c(x).isNotNull(), c("weight"))), F.lit(0.0)))
+    n_debt = F.count_if(debt)
+    return h.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_holdings"), top(1).alias("top1_pct"), top(5).alias("top5_pct"), top(10).alias("top10_pct"), F.coalesce(F.sum(F.when(debt, c("weight"))), F.lit(0.0)).alias("debt_pct"), n_debt.alias("n_debt_holdings"),
+        mean("y").alias("ytm_pct"), F.when(n_debt > 0, 100 * F.count("y") / n_debt).alias("ytm_cover"), mean("m").alias("avg_maturity_yrs"),
+    )
