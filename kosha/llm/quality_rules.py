@@ -22,10 +22,11 @@ REPEAT_PERCENT = 50
 
 FEATURES = ("word_length", "symbols", "duplicate_lines", "repeats")
 SUBSET = 0.75  # share of a group that a concentration step keeps
-STEPS = 5
-LEAST_ROWS = 100  # smaller groups take the estimates of their language, and these those of all rows
+MOST_STEPS = 30
+SETTLED = 1e-3  # largest change of the logarithm of a determinant that ends the steps
+LEAST_ROWS = 5 * len(FEATURES)  # rows from which a scatter of so many dimensions is estimated; smaller groups take the estimates of their language, and these those of all rows
 FLOOR = 0.08  # least standard deviation of a transformed statistic
-BINS = 16  # bins of a distance for each doubling
+BINS = 256  # bins of a distance for each doubling
 MAX_DISTANCE = 60.0  # squared; a chi-square variable of 4 degrees exceeds it with probability 3e-12
 
 
@@ -159,13 +160,15 @@ def _nearest(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
     return rows.join(broadcast_if_small(cuts), keys).where(F.col("bin") <= F.col("cut")).select(*keys, *FEATURES)
 
 
-def fit_mcd(rows: DataFrame, keys: list[str], share: float = SUBSET, steps: int = STEPS) -> DataFrame:
+def fit_mcd(rows: DataFrame, keys: list[str], share: float = SUBSET, most_steps: int = MOST_STEPS) -> DataFrame:
     """Estimates for each group of `keys` (no nulls) with at least LEAST_ROWS rows.
 
     The first subset is the half of the rows nearest to the coordinate-wise
-    median in robust units; each step keeps the rows nearest under the current
-    estimate, which never raises the determinant of the scatter (up to the width
-    of a bin).  Groups are summaries of a few numbers; rows stay where they are.
+    median in robust units; each step keeps the `share` of the rows nearest under
+    the current estimate (and all that tie with the last of them, up to a bin of
+    1/256 of a doubling), which does not raise the determinant of the scatter.
+    Steps end when no group's determinant changes.  Groups are summaries of a few
+    numbers; rows stay where they are.
     """
     large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q_{f}") for f in FEATURES]).where(F.col("n") >= LEAST_ROWS)
     large = broadcast_if_small(keep(large, "quartiles"))
@@ -173,9 +176,15 @@ def fit_mcd(rows: DataFrame, keys: list[str], share: float = SUBSET, steps: int
     spread = lambda f: F.greatest((F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0]) / 1.349, F.lit(FLOOR))
     start = start.withColumn("d", sum((F.pow((F.col(f) - F.col(f"q_{f}")[1]) / spread(f), 2) for f in FEATURES), F.lit(0.0)))
     estimates = keep(_estimates(_nearest(start.select(*keys, *FEATURES, "d"), keys, 0.5), keys), "estimates")
-    for _ in range(steps):
+    log_det = sum((F.log(f"l_{f}_{f}") for f in FEATURES), F.lit(0.0))
+    for _ in range(most_steps):
         near = _nearest(_distance(rows.join(broadcast_if_small(estimates), keys), "d").select(*keys, *FEATURES, "d"), keys, share)
-        estimates = keep(_estimates(near, keys), "estimates")
+        fresh = keep(_estimates(near, keys), "estimates")
+        was = estimates.select(*keys, log_det.alias("was"))
+        moved = fresh.select(*keys, log_det.alias("now")).join(was, keys).agg(F.max(F.abs(F.col("now") - F.col("was")))).first()[0]
+        estimates = fresh
+        if moved is None or moved <= SETTLED:
+            break
     return estimates
 
 
