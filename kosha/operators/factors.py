@@ -1,4 +1,4 @@
-"""Cross-sectional factors: momentum and low volatility of all series at once, ranked against each other."""
+"""Cross-sectional factors: momentum, low volatility, value and quality of all securities at once, ranked against each other."""
 
 from __future__ import annotations
 
@@ -42,36 +42,89 @@ def low_volatility(closes: DataFrame, bench: DataFrame) -> DataFrame:
     )
 
 
+def value_metrics(prices: DataFrame, facts: DataFrame) -> DataFrame:
+    """Yields on the price, and EBITDA over enterprise value.
+
+    prices: isin, price.  facts, per share: isin, eps, bvps, sps, cfps, dps, ebitda,
+    net_debt.  What is missing or out of range (only earnings may be negative) gives
+    null; without a positive price all is null.
+    """
+    c = F.col
+    j = prices.join(facts, "isin")
+    price = F.when(c("price") > 0, c("price"))
+    over = lambda x: F.when(c(x) > 0, c(x)) / price
+    value = price + F.coalesce("net_debt", F.lit(0.0))
+    return j.select(
+        "isin", (F.when(c("eps") != 0, c("eps")) / price).alias("earnings_yield"), over("bvps").alias("book_yield"), over("sps").alias("sales_yield"), over("cfps").alias("cashflow_yield"),
+        (F.when(c("ebitda") > 0, c("ebitda")) / F.when(value > 0, value)).alias("ev_ebitda_inv"), over("dps").alias("dividend_yield"),
+    )
+
+
+def quality_metrics(years: DataFrame, scores: DataFrame) -> DataFrame:
+    """Return on equity and its steadiness, accruals, leverage, margin trend and score, each so that more is better.
+
+    years: isin, fy, roe, margin, pat, cfo, assets, leverage.  scores: isin,
+    piotroski (0 to 9).  Steadiness and trend need three years with a value.
+    """
+    c = F.col
+    at = F.count("margin").over(W.partitionBy("isin").orderBy("fy").rowsBetween(W.unboundedPreceding, 0)).cast("double")
+    last = lambda x: F.max_by(x, "fy")
+    g = years.withColumn("x", F.when(c("margin").isNotNull(), at)).groupBy("isin").agg(
+        F.max_by("roe", F.when(c("roe").isNotNull(), c("fy"))).alias("roe_level"), F.count("roe").alias("n"), F.avg("roe").alias("m"), F.stddev_samp("roe").alias("sd"),
+        last((c("pat") - c("cfo")) / F.nullif(c("assets"), F.lit(0.0))).alias("accruals"), last("leverage").alias("lev"), F.count("margin").alias("k"), F.regr_slope("margin", "x").alias("slope"),
+    )
+    steady = F.when((c("n") >= 3) & (c("m") != 0), -c("sd") / F.abs("m"))
+    return g.join(scores, "isin", "left").select(
+        "isin", "roe_level", steady.alias("roe_stability"), (-c("accruals")).alias("accruals_inv"), F.when(c("lev") >= 0, -c("lev")).alias("leverage_inv"), F.when(c("k") >= 3, c("slope")).alias("margin_slope"), (c("piotroski") / 9).alias("piotroski_scaled")
+    )
+
+
 def winsorized_z(x: Column, over) -> Column:
-    """Sample z-score, clipped at 3; null below 5 values."""
-    z = F.try_divide(x - F.avg(x).over(over), F.nullif(F.stddev_samp(x).over(over), F.lit(0.0)))
+    """Sample z-score, clipped at 3, a deviation of 0 counting as 1; null below 5 values."""
+    sd = F.stddev_samp(x).over(over)
+    z = (x - F.avg(x).over(over)) / F.when(sd > 0, sd).otherwise(1.0)
     return F.when(F.count(x).over(over) >= 5, F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z)))
 
 
 def long_form(wide: DataFrame) -> DataFrame:
     cols = [c for c in wide.columns if c != "isin"]
-    return wide.unpivot("isin", cols, "component", "value").where("value is not null")
+    return wide.unpivot("isin", cols, "component", "value").where("value is not null AND NOT isnan(value)")
 
 
-def rank_components(values: DataFrame) -> DataFrame:
+def rank_components(values: DataFrame, by: tuple[str, ...] = ("component",)) -> DataFrame:
     """Percentile rank of each component's z-score, the sign turned for the inverted set; needs 5 values.
 
     Windows are per component, a handful of keys: ranks are taken over the universe of securities.
     """
-    by = W.partitionBy("component")
-    z = values.withColumn("z", winsorized_z(F.col("value"), by)).where("z is not null").withColumn("s", F.when(F.col("component").isin(*INVERTED), -F.col("z")).otherwise(F.col("z")))
-    return z.select("isin", "component", "z", (100 * F.percent_rank().over(by.orderBy("s"))).alias("rank"))
+    w = W.partitionBy(*by)
+    z = values.withColumn("z", winsorized_z(F.col("value"), w)).where("z is not null").withColumn("s", F.when(F.col("component").isin(*INVERTED), -F.col("z")).otherwise(F.col("z")))
+    return z.select("isin", *by, "z", (100 * F.percent_rank().over(w.orderBy("s"))).alias("rank"))
 
 
 def composite(ranks: DataFrame, least: int = 3) -> DataFrame:
     return ranks.groupBy("isin").agg(F.avg("rank").alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("isin", "score")
 
 
-def factor_scores(closes: DataFrame, bench: DataFrame) -> DataFrame:
-    """Momentum and low-volatility composites and their mean, of every security with both."""
-    m = composite(rank_components(long_form(momentum(closes)))).withColumnRenamed("score", "momentum")
-    v = composite(rank_components(long_form(low_volatility(closes, bench)))).withColumnRenamed("score", "lowvol")
-    return m.join(v, "isin", "full").withColumn("multi", F.when(F.col("momentum").isNotNull() & F.col("lowvol").isNotNull(), (F.col("momentum") + F.col("lowvol")) / 2))
+def factor_scores(closes: DataFrame, bench: DataFrame, more: dict[str, DataFrame] | None = None) -> DataFrame:
+    """isin, one composite for each factor and multi, their mean where two at least are there.
+
+    more: further factors by name, such as value and quality, as wide tables of
+    components by isin.
+    """
+    groups = {"momentum": momentum(closes), "lowvol": low_volatility(closes, bench), **(more or {})}
+    out = None
+    for name, wide in groups.items():
+        part = composite(rank_components(long_form(wide))).withColumnRenamed("score", name)
+        out = part if out is None else out.join(part, "isin", "full")
+    there = F.filter(F.array(*[F.col(g) for g in groups]), lambda x: x.isNotNull())
+    return out.withColumn("multi", F.when(F.size(there) >= 2, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there)))
+
+
+def sector_relative(scores: DataFrame, sectors: DataFrame, factors: tuple[str, ...] = ("momentum", "lowvol")) -> DataFrame:
+    """isin, sector and each factor, to six decimals, ranked within the sector; sectors with fewer than 5 scored securities have none."""
+    rows = scores.select("isin", *factors).unpivot("isin", list(factors), "component", "value").where("value is not null").withColumn("value", F.round("value", 6)).join(sectors.select("isin", "sector"), "isin")
+    ranked = rank_components(rows.withColumn("component", F.concat(F.lit("sector_"), "component")), ("sector", "component"))
+    return ranked.groupBy("isin", "sector").agg(*[F.max(F.when(F.col("component") == f"sector_{f}", F.col("rank"))).alias(f) for f in factors])
 
 
 def screen(scores: DataFrame, factor: str, top_n: int, ascending: bool = False) -> DataFrame:

@@ -17,10 +17,17 @@ def scheme_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_weights(spark: SparkSession, path: str) -> DataFrame:
-    """index, isin, weight of documents {index: {isin: weight}}; keys without the country prefix get it."""
-    docs = spark.read.schema("index string, weights map<string, double>").option("multiLine", True).json(path)
-    rows = docs.select("index", F.explode("weights").alias("isin", "weight"))
-    return rows.withColumn("isin", F.when(F.startswith("isin", F.lit("INE")), F.col("isin")).otherwise(F.concat(F.lit("INE"), "isin")))
+    """index, isin, symbol, weight of documents {index: {key: weight}}.
+
+    A key with the country prefix is an isin, any other a symbol, which is left to
+    be resolved; keys are trimmed and put in capitals, weights that are no numbers
+    are left out.
+    """
+    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, map<string, string>>").alias("m"))
+    rows = docs.select(F.explode("m").alias("index", "w")).select("index", F.explode("w").alias("key", "weight"))
+    key, weight = F.upper(F.trim("key")), F.col("weight").try_cast("double")
+    is_isin = F.startswith(key, F.lit("INE"))
+    return rows.select("index", F.when(is_isin, key).alias("isin"), F.when(~is_isin, key).alias("symbol"), weight.alias("weight")).where("weight IS NOT NULL")
 
 
 def nav_report(spark: SparkSession, path: str) -> DataFrame:
@@ -32,15 +39,35 @@ def nav_report(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.rlike("code", F.lit("^[0-9]+$")) & F.col("d").isNotNull() & (F.col("nav") > 0))
 
 
+# The columns of the two layouts of daily exchange files, and the series that hold equity.
+LAYOUTS = (
+    ("ISIN", "TradDt", "OpnPric", "HghPric", "LwPric", "ClsPric", "TtlTradgVol", "SctySrs"),
+    ("ISIN", "TIMESTAMP", "OPEN", "HIGH", "LOW", "CLOSE", "TOTTRDQTY", "SERIES"),
+)
+EQUITY_SERIES = ("EQ", "BE", "BZ", "SM", "ST", "SZ")
+
+
 def price_days(spark: SparkSession, path: str) -> DataFrame:
-    """isin, d, open, high, low, close, volume of daily exchange files in either of two layouts, equity series only."""
-    rows = spark.read.option("header", True).csv(path)
-    new = "TckrSymb" in rows.columns
-    names = ("ISIN", "TradDt", "OpnPric", "HghPric", "LwPric", "ClsPric", "TtlTradgVol", "SctySrs") if new else ("ISIN", "TIMESTAMP", "OPEN", "HIGH", "LOW", "CLOSE", "TOTTRDQTY", "SERIES")
-    i, d, o, h, low, c, v, s = (F.col(n) for n in names)
-    when = F.coalesce(F.try_to_date(d, "yyyy-MM-dd"), F.try_to_date(d, "dd-MMM-yyyy"))
-    out = rows.where(s.isin("EQ", "BE", "BZ", "SM", "ST", "SZ")).select(i.alias("isin"), when.alias("d"), *[x.try_cast("double").alias(n) for x, n in ((o, "open"), (h, "high"), (low, "low"), (c, "close"))], v.try_cast("long").alias("volume"))
-    return out.where(F.col("close") > 0)
+    """isin, d, open, high, low, close, volume of daily exchange files in either of two layouts, equity series only.
+
+    A folder may hold both: the files are told apart by their first lines, and each
+    layout is read on its own.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    heads = lines.where(F.contains("value", F.lit("ISIN"))).select("file", F.contains("value", F.lit("TckrSymb")).alias("new")).distinct()
+    files = {False: [], True: []}
+    for r in heads.collect():  # one row for each file, as a listing has
+        files[r.new].append(r.file)
+    out = None
+    for layout, new in zip(LAYOUTS, (True, False), strict=True):
+        if not files[new]:
+            continue
+        i, d, o, h, low, c, v, s = (F.trim(F.col(n)) for n in layout)
+        rows = spark.read.option("header", True).csv(files[new]).where(s.isin(*EQUITY_SERIES))
+        when = F.coalesce(F.try_to_date(d, "yyyy-MM-dd"), F.try_to_date(d, "dd-MMM-yyyy"))
+        part = rows.select(i.alias("isin"), when.alias("d"), *[x.try_cast("double").alias(n) for x, n in ((o, "open"), (h, "high"), (low, "low"), (c, "close"))], v.try_cast("long").alias("volume")).where("close > 0")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "isin string, d date, open double, high double, low double, close double, volume long")
 
 
 def append_log(spark: SparkSession, path: str, schema: str) -> DataFrame:

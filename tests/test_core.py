@@ -89,6 +89,13 @@ def test_file_sources(spark, tmp_path):
     assert [r.code for r in files.nav_report(spark, str(tmp_path / "n.txt")).collect()] == ["101"]
     (tmp_path / "p.csv").write_text("ISIN,TIMESTAMP,OPEN,HIGH,LOW,CLOSE,TOTTRDQTY,SERIES\nA,01-Jan-2024,1,2,1,2,10,EQ\nB,01-Jan-2024,1,2,1,2,10,GB\n")
     assert [(r.isin, r.d) for r in files.price_days(spark, str(tmp_path / "p.csv")).collect()] == [("A", D(2024, 1, 1))]
+    both = tmp_path / "both"
+    both.mkdir()
+    (both / "old.csv").write_text((tmp_path / "p.csv").read_text())
+    (both / "new.csv").write_text("TradDt,TckrSymb,ISIN,SctySrs,OpnPric,HghPric,LwPric,ClsPric,TtlTradgVol\n2024-07-08,S,C,EQ,3,4,3,4,5\n2024-07-08,S,E,EQ,3,4,3,0,5\n")
+    assert sorted((r.isin, r.d, r.close) for r in files.price_days(spark, str(both)).collect()) == [("A", D(2024, 1, 1), 2.0), ("C", D(2024, 7, 8), 4.0)]
+    (tmp_path / "w.json").write_text(json.dumps({"NIFTY": {"ine1 ": 5, "RELIANCE": 7.5, "bad": "x"}, "EMPTY": {}}))
+    assert sorted(map(str, (tuple(r) for r in files.index_weights(spark, str(tmp_path / "w.json")).collect()))) == ["('NIFTY', 'INE1', None, 5.0)", "('NIFTY', None, 'RELIANCE', 7.5)"]
 
 
 def test_upsert_stream_equals_batch(spark, tmp_path):
