@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kosha.functions import classes as K
 from kosha.operators import portfolio as P
+from kosha.operators import rules as R
 from kosha.sources import adapters as D
 
 from .registry import register
@@ -125,3 +126,27 @@ SELECT portfolio_id, count(*) AS n_holdings, round(sum(weight) FILTER (rk <= 1),
 def g14(spark, sf):
     s = P.portfolio_summary(effective(spark, sf), "portfolio_id", "2024-06-01")
     return s.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+# Rule texts by number; the oracle knows what each of them states.
+def _texts(spark, sf):
+    return D.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.expr("""CASE s_suppkey % 4 WHEN 0 THEN concat('Max ', s_suppkey % 20 + 1, '% single stock. MAXIMUM ', s_suppkey % 30 + 5, ' % sector; Min 30% debt. Keep calm, carry on')
+      WHEN 1 THEN concat('maximum cash = ', s_suppkey % 10, '%; max top-5 concentration ', s_suppkey % 40 + 10, '.25%, max 12 schemes') WHEN 2 THEN concat('Review yearly. Min large-cap allocation: ', s_suppkey % 50, '.5%. Max overlap between schemes 30%. min 20 holdings and max foreign 8%')
+      ELSE CASE WHEN s_suppkey % 8 = 3 THEN 'No rules here.' END END""").alias("text"))
+
+
+_STATED = {
+    0: [("max_single_stock", "single stock", "<=", "s_suppkey % 20 + 1", "%", "high"), ("max_sector", "sector", "<=", "s_suppkey % 30 + 5", "%", "high"), ("min_asset", "debt", ">=", "30", "%", "high")],
+    1: [("max_asset", "cash_equivalents", "<=", "s_suppkey % 10", "%", "high"), ("max_top5", "top 5 concentration", "<=", "s_suppkey % 40 + 10.25", "%", "medium"), ("max_schemes", "schemes", "<=", "12", "count", "low")],
+    2: [("min_large_cap", "large cap", ">=", "s_suppkey % 50 + 0.5", "%", "medium"), ("max_overlap", "scheme overlap", "<=", "30", "%", "high"), ("min_holdings", "holdings", ">=", "20", "count", "medium"), ("max_asset", "international", "<=", "8", "%", "high")],
+}
+
+
+@register("r01_parse_rules", " UNION ALL ".join(f"SELECT s_suppkey AS k, '{t}' AS rule_type, '{f}' AS field, '{o}' AS operator, CAST({v} AS DOUBLE) AS value, '{u}' AS unit, '{s}' AS severity FROM supplier WHERE s_suppkey % 4 = {m}" for m, rows in _STATED.items() for t, f, o, v, u, s in rows))
+def r01(spark, sf):
+    return R.parse_rules(_texts(spark, sf), "k")
+
+
+@register("r01_unparsed_notes", "SELECT s_suppkey AS k, 'Keep calm, carry on' AS note FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, x FROM supplier, (VALUES ('Review yearly'), ('and')) v(x) WHERE s_suppkey % 4 = 2 UNION ALL SELECT s_suppkey, 'No rules here' FROM supplier WHERE s_suppkey % 8 = 3")
+def r01_notes(spark, sf):
+    return R.unparsed(_texts(spark, sf), "k")
