@@ -20,11 +20,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/kosha-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str = "t") -> DataFrame:
+def keep(df: DataFrame, name: str = "t", codec: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -33,6 +33,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches cut into pieces of at most `rows` rows, so that what a task makes of one stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base of hashes, and of its inverse."""
     if _POWERS["n"] < n:
         n = max(n, 2 * _POWERS["n"], 1 << 16)
         up, down = np.full(n, _BASE), np.full(n, _BASE_INV)
@@ -46,7 +47,7 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     terms = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)]
     terms[~inside] = 0
     return mix(np.add.reduceat(terms, starts) * down[starts] + (ends - starts).astype(np.uint64) * _LANES[4])
