@@ -1,218 +1,413 @@
 """Exact Jaccard self-join of word n-gram sets with prefix trees.
 
 Texts that are equal share one node.  The n-grams of a set are globally ordered:
-by a block of their hash values, then rarest first, then by hash.  Two sets of
-sufficient similarity share an n-gram among their first few in that order (their
-prefixes), so only prefixes are indexed; an n-gram that no other indexed set has
-is left out.
-
-Nodes that meet under some n-gram, directly or through others, form a
-neighbourhood.  The sets of a neighbourhood are brought together once and stored
-in a radix tree.  The tree is traversed once for all its sets together: at each
-node, every set that is still in the running has the overlap with the path from
-the root, which all sets below share, and leaves where the remaining lengths
-cannot reach the bound.  Links within one class found already are not made again;
-the result has every class that all links would give.  Neighbourhoods over a size
-limit are cut into units of one n-gram and two parts of its nodes, with the same
-result.
+those that are frequent in the corpus come last, the most frequent at the end; all
+others come first, by hash.  Two sets of sufficient similarity share several
+n-grams among their first ones in that order (their prefixes), so only prefixes
+are indexed, once, by a shuffle on the n-gram.
+
+Under an n-gram that few sets index, each set meets the others; a pair that meets
+under fewer n-grams than the prefixes guarantee is dropped.  Under other n-grams,
+sets in order of size meet the one before where the lengths that remain behind
+their places allow a link.  Sets that meet, also through others, form a
+neighbourhood.  Its sets are brought together once and stored in a prefix tree,
+which is traversed once for all of them: at each node, every set that is still in
+the running has the overlap with the path from the root, which all sets below
+share, and leaves where the remaining lengths cannot reach the bound.  Links
+within one class found already are not made again; the result has every class
+that all links would give.
+
+A neighbourhood over a size limit is dealt into parts, twice and differently;
+their links give classes, and only n-grams under which several classes meet are
+looked at again: sets outside the largest class against all that they meet there.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import broadcast_if_small, keep
 from .shingles import shingle_set
 
-BLOCKS = 4  # blocks of hash values in the global order
-UNIT_GRAMS = 2_000_000  # n-grams of a neighbourhood that one task takes, 8 bytes each
-UNIT = 256  # nodes of a part of an n-gram's nodes in a larger one
-
+FREQUENT = 1 << 18  # most n-grams that the order puts last; which they are has no bearing on the result
+CHUNK_GRAMS = 2_000_000  # n-grams that are counted together in a task
+LEAST_COUNT = 2  # count in a chunk from which an n-gram takes part in the order by frequency
+MARGIN = 32  # the prefix of a set of n is longer by n div MARGIN than the shortest one that shows a link
+FEW = 16  # sets under an n-gram that all meet each other
+UNIT_GRAMS = 500_000  # n-grams of a neighbourhood that one task takes, 8 bytes each
+BATCH_GRAMS = 250_000  # n-grams in an Arrow batch on its way out
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
 
 
-def prefix_sets(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """For each distinct text with words: node, n (size of its set), sizes (of the blocks taken), tokens (of these blocks).
+def _sets(batches, width: int):
+    """(node, set) of every text of a task that has words; of equal texts, once."""
+    seen = set()
+    for b in batches:
+        for node, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if node not in seen:
+                seen.add(node)
+                s = shingle_set(np.frombuffer(t.as_buffer(), dtype=np.uint8), width)
+                if len(s):
+                    yield node, s
+
+
+def frequent_grams(docs: DataFrame, text_col: str, width: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that the global order puts last, sorted by hash, and their places among each other.
 
-    Whole blocks are taken from the first on until they hold the prefix.
+    All texts are counted, chunk by chunk; counts of LEAST_COUNT and more in a
+    chunk are summed, and the `most` n-grams with the largest sums are taken.
     """
-    bounds = (np.arange(1, BLOCKS, dtype=np.uint64) * np.uint64((1 << 64) // BLOCKS)).astype(np.uint64)
+
+    def counted(held):
+        grams, counts = np.unique(np.concatenate(held), return_counts=True)
+        often = counts >= LEAST_COUNT
+        return pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often])], names=["gram", "c"])
 
     def run(batches):
-        for b in batches:
-            nodes, ns, sizes, tokens = [], [], [], []
-            seen = set()
-            for node, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if node in seen:
-                    continue
-                seen.add(node)
-                s = shingle_set(np.frombuffer(t.as_py().encode(), dtype=np.uint8), width)
-                n = len(s)
-                if not n:
-                    continue
-                prefix = n - (n * percent + 99) // 100 + 1
-                ends = np.append(np.searchsorted(s, bounds), n)
-                take = int(np.searchsorted(ends, prefix)) + 1
-                nodes.append(node)
-                ns.append(n)
-                sizes.append(np.diff(np.append(0, ends[:take])).astype(np.int32))
-                tokens.append(s[: ends[take - 1]].view(np.int64))
-            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in part])).astype(np.int32)), pa.array(np.concatenate([*part, np.zeros(0, kind)]))) for part, kind in ((sizes, np.int32), (tokens, np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ns, pa.int64()), *lists], names=["node", "n", "sizes", "tokens"])
+        held, n = [], 0
+        for _, s in _sets(batches, width):
+            held.append(s)
+            n += len(s)
+            if n >= CHUNK_GRAMS:
+                yield counted(held)
+                held, n = [], 0
+        if held:
+            yield counted(held)
+
+    sums = _texts(docs, text_col).mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    got = sums.orderBy(F.desc("c"), "gram").limit(most).toArrow()
+    grams = got.column("gram").to_numpy().view(np.uint64)
+    by_hash = np.argsort(grams)
+    return grams[by_hash], (len(grams) - by_hash).astype(np.int64)
+
+
+def prefix_entries(docs: DataFrame, text_col: str, width: int, percent: int, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(token, node, n, place): the prefix of every set in the global order; place counts from 0, n is the size of the set."""
+    frequent, order = last
+
+    def batch(nodes, ns, tokens):
+        sizes = [len(x) for x in tokens]
+        columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.int64), sizes), np.repeat(np.array(ns, np.int32), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "place"])
 
-    found = _texts(docs, text_col).mapInArrow(run, "node long, n long, sizes array<int>, tokens array<long>")
-    return found.groupBy("node").agg(F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.first("tokens").alias("tokens"))
+    def run(batches):
+        nodes, ns, tokens, held = [], [], [], 0
+        for node, s in _sets(batches, width):
+            n = len(s)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                often = frequent[at] == s
+                if often.any():
+                    s = np.concatenate((s[~often], s[often][np.argsort(order[at[often]])]))
+            nodes.append(node)
+            ns.append(n)
+            tokens.append(s[: n - (n * percent + 99) // 100 + 1 + n // MARGIN])
+            held += len(tokens[-1])
+            if held >= BATCH_GRAMS:
+                yield batch(nodes, ns, tokens)
+                nodes, ns, tokens, held = [], [], [], 0
+        if nodes:
+            yield batch(nodes, ns, tokens)
+
+    return _texts(docs, text_col).mapInArrow(run, "token long, node long, n int, place int")
+
+
+def meetings(entries: DataFrame, percent: int, few: int = FEW) -> DataFrame:
+    """Entries under n-grams that several nodes index: token, node, n, many (over `few` nodes), before and chained.
+
+    before: in order of size, the nodes in front under an n-gram of few nodes
+    whose size allows a link, as (node, n).  chained: under one of many nodes, the
+    node in front, if the places within the shortest prefixes allow links across.
+    """
+    rows = entries.repartition("token").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+    rows = rows.withColumn("strict", F.expr(f"place <= n - (n * {percent}L + 99) div 100"))
+    # An n-gram at this place, if it is the first of an overlap, leaves room for links with sizes up to this.
+    rows = rows.withColumn("reach", F.expr(f"(n - place) * {100 + percent}L div {percent} - n"))
+    order = W.partitionBy("token").orderBy("n", "node")
+    front = order.rowsBetween(W.unboundedPreceding, -1)
+    k = F.count(F.lit(1)).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    rows = rows.select(
+        "token", "node", "n", "strict", k.alias("k"),
+        F.collect_list(F.struct("node", "n")).over(order.rowsBetween(1 - few, -1)).alias("before"),
+        F.max(F.when(F.col("strict"), F.col("reach"))).over(front).alias("reached"),
+        F.last(F.when(F.col("strict"), F.col("node")), ignorenulls=True).over(front).alias("last"),
+    ).where("k > 1")
+    many = F.col("k") > few
+    before = F.filter("before", lambda x: x["n"] * 100 >= F.col("n") * percent)
+    return rows.select("token", "node", "n", many.alias("many"), F.when(~many, before).alias("before"), F.when(many & F.col("strict") & (F.col("n") <= F.col("reached")), F.col("last")).alias("chained"))
+
+
+def candidate_edges(met: DataFrame) -> DataFrame:
+    """Edges (a, b) over which every link of two sets is connected.
+
+    A pair that is linked shares one n-gram more than the smaller size div MARGIN
+    among the prefixes.  It met under those of few nodes; of those of many nodes it
+    shares at most as many as either of the two has.
+    """
+    pairs = met.where("NOT many").select("node", "n", F.explode("before").alias("x"))
+    pairs = pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"), F.least("n", "x.n").alias("n"))
+    pairs = keep(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")), "pairs")
+    lacking = pairs.where(f"shared < 1 + n div {MARGIN}")
+    often = met.where("many").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    often_a, often_b = (often.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    saved = lacking.join(often_a, "a").join(often_b, "b").where(f"shared + least(ca, cb) >= 1 + n div {MARGIN}")
+    chains = met.where("chained IS NOT NULL").select(F.col("node").alias("a"), F.col("chained").alias("b"))
+    return pairs.where(f"shared >= 1 + n div {MARGIN}").select("a", "b").unionByName(saved.select("a", "b")).unionByName(chains.distinct())
 
 
 def full_sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """node, n and the sorted hashes (binary, 8 bytes each) of the sets of the wanted nodes."""
+    """node and the sorted hashes (binary, 8 bytes each) of the sets of the wanted nodes."""
 
     def run(batches):
-        for b in batches:
-            seen, rows = set(), []
-            for node, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if node not in seen:
-                    seen.add(node)
-                    rows.append((node, shingle_set(np.frombuffer(t.as_py().encode(), dtype=np.uint8), width)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["node", "n", "grams"])
+        nodes, grams, held = [], [], 0
+        for node, s in _sets(batches, width):
+            nodes.append(node)
+            grams.append(s.tobytes())
+            held += len(s)
+            if held >= BATCH_GRAMS:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(grams, pa.binary())], names=["node", "grams"])
+                nodes, grams, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(grams, pa.binary())], names=["node", "grams"])
 
     texts = _texts(docs, text_col).join(broadcast_if_small(wanted.select("node").distinct(), 1_000_000), "node", "left_semi")
-    return texts.mapInArrow(run, "node long, n long, grams binary").groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    return texts.mapInArrow(run, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
 
 
-def index_entries(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n): the prefix of every set in the global order, without tokens that only one set has."""
-    rows = sets.select("node", F.explode("tokens").alias("token"))
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    mine = rows.join(shared.hint("shuffle_hash"), "token").select("node", F.struct(F.shiftrightunsigned("token", 64 - BLOCKS.bit_length() + 1).cast("int").alias("block"), "c", "token").alias("x"))
-    mine = mine.groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    joined = mine.join(sets.select("node", "n", "sizes"), "node")
-    # Tokens of one set only come first in their block; a shared token's place counts those of its block and the blocks before.
-    alone = [F.coalesce(F.get("sizes", F.lit(b)), F.lit(0)) - F.size(F.filter("xs", _in_block(b))) for b in range(BLOCKS)]
-    before = F.array(*[sum(alone[: b + 1], F.lit(0)) for b in range(BLOCKS)])
-    joined = joined.withColumn("before", before).withColumn("prefix", F.expr(f"n - (n * {percent} + 99) div 100 + 1"))
-    placed = joined.select("node", "n", "prefix", "before", F.posexplode("xs").alias("i", "x"))
-    return placed.where(F.col("i") + F.get("before", F.col("x.block")) < F.col("prefix")).select(F.col("x.token").alias("token"), "node", "n")
+class _Classes:
+    """Classes of members 0 to k - 1, merged the smaller into the larger."""
 
+    def __init__(self, k: int):
+        self.of, self.members, self.version = np.arange(k), [[i] for i in range(k)], 0
 
-def _in_block(b: int):
-    return lambda x: x["block"] == b
+    def merge(self, a: int, b: int) -> bool:
+        a, b = self.of[a], self.of[b]
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.of[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []
+        self.version += 1
+        return True
 
 
-class _Tree:
-    """A node of the radix tree: a run of n-grams, the trees below by their first one, the sets that end here, and the sizes of all sets below."""
+def linked_pairs(sets: list[np.ndarray], percent: int, stored: np.ndarray | None = None, walking: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of places in `sets` whose links give the classes of all; where told apart, of stored sets with walking ones.
 
-    __slots__ = ("run", "below", "ends", "low", "high")
-
-    def __init__(self, run: np.ndarray):
-        self.run, self.below, self.ends = run, {}, []
-        self.low, self.high = 1 << 60, 0
-
-    def insert(self, grams: np.ndarray, member: int) -> None:
-        tree, at, size = self, 0, len(grams)
-        tree.low, tree.high = min(tree.low, size), max(tree.high, size)
-        while at < size:
-            first = int(grams[at])
-            child = tree.below.get(first)
-            if child is None:
-                child = tree.below[first] = _Tree(grams[at:])
+    Sets are arrays of distinct integers.  Stored sets, ordered rarest n-gram
+    first and without n-grams that only one set has, are the paths of a prefix
+    tree.  A walking set enters it under the first n-gram that it shares with a
+    path, if both have it in their prefixes, and keeps its overlap with the path
+    on the way down.
+    """
+    k, size = len(sets), np.array([len(s) for s in sets])
+    if k < 2:
+        return []
+    flat, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(flat), np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(flat), dtype=np.int32)
+    shared = counts[number] > 1
+    owner = np.repeat(np.arange(k, dtype=np.int32), size)[shared]
+    number = rank[number[shared]]
+    number, length = number[np.lexsort((number, owner))], np.bincount(owner, minlength=k)
+    del flat, counts, rank, shared
+    ends = np.cumsum(length)
+    paths = [number[e - n : e] for e, n in zip(ends, length, strict=True)]
+    prefix = length - (size * percent + 99) // 100 + 1  # of each path; not positive: no link is possible
+    # From here on sets are numbered in the order of their paths, so those below a tree node are neighbours.
+    order = sorted(np.flatnonzero(prefix > 0).tolist(), key=lambda i: paths[i].astype(">u4").tobytes())
+    if len(order) < 2:
+        return []
+    paths, size, length, prefix = [paths[i] for i in order], size[order], length[order], prefix[order]
+    k, both = len(order), stored is None
+    walks = np.ones(k, bool) if both else walking[order]
+    stays = np.ones(k, bool) if both else stored[order]
+    starts = np.cumsum(length) - length
+    number, owner = np.concatenate(paths), np.repeat(np.arange(k, dtype=np.int32), length)
+    span = int(number.max()) + 1
+    keys = owner.astype(np.int64) * span + number  # ascending: of any set, how many n-grams up to a given one
+    by_gram = np.argsort(number, kind="stable")
+    first = np.searchsorted(number[by_gram], np.arange(span + 1))
+    holders = owner[by_gram]
+    begins = (np.arange(len(number)) - starts[owner] < prefix[owner]) & walks[owner]
+    begin_gram = np.argsort(np.where(begins, number, span), kind="stable")[: begins.sum()]
+    begin_first, beginners = np.searchsorted(number[begin_gram], np.arange(span + 1)), owner[begin_gram]
+    same = np.zeros(k + 1, np.int64)  # n-grams that a path has in common with the path before
+    for i in range(1, k):
+        m = min(length[i - 1], length[i])
+        differ = np.flatnonzero(paths[i - 1][:m] != paths[i][:m])
+        same[i] = differ[0] if len(differ) else m
+    classes, out = _Classes(k), []
+
+    def gather(run, bounds, values):
+        low, count = bounds[run], bounds[run + 1] - bounds[run]
+        total = int(count.sum())
+        return values[np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)] if total else values[:0]
+
+    del number, owner, begins, begin_gram, by_gram
+    none = np.zeros(0, np.int64)
+    stack = [(0, k, 0, none, none)]
+    while stack:
+        low, high, depth, active, common = stack.pop()
+        below = slice(low, high)
+        if not stays[below].any():
+            continue
+        kind = classes.of[low] if (classes.of[below] == classes.of[low]).all() else -1
+        if kind >= 0:
+            if len(classes.members[kind]) == k:
+                continue
+            other = classes.of[active] != kind
+            active, common = active[other], common[other]
+        bottom = int(same[low + 1 : high].min()) if high - low > 1 else int(length[low])
+        run = paths[low][depth:bottom]
+        if len(run):
+            fresh = gather(run[: max(0, int(prefix[below].max()) - depth)], begin_first, beginners)
+            if len(fresh):
+                fresh = fresh[(classes.of[fresh] != kind) & ((fresh > low) | (not both))]
+                fresh = np.setdiff1d(fresh, active)
+                if len(fresh):
+                    merged = np.concatenate((active, fresh))
+                    by = np.argsort(merged)
+                    active, common = merged[by], np.concatenate((common, np.zeros(len(fresh), np.int64)))[by]
+            if not len(active):
+                if kind >= 0 and bottom >= prefix[below].max():
+                    continue
+            elif len(active) * len(run) * 4 < int((first[run + 1] - first[run]).sum()):
+                wanted = (active[:, None] * span + run).ravel()
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                common = common + (keys[at] == wanted).reshape(len(active), -1).sum(1)
             else:
-                m = min(len(child.run), size - at)
-                differ = np.flatnonzero(child.run[:m] != grams[at : at + m])
-                same = int(differ[0]) if len(differ) else m
-                if same < len(child.run):  # split the run
-                    upper = _Tree(child.run[:same])
-                    upper.low, upper.high = child.low, child.high
-                    child.run = child.run[same:]
-                    upper.below[int(child.run[0])] = child
-                    child = tree.below[first] = upper
-            child.low, child.high = min(child.low, size), max(child.high, size)
-            at += len(child.run)
-            tree = child
-        tree.ends.append(member)
+                who = gather(run, first, holders)
+                at = np.minimum(np.searchsorted(active, who), len(active) - 1)
+                common = common + np.bincount(at[active[at] == who], minlength=len(active))
+            if len(active):
+                rest = starts[active] + length[active] - np.searchsorted(keys, active * span + run[-1], side="right")
+                fewest = np.maximum(size[below].min(), (size[active] * percent + 99) // 100)
+                room = common + np.minimum(rest, int(length[below].max()) - bottom)
+                fits = ((100 + percent) * room >= percent * (size[active] + fewest)) & (100 * size[below].max() >= percent * size[active])
+                active, common = active[fits], common[fits]
+        if not len(active) and bottom >= prefix[below].max():
+            continue
+        at = low + int(np.searchsorted(length[below] > bottom, True)) if high - low > 1 else high  # sets that end here come first
+        ended = np.flatnonzero(stays[low:at]) + low
+        for n in np.unique(size[ended]) if len(active) and len(classes.members[classes.of[low]]) < k else ():
+            near = active[(100 + percent) * common >= percent * (size[active] + n)]
+            group = ended[size[ended] == n]
+            for w in near[classes.of[near] != classes.of[group[0]]]:
+                if w != group[0] and classes.merge(group[0], w):
+                    out.append((order[group[0]], order[int(w)]))
+            for other in group[1:]:  # all of `near` are in one class by now
+                w = near[0] if len(near) and near[0] != other else near[-1] if len(near) else other
+                if w != other and classes.merge(other, w):
+                    out.append((order[other], order[int(w)]))
+        if at < high:
+            cuts = [at, *(np.flatnonzero(same[at + 1 : high] == bottom) + at + 1).tolist(), high]
+            stack.extend((a, b, bottom, active, common) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    return out
 
 
 def _unit_links(table: pa.Table, percent: int) -> pa.Table:
-    """Links (a, b) of one unit that give its classes; of a unit of two parts, those between the parts."""
-    nodes, parts = table.column("node").to_numpy(), table.column("part").to_numpy()
+    """Links (a, b) of one unit: of side 0 within it, of sides 1 and 2 between them."""
+    nodes, side = table.column("node").to_numpy(), table.column("side").to_numpy()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
-    first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    k, sizes = len(sets), np.array([len(x) for x in sets])
-    grams, number = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.append(0, np.cumsum(np.bincount(number, minlength=len(grams))))
-    owners = np.repeat(np.arange(k), sizes)[np.argsort(number, kind="stable")]  # of each n-gram, from starts on
-    ids = np.split(number, np.cumsum(sizes)[:-1])
-    tree = _Tree(number[:0])
-    for m in np.flatnonzero(parts == first):
-        tree.insert(ids[m], int(m))
-    walkers = np.flatnonzero(parts == second)
-    classes, a, b = np.arange(k), [], []
-    stack = [(tree, walkers, np.zeros(len(walkers), dtype=np.int64), 0)]
-    while stack:
-        tree, walkers, common, depth = stack.pop()
-        if len(tree.run):
-            low, count = starts[tree.run], starts[tree.run + 1] - starts[tree.run]
-            places = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-            common = common + np.bincount(owners[places], minlength=k)[walkers]
-            depth += len(tree.run)
-        size = sizes[walkers]
-        # The size below that has most room: all of a walker's rest could still be found in it.
-        best = np.clip(depth + size - common, tree.low, tree.high)
-        stays = (100 + percent) * (common + np.minimum(size - common, best - depth)) >= percent * (size + best)
-        walkers, common = walkers[stays], common[stays]
-        if not len(walkers):
-            continue
-        for member in tree.ends:
-            near = walkers[(100 + percent) * common >= percent * (sizes[walkers] + depth)]
-            for w in near[classes[near] != classes[member]]:
-                if classes[w] != classes[member]:
-                    classes[classes == classes[w]] = classes[member]
-                    a.append(nodes[member])
-                    b.append(nodes[w])
-        stack.extend((child, walkers, common, depth) for child in tree.below.values())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def tree_links(entries: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int, most: int = UNIT_GRAMS, unit: int = UNIT) -> DataFrame:
-    """Links (a, b) that give the classes of all entries (token, node, n).
-
-    A neighbourhood whose sets have at most `most` n-grams together is one unit.
-    A larger one is cut: a unit is an n-gram and two of the parts, of about
-    `unit` nodes each, into which the nodes under it are dealt.
-    """
-    groups = entries.groupBy("token").agg(F.min("node").alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = keep(entries.join(groups, "token").select("token", "node", "n", "f", "k"), "met")
-    near = keep(components(met.where("node <> f").select(F.col("node").alias("a"), F.col("f").alias("b")).distinct()), "neighbourhoods")
-    placed = met.join(near, "node")
-    members = keep(near.join(entries.select("node", "n").distinct(), "node"), "neighbours")
-    large = members.groupBy("root").agg(F.sum("n").alias("grams")).where(F.col("grams") > most).select("root")
-    large = broadcast_if_small(keep(large, "large"))
-    one = members.join(large, "root", "left_anti").select(F.col("root").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "node")
-    cut = placed.join(large, "root", "left_semi").withColumn("parts", F.ceil(F.col("k") / unit).cast("int"))
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.select(F.col("token").alias("unit"), F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "node")
-    sets = full_sets(docs, text_col, width, near)
-    ready = one.unionByName(cut).join(sets.select("node", "grams"), "node")
+    pairs = linked_pairs(sets, percent, *(() if not side.any() else (side == 1, side == 2)))
+    at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(nodes[at[:, 0]], pa.int64()), "b": pa.array(nodes[at[:, 1]], pa.int64())})
+
+
+def _links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of units (unit, i, j, side, node)."""
+    ready = units.join(sets, "node")
     return ready.groupBy("unit", "i", "j").applyInArrow(lambda t: _unit_links(t, percent), "a long, b long")
 
 
-def similar_classes(docs: DataFrame, text_col: str = "text", width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """sets (node, n) of all distinct texts with words, and (node, root) of those in a class of several.
+def tree_links(met: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int, most: int = UNIT_GRAMS) -> DataFrame:
+    """Links (a, b) that give the classes of all sets that meet.
+
+    A neighbourhood whose sets have at most `most` n-grams together is one unit;
+    for a larger one see _cut_links.
+    """
+    near = keep(components(candidate_edges(met)), "neighbourhoods")
+    members = keep(near.join(met.groupBy("node").agg(F.first("n").alias("n")), "node"), "neighbours")
+    large = keep(members.groupBy("root").agg(F.sum("n").alias("grams")).where(F.col("grams") > most), "large")
+    one = members.join(broadcast_if_small(large), "root", "left_anti").select(F.col("root").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node")
+    links = keep(_links(one, full_sets(docs, text_col, width, one), percent), "links")
+    if large.isEmpty():
+        return links
+    rest = members.join(broadcast_if_small(large), "root")
+    return links.unionByName(_cut_links(rest, met, keep(full_sets(docs, text_col, width, rest), "large-sets"), percent, most))
+
+
+def _cut_links(members: DataFrame, met: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
+    """Links of large neighbourhoods (node, root, n, grams), in units of about `most` n-grams on each side.
+
+    Two dealings into parts give most classes.  Then, under each n-gram where
+    several classes meet, the nodes outside the largest class of the
+    neighbourhood are stored, in parts of one band of sizes, and all nodes there
+    of the same or the next band walk.
+    """
+    members = keep(members.withColumn("band", F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")), "large-members")
+    links = None
+    for turn in range(2):
+        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("grams") / most)).cast("int")
+        dealt = members.select(F.col("root").alias("unit"), part.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node")
+        got = keep(_links(dealt, sets, percent), "part-links")
+        links = got if links is None else links.unionByName(got)
+    classes = keep(components(links), "part-classes").withColumnRenamed("root", "class")
+    members = keep(members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "classed-members")
+    sizes = members.groupBy("root", "class").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("root").agg(F.max_by("class", F.struct("k", "class")).alias("main"))
+    rows = met.select("token", "node").join(members, "node")
+    mixed = rows.groupBy("token", "root").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("token", "root")
+    rows = keep(rows.join(mixed, ["token", "root"]).join(broadcast_if_small(main), "root").select("token", "root", "node", "n", "band", (F.col("class") != F.col("main")).alias("apart")), "mixed")
+    outside = rows.where("apart").select("root", "band", "node", "n").distinct()
+    parts = outside.groupBy("root", "band").agg(F.ceil(F.sum("n") / most).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    store = keep(outside.join(broadcast_if_small(parts), ["root", "band"]).select("root", "band", part.alias("i"), "node"), "stored")
+    under = rows.join(store.select("node", F.col("band").alias("its"), "i"), "node").select("token", "root", "its", "i").distinct()
+    walk = rows.join(under, ["token", "root"]).where("abs(band - its) <= 1").select("root", F.col("its").alias("band"), "i", "node", "n").distinct()
+    walk = keep(walk, "walking")
+    parts = walk.groupBy("root", "band", "i").agg(F.ceil(F.sum("n") / most).cast("int").alias("walks"))
+    unit = F.xxhash64("root", "band").alias("unit")
+    walk = walk.join(broadcast_if_small(parts), ["root", "band", "i"]).select(unit, "i", F.pmod(F.xxhash64("node"), F.col("walks")).cast("int").alias("j"), F.lit(2).alias("side"), "node")
+    store = store.join(parts, ["root", "band", "i"]).select(unit, "i", F.explode(F.sequence(F.lit(0), F.col("walks") - 1)).alias("j"), F.lit(1).alias("side"), "node")
+    return links.unionByName(_links(store.unionByName(walk), sets, percent))
+
+
+def similar_classes(docs: DataFrame, text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """(node, root) of all distinct texts in a class of several.
 
     Sets of size n and m with c n-grams in common are linked if
     100 * c >= percent * (n + m - c).
     """
-    sets = keep(prefix_sets(docs, text_col, width, percent), "prefix-sets")
-    entries = keep(index_entries(sets, percent), "entries")
-    links = keep(tree_links(entries, docs, text_col, width, percent), "links")
-    return sets.select("node", "n"), keep(components(links), "classes")
+    entries = prefix_entries(docs, text_col, width, percent, frequent_grams(docs, text_col, width))
+    met = keep(meetings(entries, percent), "met")
+    return keep(components(keep(tree_links(met, docs, text_col, width, percent), "all-links")), "classes")
+
+
+def _set_sizes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """id, node (hash of the text) and n (size of its set) of every row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("t"))
+    schema = T.StructType([rows.schema["id"], rows.schema["node"], T.StructField("n", T.LongType(), False)])
+
+    def run(batches):
+        for b in batches:
+            n = [len(shingle_set(np.frombuffer(t.as_buffer(), dtype=np.uint8), width)) if t.is_valid else 0 for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -226,19 +421,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by 64-bit hashes.  An empty table gives an empty result; other columns play
     no part.
     """
-    rows = _classed(docs, id_col, text_col, width, percent)
-    return rows.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    rows = _set_sizes(docs, id_col, text_col, width)
+    rows = _classed(rows.select("id", "node", "n", (F.col("n") > 0).alias("words")), similar_classes(docs, text_col, width, percent))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """id, node (hash of the text), n, root (null without words) and least (id of the class, null for classes of one row) of every row."""
-    sets, classes = similar_classes(docs, text_col, width, percent)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).isNotNull().alias("there"))
-    rows = rows.join(sets, "node", "left").join(classes, "node", "left")
-    rows = rows.select("id", "node", F.when(F.col("there"), F.col("n")).alias("n"), F.when(F.col("there") & F.col("n").isNotNull(), F.coalesce("root", "node")).alias("root"))
-    rows = keep(rows, "rows")
+def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows with root (null without words) and least (id of the class, null for classes of one row)."""
+    rows = keep(rows.join(classes, "node", "left").withColumn("root", F.when(F.col("words"), F.coalesce("root", "node"))), "rows")
     least = rows.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select("r", "least")
-    return rows.join(least, F.col("root") == F.col("r"), "left").select("id", "node", "n", "root", "least")
+    return rows.join(least, F.col("root") == F.col("r"), "left")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -247,7 +439,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null ids come last.  Of rows that repeat both id and text one stays; texts
     without words belong to no class, and all their rows stay.
     """
-    rows = keep(_classed(docs, id_col, text_col, width, percent), "classed")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.coalesce(F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)).alias("words"))
+    rows = _classed(rows, similar_classes(docs, text_col, width, percent))
     last = F.struct(F.col("id").isNull().alias("u"), F.col("id").alias("id"), F.col("node").alias("node"))
     best = rows.where("root is not null").groupBy("root").agg(F.min(last).alias("b")).select(F.col("b.id").alias("__id"), F.col("b.node").alias("__node"))
     loose = rows.where("root is null").select(F.col("id").alias("__id"), F.col("node").alias("__node")).distinct()
