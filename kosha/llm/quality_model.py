@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import keep
+from .shared import broadcast_if_small, slices
 from .shingles import word_hashes
 
 FEATURES = ("log_words", "word_length", "upper", "symbols", "exclaims", "digits", "other_marks", "not_ascii", "lines", "same_next", "distinct", "distinct_pairs", "short_words", "bars")
@@ -52,17 +52,9 @@ def text_features(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def add_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and one double for each feature, for every row; a null text counts as empty."""
-    schema = T.StructType([docs.schema[id_col], *[T.StructField(f, T.DoubleType(), False) for f in FEATURES]])
-
-    def run(batches):
-        for b in batches:
-            rows = [text_features(np.frombuffer(t.as_py().encode() if t.is_valid else b"", dtype=np.uint8)) for t in b.column(1)]
-            m = np.array(rows).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(m[:, j]) for j in range(len(FEATURES))]], names=schema.names)
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+def _matrix(texts) -> np.ndarray:
+    """Features of the texts of an Arrow column; a null text counts as empty."""
+    return np.array([text_features(np.frombuffer(t.as_buffer() if t.is_valid else b"", dtype=np.uint8)) for t in texts]).reshape(-1, len(FEATURES))
 
 
 @dataclass
@@ -168,31 +160,26 @@ def held_out(id_col: str, parts: int = 5, part: int = 0) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def train(features: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most max_rows labelled rows that are not held out, drawn by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = MAX_ROWS) -> Model:
+    """Fit on at most max_rows labelled rows of docs that are not held out, drawn by a hash of the id.
 
     Null labels are skipped, repeated ones count as often as they stand.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, F.col(label_col).cast("int").alias("__y"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     rows = known.count()
     share = min(1.0, 0.95 * max_rows / max(rows, 1)) if rows > max_rows else 1.0
-    drawn = known.where(F.pmod(F.xxhash64(id_col, F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = features.join(drawn, id_col).select(*FEATURES, "__y").limit(max_rows).toArrow()
-    order = np.lexsort([got.column(c).to_numpy() for c in ("__y", *FEATURES)])  # sums in one order whatever Spark's
-    x = np.column_stack([got.column(f).to_numpy() for f in FEATURES])[order] if got.num_rows else np.zeros((0, len(FEATURES)))
-    return fit(x, got.column("__y").to_numpy().astype(float)[order] if got.num_rows else np.zeros(0))
-
-
-def apply(features: DataFrame, model: Model, id_col: str) -> DataFrame:
-    """id_col and score of every row."""
-    schema = T.StructType([features.schema[id_col], T.StructField("score", T.DoubleType(), False)])
+    drawn = known.where(F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(broadcast_if_small(drawn, max_rows), "id").select("y", "text")
 
     def run(batches):
-        for b in batches:
-            x = np.column_stack([b.column(j + 1).to_numpy() for j in range(len(FEATURES))]) if b.num_rows else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=schema.names)
+        for b in slices(batches):
+            m = _matrix(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(m[:, j]) for j in range(len(FEATURES))]], names=["y", *FEATURES])
 
-    return features.select(id_col, *FEATURES).mapInArrow(run, schema)
+    got = texts.mapInArrow(run, ", ".join(["y int", *(f"{f} double" for f in FEATURES)])).limit(max_rows).toArrow()
+    m = np.column_stack([got.column(c).to_numpy() for c in ("y", *FEATURES)]).astype(float)
+    m = m[np.lexsort(m.T[::-1])]  # sums in one order whatever Spark's
+    return fit(m[:, 1:], m[:, 0])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -203,23 +190,27 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     get a score too; repeated rows stay repeated; an empty table gives an empty
     result, and without labels of both kinds every score is the rate of 1.
     """
-    features = keep(add_features(docs, id_col, text_col), "quality-features")
-    model = train(features, labels, id_col, label_col, max_rows)
-    return apply(features, model, id_col).select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = train(docs, labels, id_col, text_col, label_col, max_rows)
+    schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType(), False)])
+
+    def run(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))))], names=schema.names)
+
+    scored = docs.select(id_col, text_col).mapInArrow(run, schema)
+    return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
     """docs without the rows whose score is below threshold; all columns stay.
 
-    Scores are computed beside the rows, so no text is shuffled.
+    Scores are computed beside the rows, so no text is shuffled.  Rows are judged
+    as by score_documents.
     """
-    features = keep(add_features(docs, id_col, text_col), "quality-features")
-    model = train(features, labels, id_col, label_col, max_rows)
+    model = train(docs, labels, id_col, text_col, label_col, max_rows)
 
     def run(batches):
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col))
-            x = np.array([text_features(np.frombuffer(t.as_py().encode() if t.is_valid else b"", dtype=np.uint8)) for t in texts]).reshape(-1, len(FEATURES))
-            yield b.filter(pa.array(model.score(x) >= threshold))
+        for b in slices(batches):
+            yield b.filter(pa.array(model.score(_matrix(b.column(b.schema.get_field_index(text_col)))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
