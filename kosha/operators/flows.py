@@ -118,3 +118,44 @@ def xirr(flows: DataFrame, by: str, steps: int = 60) -> DataFrame:
     rows = rows.withColumn("lo", worth(F.lit(low))).withColumn("hi", worth(F.lit(low + width)))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(low), step)
     return rows.select(by, F.when(F.col("lo") * F.col("hi") < 0, found).alias("xirr"))
+
+
+def valued_only(tx: DataFrame, nav: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The transactions of schemes that have a NAV, and per scheme the cash of the others: without a value their flows would look like returns."""
+    known = nav.where("nav > 0").select(key).distinct()
+    excluded = tx.join(known, key, "left_anti").groupBy(key).agg(F.sum("amount").alias("excluded_cash"), F.count(F.lit(1)).alias("n"))
+    return tx.join(known, key, "left_semi"), excluded
+
+
+def holding_period(path: DataFrame, tx: DataFrame, by: str) -> DataFrame:
+    """The value path from the first day worth 1 or more through the last such day or transaction, whichever is later; a period of one day is none."""
+    ends = path.where(F.abs("value") >= 1).groupBy(by).agg(F.min("d").alias("low"), F.max("d").alias("last"))
+    moved = tx.groupBy(by).agg(F.max("d").alias("moved"))
+    bounds = ends.join(moved, by, "left").select(by, "low", F.greatest("last", "moved").alias("high"))
+    inside = path.join(bounds, by).where(F.col("d").between(F.col("low"), F.col("high"))).drop("low", "high")
+    return inside.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(by))).where("n > 1").drop("n")
+
+
+def latest_nav(navs: DataFrame, key: str) -> DataFrame:
+    """key, nav, nav_date: the freshest positive value of all sources (key, d, nav, source), of equal dates that of the last source in order."""
+    return navs.where("nav > 0 AND d IS NOT NULL").groupBy(key).agg(F.max_by(F.struct("nav", F.col("d").alias("nav_date")), F.struct("d", "source")).alias("x")).select(key, "x.*")
+
+
+def reweight(items: DataFrame, prices: DataFrame, by: str, key: str) -> DataFrame:
+    """by, key, units, weight, current_value, pricing_basis: weights from market values, all or nothing.
+
+    items: by, key, units, weight.  Lines without units keep their weight (manual),
+    lines with none left go.  One line with units and no price keeps the whole
+    portfolio on its weights (cost); so does one that has no value at all.
+    """
+    c = F.col
+    rows = items.where("units IS NULL OR units > 0").join(prices.select(key, "nav"), key, "left")
+    rows = rows.withColumn("current_value", F.when(c("nav") > 0, c("units") * c("nav")))
+    all_of = W.partitionBy(by)
+    stuck = F.max(F.when(c("units").isNotNull() & c("current_value").isNull(), 1).otherwise(0)).over(all_of) == 1
+    total = F.sum("current_value").over(all_of)
+    market = ~stuck & c("current_value").isNotNull() & (total > 0)
+    return rows.select(
+        by, key, "units", F.when(market, F.round(100 * c("current_value") / total, 4)).otherwise(c("weight")).alias("weight"), F.when(market, F.round("current_value", 2)).alias("current_value"),
+        F.when(stuck, "cost").when(c("units").isNull(), "manual").otherwise("market").alias("pricing_basis"),
+    )

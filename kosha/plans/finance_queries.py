@@ -179,3 +179,32 @@ def u13(spark, sf):
 @register("u14_altman", f"WITH {_YR}, z AS (SELECT isin, fy, 1.2 * (equity - debt) / nullif(greatest(assets, 0), 0) + 1.4 * equity / nullif(greatest(assets, 0), 0) + 3.3 * (revenue - expenses) / nullif(greatest(assets, 0), 0) + 0.6 * equity / nullif(greatest(debt, 0), 0) + revenue / nullif(greatest(assets, 0), 0) AS z FROM yr) SELECT isin, fy, round(z, 4) + 0.0 AS z, CASE WHEN z > 2.99 THEN 'safe' WHEN z >= 1.81 THEN 'grey' WHEN z < 1.81 THEN 'distress' END AS zone FROM z")
 def u14(spark, sf):
     return _r(U.altman(_years(spark, sf)))
+
+
+# Schemes 5 and 6 count as schemes without a NAV here.
+def _some_nav(spark, sf):
+    return D.nav(spark, sf).where("scheme_id NOT IN (5, 6)")
+
+
+@register("f03_unvalued_schemes", f"WITH {_STX} SELECT scheme_id, round(sum(amount), 2) AS excluded_cash, count(*) AS n FROM stx WHERE scheme_id IN (5, 6) GROUP BY 1")
+def f03(spark, sf):
+    return _r(L.valued_only(_scheme_tx(spark, sf), _some_nav(spark, sf), "scheme_id")[1], 2)
+
+
+@register("f06_holding_period", f"""WITH {_PATH}, e AS (SELECT portfolio_id, min(d) AS low, max(d) AS last FROM path WHERE abs(value) >= 1 GROUP BY 1), m AS (SELECT portfolio_id, max(d) AS moved FROM stx GROUP BY 1),
+i AS (SELECT path.*, count(*) OVER (PARTITION BY portfolio_id) AS n FROM path JOIN e USING (portfolio_id) JOIN m USING (portfolio_id) WHERE d BETWEEN low AND greatest(last, moved)) SELECT portfolio_id, count(*) AS days, min(d) AS first, max(d) AS last, round(sum(flow), 2) AS flow FROM i WHERE n > 1 GROUP BY 1""")
+def f06(spark, sf):
+    tx = _scheme_tx(spark, sf)
+    inside = L.holding_period(L.value_path(tx, D.nav(spark, sf), "portfolio_id", "scheme_id"), tx, "portfolio_id")
+    return _r(inside.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("days"), F.min("d").alias("first"), F.max("d").alias("last"), F.sum("flow").alias("flow")), 2)
+
+
+@register("a18_a19_market_weights", f"""WITH {sql.NAV}, {_STX}, su AS (SELECT portfolio_id, scheme_id, sum(units) AS u FROM stx GROUP BY ALL), it AS (SELECT portfolio_id, scheme_id, CASE WHEN (portfolio_id + scheme_id) % 5 <> 0 THEN u END AS units, CAST(10 + scheme_id AS DOUBLE) AS weight FROM su), px AS (SELECT scheme_id, arg_max(nav, d) AS nav FROM nav WHERE scheme_id <> 6 GROUP BY 1),
+r AS (SELECT it.*, CASE WHEN nav > 0 THEN units * nav END AS v FROM it LEFT JOIN px USING (scheme_id) WHERE units IS NULL OR units > 0), w AS (SELECT *, bool_or(units IS NOT NULL AND v IS NULL) OVER p AS stuck, sum(v) OVER p AS total FROM r WINDOW p AS (PARTITION BY portfolio_id))
+SELECT portfolio_id, scheme_id, round(units, 4) AS units, CASE WHEN NOT stuck AND v IS NOT NULL AND total > 0 THEN round(100 * v / total, 4) ELSE weight END AS weight, CASE WHEN NOT stuck AND v IS NOT NULL AND total > 0 THEN round(v, 2) END AS current_value, CASE WHEN stuck THEN 'cost' WHEN units IS NULL THEN 'manual' ELSE 'market' END AS pricing_basis FROM w""")
+def a19(spark, sf):
+    c = F.col
+    items = _scheme_tx(spark, sf).groupBy("portfolio_id", "scheme_id").agg(F.sum("units").alias("u"))
+    items = items.select("portfolio_id", "scheme_id", F.when((c("portfolio_id") + c("scheme_id")) % 5 != 0, c("u")).alias("units"), (c("scheme_id") + 10).cast("double").alias("weight"))
+    prices = L.latest_nav(D.nav(spark, sf).where("scheme_id <> 6").withColumn("source", F.lit(1)), "scheme_id")
+    return L.reweight(items, prices, "portfolio_id", "scheme_id").withColumn("units", F.round("units", 4))
