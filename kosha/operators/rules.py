@@ -75,3 +75,40 @@ def unparsed(texts: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         union = F.zip_with(union, masked(pattern), lambda a, b: F.when(b == mark, b).otherwise(a))
     notes = F.transform(F.split(F.array_join(union, ""), f"{mark}+"), lambda x: F.regexp_replace(x, r"^[ \t.;,\n]+|[ \t.;,\n]+$", ""))
     return texts.where(F.col(text_col).isNotNull()).select(key, F.explode(F.filter(notes, lambda x: x != "")).alias("note"))
+
+
+# Caps as rules name them.
+CAPS = {"large": "large cap", "mid": "mid cap", "small": "small cap", "microcap": "microcap"}
+
+
+def rule_metrics(splits: DataFrame, summary: DataFrame, more: DataFrame, by: str) -> DataFrame:
+    """by, metric, value: what rules are judged by, from portfolio_splits, portfolio_summary and further rows (by, metric, value) such as schemes and overlap."""
+    caps = F.create_map(*[F.lit(x) for p in CAPS.items() for x in p])
+    label = F.when(F.col("block") == "asset", F.concat(F.lit("asset:"), "label")).when(F.col("block") == "cap", F.concat(F.lit("cap:"), F.coalesce(caps[F.col("label")], "label")))
+    parts = splits.where("block IN ('asset', 'cap')").select(by, label.alias("metric"), "value")
+    sector = splits.where("block = 'sector'").groupBy(by).agg(F.max("value").alias("value")).select(by, F.lit("sector").alias("metric"), "value")
+    names = {"single_stock": "top1_pct", "top5": "top5_pct", "top10": "top10_pct", "holdings": "n_holdings"}
+    fixed = summary.select(by, F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(v).cast("double").alias("value")) for k, v in names.items()])))
+    return parts.unionByName(sector).unionByName(fixed).unionByName(more.select(by, "metric", "value"))
+
+
+def judge(metrics: DataFrame, stated: DataFrame, by: str, resolved: DataFrame | None = None) -> DataFrame:
+    """Each stated rule (from parse_rules) for each portfolio: by, rule_type, field, operator, bound, actual, passed, headroom, severity.
+
+    An asset class that a portfolio lacks is 0 where the portfolio was resolved in
+    full (resolved: by; None: all were), else not known; passed is null where the
+    actual value is not known.  Rules are a short stated list.
+    """
+    side = F.regexp_replace("rule_type", "^(min|max)_", "")
+    metric = F.when(side == "asset", F.concat(F.lit("asset:"), "field")).when(F.col("field").isin(*CAPS.values()), F.concat(F.lit("cap:"), "field")).otherwise(side)
+    listed = stated.select("rule_type", "field", "operator", F.col("value").alias("bound"), "severity", metric.alias("metric"))
+    asked = metrics.select(by).distinct().crossJoin(F.broadcast(listed.agg(F.collect_list(F.struct(*listed.columns)).alias("r")))).select(by, F.inline("r"))  # one row on the right
+    if resolved is None:
+        asked = asked.withColumn("whole", F.lit(True))
+    else:
+        asked = asked.join(resolved.select(by).distinct().withColumn("whole", F.lit(True)), by, "left")
+    absent = F.when(F.startswith("metric", F.lit("asset:")) & F.coalesce("whole", F.lit(False)), 0.0)
+    rows = asked.join(metrics, [by, "metric"], "left").withColumn("actual", F.coalesce("value", absent))
+    most = F.col("operator") == "<="
+    passed = F.when(most, F.col("actual") <= F.col("bound")).otherwise(F.col("actual") >= F.col("bound"))
+    return rows.select(by, "rule_type", "field", "operator", "bound", "actual", passed.alias("passed"), F.when(most, F.col("bound") - F.col("actual")).otherwise(F.col("actual") - F.col("bound")).alias("headroom"), "severity")

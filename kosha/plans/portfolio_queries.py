@@ -150,3 +150,28 @@ def r01(spark, sf):
 @register("r01_unparsed_notes", "SELECT s_suppkey AS k, 'Keep calm, carry on' AS note FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, x FROM supplier, (VALUES ('Review yearly'), ('and')) v(x) WHERE s_suppkey % 4 = 2 UNION ALL SELECT s_suppkey, 'No rules here' FROM supplier WHERE s_suppkey % 8 = 3")
 def r01_notes(spark, sf):
     return R.unparsed(_texts(spark, sf), "k")
+
+
+STRATEGY = "Max 1% single stock. Max 20% sector. Min 30% debt, min 20% equity; max 5% international. Max hybrid 1%. Min large-cap 10%. Max top-5 3%. Max 60 schemes. Min 500 holdings. Max overlap 40%."
+
+
+def _judged(spark, sf):
+    e = effective(spark, sf)
+    schemes = D.read(spark, sf, "lineitem").select(F.expr("l_suppkey div 50").alias("portfolio_id"), "l_suppkey").distinct().groupBy("portfolio_id").agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("metric", F.lit("schemes"))
+    metrics = R.rule_metrics(P.portfolio_splits(e, "portfolio_id"), P.portfolio_summary(e, "portfolio_id", "2024-06-01"), schemes, "portfolio_id")
+    return R.judge(metrics, R.parse_rules(spark.createDataFrame([(1, STRATEGY)], "k int, text string"), "k"), "portfolio_id")
+
+
+_STRATEGY = "('max_single_stock', 'single stock', '<=', 1.0, 'high'), ('max_sector', 'sector', '<=', 20.0, 'high'), ('min_asset', 'debt', '>=', 30.0, 'high'), ('min_asset', 'stocks', '>=', 20.0, 'high'), ('max_asset', 'international', '<=', 5.0, 'high'), ('max_asset', 'other', '<=', 1.0, 'high'), ('min_large_cap', 'large cap', '>=', 10.0, 'medium'), ('max_top5', 'top 5 concentration', '<=', 3.0, 'medium'), ('max_schemes', 'schemes', '<=', 60.0, 'low'), ('min_holdings', 'holdings', '>=', 500.0, 'medium'), ('max_overlap', 'scheme overlap', '<=', 40.0, 'high')"
+_ACTUALS = f"""{EFFECTIVE}, a AS (SELECT portfolio_id, asset_class, sum(weight) AS w FROM ef GROUP BY ALL), se AS (SELECT portfolio_id, max(w) AS w FROM (SELECT portfolio_id, sum(weight) AS w FROM ef WHERE asset_class = 'stocks' GROUP BY portfolio_id, coalesce(nullif(trim(sector), ''), 'na')) GROUP BY 1),
+cb AS (SELECT portfolio_id, {_CAP} AS cap_bucket, weight FROM ef WHERE asset_class = 'stocks'), cp AS (SELECT portfolio_id, sum(weight) FILTER (cap_bucket = 'large') * greatest(1, sum(weight) / sum(weight) FILTER (cap_bucket IN ('large', 'mid', 'small', 'microcap', 'ipo'))) AS w FROM cb GROUP BY 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY weight DESC, isin) AS rk FROM ef), t AS (SELECT portfolio_id, sum(weight) FILTER (rk <= 1) AS t1, sum(weight) FILTER (rk <= 5) AS t5, count(*) AS n FROM k GROUP BY 1), sc AS (SELECT l_suppkey // 50 AS portfolio_id, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1),
+ru(rule_type, field, operator, bound, severity) AS (VALUES {_STRATEGY}),
+j AS (SELECT t.portfolio_id, ru.*, CASE WHEN rule_type LIKE '%_asset' THEN coalesce((SELECT w FROM a WHERE a.portfolio_id = t.portfolio_id AND asset_class = field), 0) WHEN rule_type = 'max_single_stock' THEN t1 WHEN rule_type = 'max_sector' THEN se.w WHEN rule_type = 'min_large_cap' THEN cp.w WHEN rule_type = 'max_top5' THEN t5 WHEN rule_type = 'max_schemes' THEN sc.n WHEN rule_type = 'min_holdings' THEN t.n END AS actual
+FROM t JOIN se USING (portfolio_id) JOIN cp USING (portfolio_id) JOIN sc USING (portfolio_id), ru)"""
+
+
+@register("r03_r06_strategy_analysis", f"WITH {_ACTUALS} SELECT portfolio_id, rule_type, field, operator, CAST(bound AS DOUBLE) AS bound, round(actual, 4) AS actual, CASE WHEN actual IS NULL THEN 'n/a' WHEN CASE operator WHEN '<=' THEN actual <= bound ELSE actual >= bound END THEN 'pass' ELSE 'fail' END AS verdict, round(CASE operator WHEN '<=' THEN bound - actual ELSE actual - bound END, 4) AS headroom, severity FROM j")
+def r03(spark, sf):
+    verdict = F.when(F.col("passed"), "pass").when(~F.col("passed"), "fail").otherwise("n/a")
+    return _judged(spark, sf).select("portfolio_id", "rule_type", "field", "operator", "bound", F.round("actual", 4).alias("actual"), verdict.alias("verdict"), F.round("headroom", 4).alias("headroom"), "severity")
