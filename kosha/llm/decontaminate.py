@@ -5,6 +5,9 @@ explodes the words of the training texts and probes the broadcast anchors; where
 one stands, the window around it is hashed and looked up in the set of test
 windows.  A window can only occur where its anchor does, so no occurrence is
 lost, whatever the anchors are; they only decide how many windows are hashed.
+Windows found by hash are verified word by word.  Anchors beyond the broadcast
+bound are left aside: then every window of the texts is looked up by a shuffle
+of windows, never of texts.
 """
 
 from __future__ import annotations
@@ -23,37 +26,38 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _digest(words: Column) -> Column:
-    """A 128-bit key of a word sequence."""
-    joined = F.array_join(words, " ")
-    return F.md5(joined.cast("binary"))
-
-
 def test_windows(items: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
-    """Distinct windows of the test items: gram, n (words in it), anchor, shift (place of the anchor), item."""
+    """Distinct windows of the test items: gram (its words), hash, n (their number), anchor, shift (place of the anchor), item."""
     words = items.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     n = F.least(F.lit(width), F.size("w"))
     at = words.select("item", "w", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("at"))
     window = at.select("item", "n", F.expr("slice(w, at + 1, n)").alias("g"))
     longest = F.array_max(F.transform("g", lambda x, i: F.struct(F.length(x).alias("l"), x.alias("x"), (-i).alias("i"))))
-    return window.select("item", "n", _digest(F.col("g")).alias("gram"), longest.alias("a")).select("item", "n", "gram", F.col("a.x").alias("anchor"), (-F.col("a.i")).alias("shift")).distinct()
+    found = window.select("item", "n", F.array_join("g", " ").alias("gram"), longest.alias("a"))
+    return found.select("item", "n", "gram", F.xxhash64("gram").alias("hash"), F.col("a.x").alias("anchor"), (-F.col("a.i")).alias("shift")).distinct()
 
 
 def find_hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", width: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
     """One row per row of docs that holds a window: __id, __text (hash of the text), hits (sorted distinct (start, n)), items (sorted).
 
-    The test windows are broadcast only if they are at most `broadcast_rows`
-    rows; beyond that the same joins shuffle.
+    Anchors and test windows are broadcast only if they are at most
+    `broadcast_rows` rows.
     """
     windows = keep(test_windows(items, item_col, item_text_col, width), "test-windows")
-    anchors = broadcast_if_small(windows.groupBy("anchor").agg(F.collect_set(F.struct("n", "shift")).alias("cuts")), broadcast_rows)
-    grams = broadcast_if_small(windows.groupBy("gram", F.col("n").alias("g_n")).agg(F.collect_set("item").alias("g_items")), broadcast_rows)
+    anchors = windows.groupBy("anchor").agg(F.collect_set(F.struct("n", "shift")).alias("cuts"))
+    few = anchors.limit(broadcast_rows + 1).count() <= broadcast_rows
+    grams = windows.groupBy("hash", F.col("gram").alias("g_gram")).agg(F.collect_set("item").alias("g_items"))
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), words_of(F.col(text_col)).alias("w"))
-    spots = texts.select("__id", "__text", "w", F.posexplode("w").alias("pos", "anchor")).join(anchors, "anchor")
-    spots = spots.select("__id", "__text", "w", "pos", F.explode("cuts").alias("c")).select("__id", "__text", "w", F.expr("pos - c.shift").alias("start"), F.col("c.n").alias("n"))
+    if few:
+        spots = texts.select("__id", "__text", "w", F.posexplode("w").alias("pos", "anchor")).join(F.broadcast(anchors), "anchor")
+        spots = spots.select("__id", "__text", "w", "pos", F.explode("cuts").alias("c")).select("__id", "__text", "w", F.expr("pos - c.shift").alias("start"), F.col("c.n").alias("n"))
+    else:
+        lengths = [r.n for r in windows.select("n").distinct().collect()]  # at most `width` numbers
+        spots = texts.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).where("size(w) >= n")
+        spots = spots.select("__id", "__text", "w", "n", F.explode(F.expr("sequence(0, size(w) - n)")).alias("start"))
     spots = spots.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("w")))
-    looked = spots.select("__id", "__text", "start", "n", _digest(F.expr("slice(w, start + 1, n)")).alias("gram"))
-    hits = looked.join(grams, ["gram"]).where(F.col("n") == F.col("g_n"))
+    looked = spots.select("__id", "__text", "start", "n", F.expr("array_join(slice(w, start + 1, n), ' ')").alias("gram")).withColumn("hash", F.xxhash64("gram"))
+    hits = looked.join(broadcast_if_small(grams, broadcast_rows), "hash").where("gram = g_gram")
     return hits.groupBy("__id", "__text").agg(
         F.array_sort(F.collect_set(F.struct("start", "n"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("g_items")))).alias("items"),
@@ -82,10 +86,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     part.
     """
     found = find_hits(docs, items, id_col, text_col, item_col, item_text_col, width, broadcast_rows)
-    found = found.select(F.col("__id").alias("h_id"), F.col("__text").alias("h_text"), _covered(F.col("hits")).alias("covered"), "items")
+    found = found.select(F.col("__id").alias("__h_id"), F.col("__text").alias("__h_text"), _covered(F.col("hits")).alias("covered"), "items")
     found = broadcast_if_small(keep(found, "contamination"), broadcast_rows)
     counted = docs.select(F.col(id_col), F.xxhash64(text_col).alias("__text"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
-    joined = counted.join(found, F.col(id_col).eqNullSafe(F.col("h_id")) & (F.col("__text") == F.col("h_text")), "left")
+    joined = counted.join(found, F.col(id_col).eqNullSafe(F.col("__h_id")) & (F.col("__text") == F.col("__h_text")), "left")
     return joined.select(
         id_col,
         "n_words",
@@ -101,13 +105,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     In mode "spans" texts with hits are put together again from their other
     words, normalised and joined by one space; texts without hits stay as they
-    are, and no row goes.  All columns stay.
+    are, and no row goes.  All columns stay; they may have any names but those
+    that begin with two underscores.
     """
-    found = find_hits(docs, items, id_col, text_col, item_col, item_text_col, width, broadcast_rows).select(F.col("__id").alias("h_id"), F.col("__text").alias("h_text"), "hits")
+    found = find_hits(docs, items, id_col, text_col, item_col, item_text_col, width, broadcast_rows).select(F.col("__id").alias("__h_id"), F.col("__text").alias("__h_text"), F.col("hits").alias("__hits"))
     found = broadcast_if_small(keep(found, "contaminated"), broadcast_rows)
-    same = F.col(id_col).eqNullSafe(F.col("h_id")) & (F.xxhash64(text_col) == F.col("h_text"))
+    same = F.col(id_col).eqNullSafe(F.col("__h_id")) & (F.xxhash64(text_col) == F.col("__h_text"))
     if mode == "documents":
         return docs.join(found, same, "left_anti")
-    words = F.transform(words_of(F.col(text_col)), lambda w, i: F.when(F.exists("hits", lambda h: (h["start"] <= i) & (i < h["start"] + h["n"])), F.lit("")).otherwise(w))
-    cleaned = F.when(F.col("hits").isNotNull(), F.array_join(F.array_remove(words, ""), " ")).otherwise(F.col(text_col))
+    words = F.transform(words_of(F.col(text_col)), lambda w, i: F.when(F.exists("__hits", lambda h: (h["start"] <= i) & (i < h["start"] + h["n"])), F.lit("")).otherwise(w))
+    cleaned = F.when(F.col("__hits").isNotNull(), F.array_join(F.array_remove(words, ""), " ")).otherwise(F.col(text_col))
     return docs.join(found, same, "left").select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -38,7 +38,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     URLs that no rule fits get `default` and a null rule.  Null, empty and
     malformed URLs have empty host and path, and only a rule with both empty
     could fit them.  Columns of pages keep their names and values; existing
-    columns called host, path, rule or verdict are replaced.  Repeated rows stay
+    columns called host, path, rule or verdict are replaced, and none may begin
+    with two underscores.  Repeated rows stay
     repeated; an empty table gives an empty result.
     """
     rules = (
@@ -57,7 +58,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         F.collect_set(F.size(F.split("r_host", r"\."))).alias("depths"),
         F.coalesce(F.max(F.length("r_path")), F.lit(0)).alias("longest"),
     ).first()
-
     taken = {"host", "path", "rule", "verdict"}
     urls = pages.select(*[c for c in pages.columns if c not in taken], host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     # One row for each host and start of a path: what rules can tell apart.
@@ -77,10 +77,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     hits = expressions.join(broadcast_if_small(rules, broadcast_rows), "short").where(F.col("digest") == F.col("r_digest"))
     rule = F.concat("r_host", "r_path")
     best = hits.groupBy("host", "__start").agg(
-        F.max_by(F.struct(rule.alias("rule"), F.col("r_verdict").alias("verdict")), F.struct(F.length(rule), F.length("r_host"))).alias("best")
+        F.max_by(F.struct(rule.alias("rule"), F.col("r_verdict").alias("verdict")), F.struct(F.length(rule), F.length("r_host"))).alias("__best")
     )
     return urls.join(best, ["host", "__start"], "left").select(
         *[c for c in urls.columns if c != "__start"],
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        F.col("__best.rule").alias("rule"),
+        F.coalesce("__best.verdict", F.lit(default)).alias("verdict"),
     )
