@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -82,11 +83,60 @@ def test_jaccard_classes(spark, seed, width, percent):
 
 
 def test_cut_neighbourhoods_give_the_same_classes(spark):
-    """With units of 3 nodes and no neighbourhood in one piece the classes don't change."""
-    frame = docs(spark, corpus(7, 200))
-    entries = shared.keep(jaccard.index_entries(shared.keep(jaccard.prefix_sets(frame, "text", 4, 85)), 85))
-    classes = [{r.node: r.root for r in components.components(jaccard.tree_links(entries, frame, "text", 4, 85, most, 3)).collect()} for most in (10**9, 0)]
-    assert classes[0] == classes[1] and classes[0]
+    """With neighbourhoods cut at 60 or 400 n-grams, and with few nodes or many meeting under each n-gram, the classes don't change."""
+    rows = corpus(7, 200)
+    frame = docs(spark, rows)
+    entries = shared.keep(jaccard.prefix_entries(frame, "text", 4, 85, jaccard.frequent_grams(frame, "text", 4)))
+    met = {few: shared.keep(jaccard.meetings(entries, 85, few)) for few in (2, 16)}
+    classes = [{r.node: r.root for r in components.components(jaccard.tree_links(met[few], frame, "text", 4, 85, most)).collect()} for few, most in ((16, 10**9), (16, 400), (2, 60))]
+    assert classes[0] == classes[1] == classes[2] and classes[0]
+
+
+def test_linked_pairs_by_brute_force():
+    r = random.Random(5)
+    for _ in range(200):
+        sets, universe, percent = [], r.choice((20, 60, 400)), r.choice((50, 80, 85, 95, 100))
+        for _ in range(r.randrange(1, 40)):
+            if sets and r.random() < 0.6:
+                s = set(r.choice(sets))
+                for _ in range(r.choice((0, 1, 1, 2, 3, 8))):
+                    s -= {r.choice(sorted(s))} if len(s) > 1 and r.random() < 0.5 else set()
+                    s |= {r.randrange(universe)}
+            else:
+                s = {r.randrange(universe) for _ in range(r.choice((1, 2, 5, 15, 40)))}
+            sets.append(s)
+        k, stored = len(sets), np.array([r.random() < 0.4 for _ in sets])
+        similar = lambda i, j: 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+        for apart in (False, True):
+            up = components.Forest()
+            for i in range(k):
+                for j in range(i):
+                    if similar(i, j) and (not apart or stored[i] != stored[j]):
+                        up.join(i, j)
+            got = components.Forest()
+            for i, j in jaccard.linked_pairs([np.array(sorted(s), dtype=np.uint64) for s in sets], percent, *((stored, ~stored) if apart else ())):
+                assert similar(i, j)
+                got.join(i, j)
+            assert [up.find(i) for i in range(k)] == [got.find(i) for i in range(k)]
+
+
+def test_tree_takes_time_in_proportion():
+    """Four times the sets take far less than sixteen times the time: unrelated sets, and near copies of one."""
+    r = np.random.default_rng(1)
+
+    def near():
+        s, j = np.arange(100), r.integers(0, 97)
+        s[j : j + 4] = r.integers(1000, 2**40, 4)
+        return np.unique(s).astype(np.uint64)
+
+    for kind in (lambda k: np.unique(r.integers(0, 3 * k, 10)).astype(np.uint64), lambda k: near()):
+        took = []
+        for k in (2000, 8000):
+            sets = [kind(k) for _ in range(k)]
+            began = time.process_time()
+            jaccard.linked_pairs(sets, 85)
+            took.append(time.process_time() - began)
+        assert took[1] < 9 * took[0] + 0.5
 
 
 def test_jaccard_empty(spark):
@@ -143,12 +193,13 @@ def test_token_shards(spark):
     rows = token_output.read_slots(spark, folder).collect()
     assert sorted(r.slot for r in rows) == list(range(n)) and all(r.shard == r.slot // 10 and r.byte_offset == r.slot % 10 * 32 for r in rows)
     stream = np.concatenate([np.frombuffer(r.tokens, "<u2") for r in sorted(rows, key=lambda r: r.sequence)])
-    assert (stream[index["tokens"] :] == token_output.END).all()
+    codec = bpe.load(path)
+    end = codec.special[token_output.END]
+    assert (stream[index["tokens"] :] == end).all()
     found, at = Counter(), 0
-    for e in np.flatnonzero(stream[: index["tokens"]] == token_output.END):
+    for e in np.flatnonzero(stream[: index["tokens"]] == end):
         found[tuple(stream[at:e].tolist())] += 1
         at = e + 1
-    codec = bpe.load(path)
     assert found == Counter(tuple(codec.encode(t or "").tolist()) for t in texts)
     assert [r.slot for r in token_output.read_slots(spark, folder, first=n - 3).collect()] == [n - 3, n - 2, n - 1]
     assert token_output.write_shards(frame, path, folder, length=16, per_shard=10) == n  # what stands is left
@@ -156,6 +207,69 @@ def test_token_shards(spark):
     assert token_output.write_shards(frame.where("false"), path, empty) == 0 and token_output.read_slots(spark, empty).count() == 0
 
 
+def test_shards_resume(spark):
+    """A write that was stopped midway goes on: shards in full stay, the others are written again, with equal bytes."""
+    from pathlib import Path
+
+    folder = shared.scratch(spark) + "/shards"
+    frame = docs(spark, enumerate(["some words " * (k % 50) for k in range(300)]))
+    token_output.write_shards(frame, vocabulary(), folder, length=16, per_shard=10)
+    files = sorted(Path(folder.removeprefix("file://")).glob("shard-*.bin"))
+    before = {f.name: f.read_bytes() for f in files}
+    assert len(files) > 20
+    for f in files[3:]:  # as if the job had ended here: one shard half written, the rest not there, one written in full and not to be touched
+        f.unlink()
+    files[2].write_bytes(before[files[2].name][:100])
+    files[0].write_bytes(bytes(len(before[files[0].name])))
+    token_output.write_shards(frame, vocabulary(), folder, length=16, per_shard=10)
+    after = {f.name: f.read_bytes() for f in files}
+    assert after[files[0].name] == bytes(len(before[files[0].name])) and all(after[f.name] == before[f.name] for f in files[1:])
+
+
+def test_bpe_of_every_code_point():
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(vocabulary()), bpe.load(vocabulary())
+    texts = [f"a{chr(c)}b{chr(c)}{chr(c)}1" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for low in range(0, len(texts), 20_000):
+        some = texts[low : low + 20_000]
+        want = library.encode_batch(some, add_special_tokens=False)
+        assert [x.tolist() for x in codec.encode_many(some)] == [x.ids for x in want]
+
+
+def test_language_vote_by_brute_force():
+    r = np.random.default_rng(2)
+    langs = ["de", "en", "nl", "es", "fr", "ja"]
+    x = r.normal(size=(240, language.SIZE)).astype(np.float32)
+    model = language.fit(x, np.array(langs)[r.integers(0, 6, 240)])
+    found, scores = model.predict(x)
+    for v, a, s in zip(x, found, scores):
+        v = np.append(v, 1.0)
+        margins = [float(m @ v) for m in model.family_machines]
+        group = model.families[max(range(len(margins)), key=margins.__getitem__)]
+        votes, sums = Counter(), Counter()
+        for (p, q), m in model.pair_machines.items():
+            if p in group and q in group:
+                votes[p if m @ v > 0 else q] += 1
+                sums[p] += float(m @ v)
+                sums[q] -= float(m @ v)
+        assert a == max(group, key=lambda g: (votes[g], sums[g])) and 0 <= s <= 1
+
+
+def test_quality_score_is_a_sum_of_tables():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(500, 5))
+    model = quality_model.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    assert len(model.pairs) == quality_model.PAIRS
+    for v, s in zip(x[:60], model.score(x[:60])):
+        total = model.intercept
+        for j, (edges, table) in enumerate(zip(model.edges, model.tables)):
+            total += table[sum(e < v[j] for e in edges)]
+        for (i, j), table in zip(model.pairs, model.pair_tables):
+            total += table[sum(e < v[i] for e in model.pair_edges[i])][sum(e < v[j] for e in model.pair_edges[j])]
+        assert abs(s - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_quality_model_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -199,6 +313,42 @@ def test_pipeline(spark):
     assert 0 < len(rows) < 200 and len({r.doc_id for r in rows}) == len(rows) and all(r.n_tokens == len(r.ids) for r in rows)
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, extra columns and empty tables pass through all stages."""
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    good = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1"), "doc_id").first()
+    rows = [(1, None), (None, None), (2, ""), (None, good.text), (3, good.text), (3, good.text), (4, good.text + " a few more words")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string, hits string"
+    spark.createDataFrame([(i, t, None, None, None, "x", "y") for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    out = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert out.count(3) == 1 and 4 not in out
+    (tmp_path / "none").mkdir()
+    for name in ("labels", "benchmark", "documents"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pipeline_quality_and_tokens(spark):
+    """Stage one drops planted junk and keeps prose; stage five gives the library's ids."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.01"
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    kept = {r.doc_id for r in p.quality(spark, frame, sf).select("doc_id").collect()}
+    assert np.mean([(d in kept) == bool(q) for d, q in labels.items()]) > 0.97
+    library = Tokenizer.from_file(vocabulary())
+    some = frame.where("doc_id < 40")
+    texts = {r.doc_id: r.text or "" for r in some.collect()}
+    for r in p.token_ids(spark, some, sf).collect():
+        assert list(r.ids) == library.encode(texts[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+
+
 def test_pipeline_stages(spark):
     """The second to fourth stages take effect on planted cases and leave the rest alone."""
     import corpus_pipeline as p

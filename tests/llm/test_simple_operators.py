@@ -147,3 +147,92 @@ def test_warc_payloads_and_missing_segments(spark):
         warc.reassemble(parts.where("number <> 3")).collect()
     with pytest.raises(ValueError):
         warc.dechunk(b"5\r\nabc")
+
+
+def test_clashing_names(spark):
+    """Columns named like the operators' own helpers of old stay untouched."""
+    pages = spark.createDataFrame([(1, "http://a.com/en/", "b")], "page_id long, url string, best string")
+    rules = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string")
+    assert url_filter.judge_urls(pages, rules).select("best", "verdict").first() == ("b", "block")
+    item = "one two three four five six seven eight nine ten"
+    names = ("hits", "h_id", "h_text", "linked", "l_id", "l_text", "spans", "items", "w", "n", "id")
+    frame = spark.createDataFrame([(1, f"x {item} user: bob password=hunter22", *names), (1, None, *names)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    cleaned = {r.text: r for r in decontaminate.decontaminate(frame, items, mode="spans").collect()}
+    assert cleaned["x user bob password hunter22"].hits == "hits" and None in cleaned
+    redacted = {r.text: r for r in secret_scan.redact(frame).collect()}
+    assert redacted[f"x {item} [REDACTED] [REDACTED]"].linked == "linked" and None in redacted
+    assert decontaminate.contamination(frame, items).where("contaminated").count() == 1 and secret_scan.scan_secrets(frame).count() == 2
+
+
+def test_windows_are_verified_by_words(spark):
+    """The two ways to find windows agree, and rows that only share a hash would not count."""
+    items = spark.createDataFrame([(i, f"a{i} b c d e f g h i j k{i}") for i in range(30)], "item_id long, text string")
+    frame = docs(spark, [(i, f"pad a{i % 40} b c d e f g h i j k{i % 37}") for i in range(200)])
+    ways = [sorted(map(str, decontaminate.contamination(frame, items, broadcast_rows=n).collect())) for n in (200_000, 3, 0)]
+    assert ways[0] == ways[1] == ways[2]
+
+
+def test_very_many_secrets_in_a_text(spark):
+    """Time grows far less than with the square of the matches; ends and order stay right, beyond the BMP too."""
+    import time
+
+    took = []
+    for n in (2_500, 20_000):
+        text = " ".join(f"\U0001d4b3 token=abcdef{k} ﻿" for k in range(n))
+        frame = docs(spark, [(1, text)])
+        began = time.time()
+        row = secret_scan.scan_secrets(frame).first()
+        cleaned = secret_scan.redact(frame).first().text
+        took.append(time.time() - began)
+        assert row.n_assign == n and row.base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest()
+        assert cleaned == " ".join("\U0001d4b3 [REDACTED] ﻿" for _ in range(n))
+    assert took[1] < 24 * took[0] + 3
+
+
+def numpy_mcd(x, share):
+    """Location and scatter from the nearest half around the median, then concentration steps, as plain loops."""
+    import numpy as np
+
+    q = [np.quantile(x, p, axis=0, method="inverted_cdf") for p in (0.25, 0.5, 0.75)]
+    d = (((x - q[1]) / np.maximum((q[2] - q[0]) / 1.349, quality_rules.FLOOR)) ** 2).sum(1)
+    part = 0.5
+    for _ in range(100):
+        kept = x[d <= np.sort(d)[int(np.ceil(part * len(x))) - 1]]
+        mean, cov = kept.mean(0), np.cov(kept.T, bias=True)
+        fresh = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        if part == share and np.allclose(fresh, d):
+            break
+        d, part = fresh, share
+    return mean, np.sqrt(np.linalg.det(cov))
+
+
+def test_mcd_by_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows, want = [], {}
+    for g, n in (("a", 25), ("b", 200), ("c", 600), ("few", quality_rules.LEAST_ROWS - 1)):
+        x = r.normal(size=(n, 4)) @ r.normal(size=(4, 4)) + r.normal(size=4)
+        x[: n // 10] += 15
+        rows += [(g, *map(float, v)) for v in x]
+        want[g] = numpy_mcd(x, quality_rules.SUBSET)
+    frame = spark.createDataFrame(rows, "g string, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES))
+    got = {r.g: r for r in quality_rules.fit_mcd(frame, ["g"]).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g, row in got.items():
+        mean = [row[f"m_{f}"] for f in quality_rules.FEATURES]
+        det = np.prod([row[f"l_{f}_{f}"] for f in quality_rules.FEATURES])
+        assert np.allclose(mean, want[g][0], atol=0.05) and abs(np.log(det / want[g][1])) < 0.05, g
+
+
+def test_ordinary_pages_are_segmented(spark):
+    """Most records of the test pages are in segments, and every payload comes back whole."""
+    from kosha.llm.shared import keep, scratch
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    parts = keep(warc.read_parts(warc.write_archives(warc.classify(pages), scratch(spark) + "/w")))
+    assert parts.where("record_type = 'continuation'").count() > 200
+    got = Counter((r.id, hashlib.sha1(bytes(r.payload)).hexdigest()) for r in warc.reassemble(parts).collect() if r.payload is not None)
+    want = {(r.page_id, hashlib.sha1((r.html or "").encode()).hexdigest()) for r in pages.collect()}
+    assert set(got) <= want and len(got) == parts.where("record_type = 'response'").count()
