@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,3 +72,21 @@ def coverage_score(rows: DataFrame, by: str) -> DataFrame:
     credit = F.when(F.col("status") == "present", 1.0).when(F.col("status") == "found", 0.5).otherwise(0.0)
     base = F.count_if(F.col("status") != "none")
     return rows.groupBy(by).agg(base.alias("base"), F.when(base > 0, F.round(100 * F.sum(F.when(F.col("status") != "none", credit)) / base, 2)).alias("coverage"))
+
+
+def reward(discovered: Column, downloaded: Column, success: Column) -> Column:
+    """What an attempt counts for learning: finds once and saved documents twice, nothing without success."""
+    return F.when(success, 1.0 * F.coalesce(discovered, F.lit(0)) + 2.0 * F.coalesce(downloaded, F.lit(0))).otherwise(0.0)
+
+
+def promotions(playbooks: DataFrame, ledger: DataFrame, by: str, observations: int = 3, least_q: float = 5.0) -> DataFrame:
+    """by, best_strategy, promoted: a candidate replaces the best strategy only on its own evidence of enough observations and value.
+
+    playbooks: by, best_strategy, candidate.  ledger: by, strategy, observations, q.
+    Empty candidates, "manual" and the strategy that is best already change nothing.
+    """
+    name = F.nullif(F.trim("candidate"), F.lit(""))
+    asked = playbooks.select(by, "best_strategy", F.when(F.coalesce(name != "manual", F.lit(False)), name).alias("strategy"))
+    known = asked.join(ledger, [by, "strategy"], "left")
+    fresh = F.coalesce((F.col("observations") >= observations) & (F.col("q") >= least_q) & ~F.col("strategy").eqNullSafe(F.trim("best_strategy")), F.lit(False))
+    return known.select(by, F.when(fresh, F.col("strategy")).otherwise(F.col("best_strategy")).alias("best_strategy"), fresh.alias("promoted"))

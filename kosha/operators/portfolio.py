@@ -163,3 +163,12 @@ def portfolio_summary(holdings: DataFrame, by: str, as_of: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_holdings"), top(1).alias("top1_pct"), top(5).alias("top5_pct"), top(10).alias("top10_pct"), F.coalesce(F.sum(F.when(debt, c("weight"))), F.lit(0.0)).alias("debt_pct"), n_debt.alias("n_debt_holdings"),
         mean("y").alias("ytm_pct"), F.when(n_debt > 0, 100 * F.count("y") / n_debt).alias("ytm_cover"), mean("m").alias("avg_maturity_yrs"),
     )
+
+
+def fund_attribution(lines: DataFrame, by: str, fund: str) -> DataFrame:
+    """by, fund, asset_class, value, share: what each fund of a portfolio brings of each asset class, and its part of that class.
+
+    lines: the columns of portfolio_splits with the fund that holds each line.
+    """
+    sums = reclassified(lines).groupBy(by, fund, "asset_class").agg(F.sum("weight").alias("value"))
+    return sums.withColumn("share", F.try_divide(F.col("value"), F.nullif(F.sum("value").over(W.partitionBy(by, "asset_class")), F.lit(0.0))))

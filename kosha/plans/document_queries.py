@@ -73,3 +73,10 @@ def n05(spark, sf):
     k = D.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
     t = k.withColumn("t", F.expr("CASE k % 6 WHEN 0 THEN concat('Beta Fund ', k, '\\nan open ended scheme') WHEN 1 THEN concat('Beta Fund ', k, ' (An open ended equity scheme)') WHEN 2 THEN concat('Beta Fund ', k, ' - 31 July 2026') WHEN 3 THEN concat('Portfolio of Beta Fund ', k, ' as on 31-Jul-2026') WHEN 4 THEN concat('IB21-Beta Fund ', k) ELSE concat('UTI CHILDREN 039 S ', k) END"))
     return t.select("k", T.clean_scheme_text(F.col("t")).alias("name"))
+
+
+@register("n26_n38_segments", """SELECT s_suppkey AS k, CASE s_suppkey % 8 WHEN 0 THEN 'G-Sec' WHEN 1 THEN 'T-Bill' WHEN 2 THEN 'State Govt / SDL' WHEN 3 THEN 'STRIPPED Debt' WHEN 4 THEN 'Certificate of Deposit' ELSE 'Corporate Bond' END AS segment, CASE WHEN s_suppkey % 9 > 0 THEN round(s_suppkey % 9 / 7, 6) END AS ter FROM supplier""")
+def n26(spark, sf):
+    k = D.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    t = k.select("k", F.expr("CASE k % 8 WHEN 0 THEN ' gs' WHEN 1 THEN 'TB' WHEN 2 THEN 'Sg' WHEN 3 THEN 'VZ' WHEN 4 THEN 'CD ' WHEN 5 THEN 'XX' WHEN 6 THEN '' END").alias("s"), F.concat((F.col("k") % 9 / 7).cast("string"), F.lit("%")).alias("t"))
+    return t.select("k", X.segment(F.col("s")).alias("segment"), X.expense_ratio(F.col("t")).alias("ter"))

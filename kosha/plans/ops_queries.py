@@ -239,3 +239,22 @@ def n29(spark, sf):
     from kosha.operators.calendar import publish_days
 
     return publish_days(spark, "2001-01-01", "2001-12-31", ["2001-01-26", "2001-08-15", "2001-10-02", "2001-12-25"])
+
+
+_LEDGER = "lg AS (SELECT user_id, event_type AS strategy, count(*) AS observations, round(avg(value), 4) AS q FROM events GROUP BY ALL), pb AS (SELECT user_id, min(event_type) AS best_strategy, CASE WHEN user_id % 7 = 0 THEN 'manual' WHEN user_id % 7 = 1 THEN NULL ELSE max(event_type) END AS candidate FROM events GROUP BY user_id)"
+
+
+@register("e06_promotions", f"WITH {_LEDGER}, j AS (SELECT pb.*, coalesce(observations >= 3 AND q >= 5 AND candidate <> best_strategy AND candidate <> 'manual', false) AS promoted FROM pb LEFT JOIN lg ON lg.user_id = pb.user_id AND lg.strategy = pb.candidate) SELECT user_id, CASE WHEN promoted THEN candidate ELSE best_strategy END AS best_strategy, promoted FROM j")
+def e06(spark, sf):
+    e = D.read(spark, sf, "events")
+    ledger = e.groupBy("user_id", F.col("event_type").alias("strategy")).agg(F.count(F.lit(1)).alias("observations"), F.round(F.avg("value"), 4).alias("q"))
+    books = e.groupBy("user_id").agg(F.min("event_type").alias("best_strategy"), F.max("event_type").alias("m"))
+    candidate = F.when(F.col("user_id") % 7 == 0, "manual").when(F.col("user_id") % 7 != 1, F.col("m"))
+    return E.promotions(books.withColumn("candidate", candidate), ledger, "user_id")
+
+
+@register("e07_reward", "SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN coalesce(CASE WHEN event_id % 5 <> 0 THEN event_id % 4 END, 0) + 2.0 * (event_id % 7) ELSE 0.0 END AS reward FROM events")
+def e07(spark, sf):
+    c = F.col
+    e = D.read(spark, sf, "events")
+    return e.select("event_id", E.reward(F.when(c("event_id") % 5 != 0, c("event_id") % 4), c("event_id") % 7, c("user_id") % 3 != 0).alias("reward"))

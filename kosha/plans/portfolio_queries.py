@@ -175,3 +175,13 @@ FROM t JOIN se USING (portfolio_id) JOIN cp USING (portfolio_id) JOIN sc USING (
 def r03(spark, sf):
     verdict = F.when(F.col("passed"), "pass").when(~F.col("passed"), "fail").otherwise("n/a")
     return _judged(spark, sf).select("portfolio_id", "rule_type", "field", "operator", "bound", F.round("actual", 4).alias("actual"), verdict.alias("verdict"), F.round("headroom", 4).alias("headroom"), "severity")
+
+
+@register("g19_g20_fund_attribution", f"""WITH {EFFECTIVE.replace("SELECT l_suppkey // 50 AS portfolio_id, l_partkey AS key,", "SELECT l_suppkey // 50 AS portfolio_id, l_suppkey AS scheme_id, l_partkey AS key,").replace("e0 AS (SELECT portfolio_id,", "e0 AS (SELECT portfolio_id, scheme_id,")}, s AS (SELECT portfolio_id, scheme_id, asset_class, sum(weight) AS w FROM ef GROUP BY ALL)
+SELECT portfolio_id, scheme_id, asset_class, round(w, 4) AS value, round(w / sum(w) OVER (PARTITION BY portfolio_id, asset_class), 4) AS share FROM s""")
+def g19(spark, sf):
+    h = D.read(spark, sf, "lineitem").groupBy(F.expr("l_suppkey div 50").alias("portfolio_id"), F.col("l_suppkey").alias("scheme_id"), F.col("l_partkey").alias("key")).agg(F.sum("l_extendedprice").alias("value"))
+    total = h.groupBy("portfolio_id").agg(F.sum("value").alias("total"))
+    rows = h.join(total, "portfolio_id").join(_classed(spark, sf), "key").withColumn("weight", 100 * F.col("value") / F.col("total")).drop("value")
+    a = P.fund_attribution(rows, "portfolio_id", "scheme_id")
+    return a.select("portfolio_id", "scheme_id", "asset_class", F.round("value", 4).alias("value"), F.round("share", 4).alias("share"))
