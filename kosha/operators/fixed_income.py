@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kosha.functions.documents import payments_a_year
+
 
 def price_at(y: Column, coupon: Column, n: Column, first: Column, freq: Column) -> Column:
     """Dirty price of 100 face: n coupons at first, first + 1, ... periods, at the annual yield y (not 0) compounded freq times, in closed form."""
@@ -67,3 +69,20 @@ def resolve_yield(bonds: DataFrame) -> DataFrame:
     ladder = [("last_trade", F.when(F.col("trade_yield") > 0, F.col("trade_yield"))), ("weighted", F.when(F.col("weighted_yield") > 0, F.col("weighted_yield"))), ("computed", 100 * F.col("ytm")), ("current_yield", current_yield(F.col("coupon"), F.col("price")))]
     pick = F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("yield"), F.lit(n).alias("source"))) for n, v in ladder], F.struct(F.lit(None).cast("double").alias("yield"), F.lit("n/a").alias("source")))
     return bonds.withColumn("p", pick).select("*", F.col("p.yield").alias("yield"), F.col("p.source").alias("source")).drop("p")
+
+
+def ytm_from_price(bonds: DataFrame, as_of: str) -> DataFrame:
+    """bonds with ytm_pct (four decimals) and ytm_source from the last traded price.
+
+    bonds: isin, coupon, price, last_price, maturity, segment, coupon_freq (text),
+    last_trade_date, trade_date.  A price of 0 is none; yields settle on the last
+    trade, else the trade, else as_of; without a frequency treasury bills pay once
+    a year and others twice.
+    """
+    c = F.col
+    price = F.coalesce(F.nullif("price", F.lit(0.0)), "last_price")
+    freq = F.coalesce(payments_a_year(c("coupon_freq")), F.when(c("segment") == "T-Bill", 1).otherwise(2))
+    settle = F.coalesce("last_trade_date", "trade_date", F.lit(as_of).cast("date"))
+    b = with_ytm(bonds.withColumns({"price": price, "freq": freq, "settle": settle}))
+    kind = F.when(F.coalesce("coupon", F.lit(0.0)) <= 0, "computed: money-market zero-coupon").otherwise("computed: computed from coupon+price+maturity")
+    return b.withColumn("ytm_pct", F.round(100 * c("ytm"), 4)).withColumn("ytm_source", F.when(c("ytm").isNotNull(), kind))

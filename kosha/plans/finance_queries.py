@@ -107,6 +107,21 @@ def k02(spark, sf):
     return _r(K.with_duration(K.with_ytm(D.bonds(spark, sf)).where("ytm is not null")).select("isin", "macaulay", "modified"), 5)
 
 
+# The bonds with what a catalogue has of trades; frequencies as texts.
+_TRADED = BO.replace("bonds AS (SELECT", "raw AS (SELECT") + """, bonds AS (SELECT isin, name, coupon, CASE WHEN isin % 5 = 0 THEN price - 1 ELSE price END AS price, maturity, CASE WHEN isin % 3 = 0 THEN DATE '2001-12-01' WHEN isin % 3 = 1 THEN DATE '2001-11-15' ELSE DATE '2002-01-01' END AS settle,
+  CASE isin % 4 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN CASE WHEN segment = 'PROMO' THEN 1 ELSE 2 END ELSE 1 END AS freq, segment FROM raw)"""
+
+
+@register("k06_ytm_from_price", f"WITH RECURSIVE {_YTM.replace(BO, _TRADED)} SELECT isin, round(100 * ytm, 4) AS ytm_pct, CASE WHEN ytm IS NOT NULL THEN CASE WHEN coupon = 0 THEN 'computed: money-market zero-coupon' ELSE 'computed: computed from coupon+price+maturity' END END AS ytm_source FROM yt")
+def k06(spark, sf):
+    c, k = F.col, F.col("isin")
+    b = D.bonds(spark, sf).drop("freq", "settle").withColumns({
+        "last_price": c("price") - 1, "price": F.when(k % 5 != 0, c("price")).otherwise(0.0), "segment": F.when(c("segment") == "PROMO", "T-Bill").otherwise(c("segment")),
+        "coupon_freq": F.when(k % 4 == 0, "Half yearly").when(k % 4 == 1, "quarterly").when(k % 4 == 3, "Annual"), "last_trade_date": F.when(k % 3 == 0, F.lit("2001-12-01").cast("date")), "trade_date": F.when(k % 3 == 1, F.lit("2001-11-15").cast("date")),
+    })
+    return K.ytm_from_price(b, "2002-01-01").select("isin", "ytm_pct", "ytm_source")
+
+
 @register("k04_current_yield", f"WITH {BO} SELECT isin, round(100 * coupon / price, 6) AS cy FROM bonds")
 def k04(spark, sf):
     return _r(D.bonds(spark, sf).select("isin", K.current_yield(F.col("coupon"), F.col("price")).alias("cy")), 6)
