@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PERCENT, COUNT = r"([0-9]+(?:\.[0-9]+)?)\s*%", r"([0-9]+)"
@@ -82,11 +83,14 @@ CAPS = {"large": "large cap", "mid": "mid cap", "small": "small cap", "microcap"
 
 
 def rule_metrics(splits: DataFrame, summary: DataFrame, more: DataFrame, by: str) -> DataFrame:
-    """by, metric, value: what rules are judged by, from portfolio_splits, portfolio_summary and further rows (by, metric, value) such as schemes and overlap."""
+    """by, metric, value: what rules are judged by, from portfolio_splits, portfolio_summary and further rows (by, metric, value) such as schemes, schemes:direct (direct stocks counted too) and overlap."""
     caps = F.create_map(*[F.lit(x) for p in CAPS.items() for x in p])
     label = F.when(F.col("block") == "asset", F.concat(F.lit("asset:"), "label")).when(F.col("block") == "cap", F.concat(F.lit("cap:"), F.coalesce(caps[F.col("label")], "label")))
     parts = splits.where("block IN ('asset', 'cap')").select(by, label.alias("metric"), "value")
     sector = splits.where("block = 'sector'").groupBy(by).agg(F.max("value").alias("value")).select(by, F.lit("sector").alias("metric"), "value")
+    order = F.row_number().over(W.partitionBy(by).orderBy(F.desc("value"), "label"))
+    top = splits.where("block = 'sector'").withColumn("k", order).groupBy(by).agg(*[F.round(F.sum(F.when(F.col("k") <= n, F.col("value"))), 2).alias(f"top{n}:sectors") for n in (5, 10)])
+    sector = sector.unionByName(top.unpivot(by, ["top5:sectors", "top10:sectors"], "metric", "value"))
     names = {"single_stock": "top1_pct", "top5": "top5_pct", "top10": "top10_pct", "holdings": "n_holdings"}
     fixed = summary.select(by, F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(v).cast("double").alias("value")) for k, v in names.items()])))
     return parts.unionByName(sector).unionByName(fixed).unionByName(more.select(by, "metric", "value"))
@@ -97,10 +101,14 @@ def judge(metrics: DataFrame, stated: DataFrame, by: str, resolved: DataFrame |
 
     An asset class that a portfolio lacks is 0 where the portfolio was resolved in
     full (resolved: by; None: all were), else not known; passed is null where the
-    actual value is not known.  Rules are a short stated list.
+    actual value is not known.  A column remark of the rules may direct how they are
+    measured: the largest sectors instead of holdings, direct stocks among schemes.
+    Rules are a short stated list.
     """
+    remark = F.lower(F.coalesce("remark", F.lit(""))) if "remark" in stated.columns else F.lit("")
     side = F.regexp_replace("rule_type", "^(min|max)_", "")
     metric = F.when(side == "asset", F.concat(F.lit("asset:"), "field")).when(F.col("field").isin(*CAPS.values()), F.concat(F.lit("cap:"), "field")).otherwise(side)
+    metric = F.when(side.isin("top5", "top10") & F.contains(remark, F.lit("sector")), F.concat(side, F.lit(":sectors"))).when((side == "schemes") & F.rlike(remark, F.lit("direct stock|stocks held")), "schemes:direct").otherwise(metric)
     listed = stated.select("rule_type", "field", "operator", F.col("value").alias("bound"), "severity", metric.alias("metric"))
     asked = metrics.select(by).distinct().crossJoin(F.broadcast(listed.agg(F.collect_list(F.struct(*listed.columns)).alias("r")))).select(by, F.inline("r"))  # one row on the right
     if resolved is None:
@@ -112,3 +120,16 @@ def judge(metrics: DataFrame, stated: DataFrame, by: str, resolved: DataFrame |
     most = F.col("operator") == "<="
     passed = F.when(most, F.col("actual") <= F.col("bound")).otherwise(F.col("actual") >= F.col("bound"))
     return rows.select(by, "rule_type", "field", "operator", "bound", "actual", passed.alias("passed"), F.when(most, F.col("bound") - F.col("actual")).otherwise(F.col("actual") - F.col("bound")).alias("headroom"), "severity")
+
+
+# What an allocation plan may state, and the metrics that rules look at.
+PLAN = {
+    "equity": "asset:stocks", "debt": "asset:debt", "gold": "asset:gold", "international": "asset:international", "cash": "asset:cash_equivalents",
+    "large": "cap:large cap", "mid": "cap:mid cap", "small": "cap:small cap", "micro": "cap:microcap",
+}
+
+
+def allocation_metrics(plans: DataFrame, by: str) -> DataFrame:
+    """by, metric, value of allocation plans (by and a column for each part, in percent): parts that are not stated are 0; all other metrics are not known."""
+    value = lambda k: F.coalesce(F.col(k).cast("double"), F.lit(0.0)) if k in plans.columns else F.lit(0.0)
+    return plans.select(by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), value(k).alias("value")) for k, m in PLAN.items()])))

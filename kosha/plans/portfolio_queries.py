@@ -185,3 +185,25 @@ def g19(spark, sf):
     rows = h.join(total, "portfolio_id").join(_classed(spark, sf), "key").withColumn("weight", 100 * F.col("value") / F.col("total")).drop("value")
     a = P.fund_attribution(rows, "portfolio_id", "scheme_id")
     return a.select("portfolio_id", "scheme_id", "asset_class", F.round("value", 4).alias("value"), F.round("share", 4).alias("share"))
+
+
+@register("r07_allocations", f"""WITH pl AS (SELECT s_suppkey AS plan_id, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 70 END AS equity, s_suppkey % 40 AS debt, s_suppkey % 11 AS international, s_suppkey % 33 AS large FROM supplier), ru(rule_type, field, operator, bound, severity) AS (VALUES {_STRATEGY}),
+j AS (SELECT plan_id, ru.*, CASE field WHEN 'debt' THEN debt WHEN 'stocks' THEN coalesce(equity, 0) WHEN 'international' THEN international WHEN 'other' THEN 0 WHEN 'large cap' THEN large END AS actual FROM pl, ru)
+SELECT plan_id, rule_type, field, CAST(actual AS DOUBLE) AS actual, CASE WHEN actual IS NULL THEN 'n/a' WHEN CASE operator WHEN '<=' THEN actual <= bound ELSE actual >= bound END THEN 'pass' ELSE 'fail' END AS verdict FROM j""")
+def r07(spark, sf):
+    k = F.col("s_suppkey")
+    plans = D.read(spark, sf, "supplier").select(k.alias("plan_id"), F.when(k % 4 != 0, k % 70).alias("equity"), (k % 40).alias("debt"), (k % 11).alias("international"), (k % 33).alias("large"))
+    j = R.judge(R.allocation_metrics(plans, "plan_id"), R.parse_rules(spark.createDataFrame([(1, STRATEGY)], "k int, text string"), "k"), "plan_id")
+    return j.select("plan_id", "rule_type", "field", "actual", F.when(F.col("passed"), "pass").when(~F.col("passed"), "fail").otherwise("n/a").alias("verdict"))
+
+
+@register("r05_remark_directions", f"""WITH {EFFECTIVE}, s AS (SELECT portfolio_id, coalesce(nullif(trim(sector), ''), 'na') AS sector, sum(weight) AS w FROM ef WHERE asset_class = 'stocks' GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY w DESC, sector) AS k FROM s),
+h AS (SELECT portfolio_id, weight, row_number() OVER (PARTITION BY portfolio_id ORDER BY weight DESC, isin) AS k FROM ef)
+SELECT portfolio_id, 'by sector' AS remark, round(sum(w) FILTER (k <= 5), 2) AS actual FROM k GROUP BY 1 UNION ALL SELECT portfolio_id, 'plain', round(sum(weight) FILTER (k <= 5), 2) FROM h GROUP BY 1""")
+def r05(spark, sf):
+    e = effective(spark, sf)
+    none = spark.createDataFrame([], "portfolio_id long, metric string, value double")
+    metrics = R.rule_metrics(P.portfolio_splits(e, "portfolio_id"), P.portfolio_summary(e, "portfolio_id", "2024-06-01"), none, "portfolio_id")
+    stated = spark.createDataFrame([("max_top5", "top 5 concentration", "<=", 50.0, "medium", "measured by Sector"), ("max_top5", "top 5 concentration", "<=", 51.0, "medium", None)], "rule_type string, field string, operator string, value double, severity string, remark string")
+    j = R.judge(metrics, stated, "portfolio_id")
+    return j.select("portfolio_id", F.when(F.col("bound") == 50, "by sector").otherwise("plain").alias("remark"), F.round("actual", 2).alias("actual"))
