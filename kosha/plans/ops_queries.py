@@ -223,9 +223,9 @@ def m14(spark, sf):
     return D.read(spark, sf, "customer").select("c_custkey").join(D.read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-@register("s29_table_rows", r"""WITH l AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z]+ [a-z]+')) AS m FROM conversations WHERE role = 'user') SELECT conv_id, turn, m AS company, count(*) AS n FROM l GROUP BY ALL""")
+@register("s29_table_rows", r"""WITH l AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z]+ [a-z]+')) AS m FROM conversations) SELECT conv_id, turn, m AS company, count(*) AS n FROM l GROUP BY ALL""")
 def s29(spark, sf):
-    c = D.read(spark, sf, "conversations").where("role = 'user'")
+    c = D.read(spark, sf, "conversations")
     return c.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+ [a-z]+"), F.lit(0))).alias("company")).groupBy("conv_id", "turn", "company").agg(F.count(F.lit(1)).alias("n"))
 
 
