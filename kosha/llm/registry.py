@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     bpe_queries,
+    conversation_queries,
     decontaminate_queries,
     exact_dedup_queries,
     jaccard_queries,
@@ -30,6 +31,7 @@ _MODULES = (
     language_queries,
     jaccard_queries,
     token_output_queries,
+    conversation_queries,
     exact_dedup_queries,
     vector_code_queries,
 )
