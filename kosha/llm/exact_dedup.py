@@ -54,8 +54,13 @@ class DigestIndex:
         self.name = f"kosha_digests_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id {id_type}, keep_row BIGINT, batch STRING) USING parquet "
-            f"PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{location}/entries'"
+            f"PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{location}'"
         )
+        self.refresh()
+
+    def refresh(self) -> None:
+        """See the batches that other sessions have added."""
+        self.spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
 
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)

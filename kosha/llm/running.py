@@ -29,8 +29,8 @@ def running(rows: DataFrame, order: list[Column], totals: dict[str, tuple[str, s
     """`columns` of rows (all by default) and, for each name: (column, "sum" or "xor") of totals, the total of that column over the rows that stand before, 0 for the first.
 
     With `within`, a long column without nulls, totals are those of the rows with
-    an equal value.  Totalled columns are longs without nulls; sums wrap round.
-    Rows are dealt out by ranges of the order, so neither one value of `within`
+    an equal value.  Totalled columns are longs without nulls, whose sums fit in
+    63 bits.  Rows are dealt out by ranges of the order, so neither one value of `within`
     nor the lack of it puts them into one task; what a range carries on is one
     row for each range and value.  Rows of equal order follow each other in any
     order.  rows are read twice.
