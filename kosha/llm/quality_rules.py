@@ -1,10 +1,11 @@
 """Quality rules by robust multivariate outliers, in DataFrame functions only.
 
 Text statistics are transformed to a vector; for each language and source the
-minimum-covariance-determinant location and scatter are found by concentration
-steps, and rows are rejected by their Mahalanobis distance.  All groups take
-their steps together; every step is one partial aggregation, so a source that
-holds a third of all rows is no larger in any task than the others.
+half of the rows whose scatter has the least determinant is looked for from
+several starts by concentration steps, its scatter is made consistent and
+reweighted, and rows are rejected by their Mahalanobis distance.  All groups and
+starts take their steps together; every step is one partial aggregation, so a
+source that holds a third of all rows is no larger in any task than the others.
 """
 
 from __future__ import annotations
@@ -21,13 +22,17 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 
 FEATURES = ("word_length", "symbols", "duplicate_lines", "repeats")
-SUBSET = 0.75  # share of a group that a concentration step keeps
+STARTS = 4
+FIRST_STEPS = 2  # concentration steps that every start takes; the best goes on
 MOST_STEPS = 30
+# Chi-square values for four dimensions: half a sample, by which a scatter is 1 / 2.109 too small; and the cut of the reweighting, which leaves out 2.5 % of normal rows, with its factor.
+HALF_FACTOR = 2.1090630406
+REWEIGHT_CUT, REWEIGHT_FACTOR = 11.1432867819, 1.0644658583
 SETTLED = 1e-3  # largest change of the logarithm of a determinant that ends the steps
 LEAST_ROWS = 5 * len(FEATURES)  # rows from which a scatter of so many dimensions is estimated; smaller groups take the estimates of their language, and these those of all rows
 FLOOR = 0.08  # least standard deviation of a transformed statistic
 BINS = 256  # bins of a distance for each doubling
-MAX_DISTANCE = 60.0  # squared; a chi-square variable of 4 degrees exceeds it with probability 3e-12
+MAX_DISTANCE = 60.0  # squared; the quantile of a chi-square variable of 4 degrees that one of 3e11 normal rows exceeds, as text statistics have longer tails
 
 
 def _let(value: Column, body) -> Column:
@@ -116,11 +121,11 @@ def _moments() -> list[Column]:
     return out
 
 
-def _estimates(kept: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and inverse Cholesky factor of the scatter of each group of kept rows."""
+def _estimates(kept: DataFrame, keys: list[str], factor: float = HALF_FACTOR) -> DataFrame:
+    """Mean and Cholesky factor of `factor` times the scatter of each group of kept rows."""
     m = kept.groupBy(*keys).agg(*_moments())
     means = {f: F.col(f"s_{f}") / 1e6 / F.col("n") for f in FEATURES}
-    m = m.select(*keys, "n", *[means[f].alias(f"m_{f}") for f in FEATURES], *[(F.col(f"p_{f}_{g}") / 1e6 / F.col("n") - means[f] * means[g]).alias(f"c_{f}_{g}") for i, f in enumerate(FEATURES) for g in FEATURES[: i + 1]])
+    m = m.select(*keys, "n", *[means[f].alias(f"m_{f}") for f in FEATURES], *[(factor * (F.col(f"p_{f}_{g}") / 1e6 / F.col("n") - means[f] * means[g])).alias(f"c_{f}_{g}") for i, f in enumerate(FEATURES) for g in FEATURES[: i + 1]])
     # Cholesky, one row of the factor after the other, with a floor under each pivot.
     for i, f in enumerate(FEATURES):
         for j, g in enumerate(FEATURES[: i + 1]):
@@ -144,8 +149,8 @@ def _distance(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, total)
 
 
-def _nearest(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """The rows up to the distance bin that completes `share` of each group: counts by bin, then their running sums."""
+def _nearest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows up to the distance bin that completes half of each group (and half a row for each dimension): counts by bin, then their running sums."""
     rows = rows.withColumn("bin", F.floor(F.log2(F.col("d") + 1e-6) * BINS).cast("int"))
     bins = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("k"))
     by_group = bins.groupBy(*keys).agg(F.sum("k").alias("all"), F.array_sort(F.collect_list(F.struct("bin", "k"))).alias("b"))
@@ -154,38 +159,58 @@ def _nearest(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
     def step(acc, x):
         done = acc["cut"].isNotNull()
         total = acc["sum"] + x["k"]
-        return F.struct(total.alias("sum"), F.when(done, acc["cut"]).when(total >= F.col("all") * share, x["bin"]).alias("cut"))
+        return F.struct(total.alias("sum"), F.when(done, acc["cut"]).when(2 * total >= F.col("all") + len(FEATURES), x["bin"]).alias("cut"))
 
     cuts = by_group.select(*keys, F.aggregate("b", zero, step, lambda acc: acc["cut"]).alias("cut"))
     return rows.join(broadcast_if_small(cuts), keys).where(F.col("bin") <= F.col("cut")).select(*keys, *FEATURES)
 
 
-def fit_mcd(rows: DataFrame, keys: list[str], share: float = SUBSET, most_steps: int = MOST_STEPS) -> DataFrame:
-    """Estimates for each group of `keys` (no nulls) with at least LEAST_ROWS rows.
-
-    The first subset is the half of the rows nearest to the coordinate-wise
-    median in robust units; each step keeps the `share` of the rows nearest under
-    the current estimate (and all that tie with the last of them, up to a bin of
-    1/256 of a doubling), which does not raise the determinant of the scatter.
-    Steps end when no group's determinant changes.  Groups are summaries of a few
-    numbers; rows stay where they are.
+def _starts(rows: DataFrame, quartiles: DataFrame, keys: list[str]) -> DataFrame:
+    """rows for each of the starts, with a distance d: around the medians in units of the quartiles' distance and of the nearer quartile's, around the lower and around the upper quartiles."""
+    q = lambda f, i: F.col(f"q_{f}")[i]
+    unit = lambda x: F.greatest(x / 0.6745, F.lit(FLOOR))
+    frames = [
+        (lambda f: q(f, 1), lambda f: unit((q(f, 2) - q(f, 0)) / 2)),
+        (lambda f: q(f, 1), lambda f: unit(F.least(q(f, 1) - q(f, 0), q(f, 2) - q(f, 1)))),
+        (lambda f: q(f, 0), lambda f: unit(q(f, 1) - q(f, 0))),
+        (lambda f: q(f, 2), lambda f: unit(q(f, 2) - q(f, 1))),
+    ]
+    distances = [sum((F.pow((F.col(f) - centre(f)) / scale(f), 2) for f in FEATURES), F.lit(0.0)) for centre, scale in frames]
+    return rows.join(quartiles, keys).select(*keys, *FEATURES, F.posexplode(F.array(*distances)).alias("start", "d"))
+
+
+def fit_mcd(rows: DataFrame, keys: list[str], most_steps: int = MOST_STEPS) -> DataFrame:
+    """Minimum-covariance-determinant estimates for each group of `keys` (no nulls) with at least LEAST_ROWS rows.
+
+    Of STARTS subsets of half the rows each takes FIRST_STEPS concentration
+    steps; a step keeps the half of the rows nearest under the current estimate
+    (and all that tie with the last of them, up to a bin of 1/256 of a
+    doubling), which does not raise the determinant.  The start with the least
+    determinant goes on until no group's changes.  The scatter of a half is made
+    consistent for normal rows, and the estimates returned are those of all rows
+    within the 97.5 % ellipsoid, made consistent again: they hold out against
+    outliers of nearly half the rows.  Groups are summaries of a few numbers;
+    rows stay where they are.
     """
     large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q_{f}") for f in FEATURES]).where(F.col("n") >= LEAST_ROWS)
-    large = broadcast_if_small(keep(large, "quartiles"))
-    start = rows.join(large.drop("n"), keys)
-    spread = lambda f: F.greatest((F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0]) / 1.349, F.lit(FLOOR))
-    start = start.withColumn("d", sum((F.pow((F.col(f) - F.col(f"q_{f}")[1]) / spread(f), 2) for f in FEATURES), F.lit(0.0)))
-    estimates = keep(_estimates(_nearest(start.select(*keys, *FEATURES, "d"), keys, 0.5), keys), "estimates")
+    large = broadcast_if_small(keep(large.drop("n"), "quartiles"))
     log_det = sum((F.log(f"l_{f}_{f}") for f in FEATURES), F.lit(0.0))
+    distances = lambda fits, ks: _distance(rows.join(broadcast_if_small(fits), keys), "d").select(*ks, *FEATURES, "d")
+    tried = [*keys, "start"]
+    fits = keep(_estimates(_nearest(_starts(rows, large, keys), tried), tried), "starts")
+    for _ in range(FIRST_STEPS):
+        fits = keep(_estimates(_nearest(distances(fits, tried), tried), tried), "starts")
+    names = [c for c in fits.columns if c not in tried]
+    best = fits.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct(log_det, F.col("start"))).alias("b"))
+    estimates = keep(best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in names]), "estimates")
     for _ in range(most_steps):
-        near = _nearest(_distance(rows.join(broadcast_if_small(estimates), keys), "d").select(*keys, *FEATURES, "d"), keys, share)
-        fresh = keep(_estimates(near, keys), "estimates")
+        fresh = keep(_estimates(_nearest(distances(estimates, keys), keys), keys), "estimates")
         was = estimates.select(*keys, log_det.alias("was"))
         moved = fresh.select(*keys, log_det.alias("now")).join(was, keys).agg(F.max(F.abs(F.col("now") - F.col("was")))).first()[0]
         estimates = fresh
         if moved is None or moved <= SETTLED:
             break
-    return estimates
+    return keep(_estimates(distances(estimates, keys).where(F.col("d") <= REWEIGHT_CUT), keys, REWEIGHT_FACTOR), "estimates")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source"), limit: float = MAX_DISTANCE) -> DataFrame:
