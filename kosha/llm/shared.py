@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ BROADCAST_ROWS = 200_000
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder URI below the shared folder in spark.checkpoint.dir; only where that is unset, below one of our own."""
+    """A new folder URI below the shared folder in spark.checkpoint.dir; where that is unset, in local mode below one of our own, and a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/kosha-{uuid.uuid4().hex}"

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, lower_ascii
+from .shared import broadcast_if_small, keep, lower_ascii
 
 SHORT = 8  # hex digits of the short hash
+SALTS = 32  # tasks that share one site where its verdict is joined by shuffle
 
 
 def host_of(url: Column) -> Column:
@@ -79,8 +80,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     best = hits.groupBy("host", "__start").agg(
         F.max_by(F.struct(rule.alias("rule"), F.col("r_verdict").alias("verdict")), F.struct(F.length(rule), F.length("r_host"))).alias("__best")
     )
-    return urls.join(best, ["host", "__start"], "left").select(
+    found = _with_verdicts(urls, keep(best, "verdicts"), broadcast_rows)
+    return found.select(
         *[c for c in urls.columns if c != "__start"],
         F.col("__best.rule").alias("rule"),
         F.coalesce("__best.verdict", F.lit(default)).alias("verdict"),
     )
+
+
+def _with_verdicts(urls: DataFrame, best: DataFrame, broadcast_rows: int) -> DataFrame:
+    """urls with the verdict of their site, where a rule fits it: by a broadcast of the counted sites, beyond its bound by a join that deals every site over SALTS tasks."""
+    site = ["host", "__start"]
+    if best.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return urls.join(F.broadcast(best), site, "left")
+    copies = best.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return urls.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(copies, [*site, "__salt"], "left").drop("__salt")
