@@ -27,6 +27,14 @@ def test_url_filter_edges(spark):
     assert sorted(map(str, url_filter.judge_urls(pages, rules, broadcast_rows=0).collect())) == sorted(map(str, url_filter.judge_urls(pages, rules).collect()))
 
 
+def test_pages_of_one_site_are_dealt_over_tasks(spark):
+    rules = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string")
+    pages = spark.range(20_000).selectExpr("id AS page_id", "'http://big.com/en/' || id % 3 AS url").repartition(8)
+    judged = url_filter.judge_urls(pages, rules, broadcast_rows=0)
+    assert judged.where("verdict = 'block'").count() == 20_000
+    assert "__salt" in judged._jdf.queryExecution().optimizedPlan().toString()
+
+
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
 
 
@@ -190,40 +198,78 @@ def test_very_many_secrets_in_a_text(spark):
     assert took[1] < 24 * took[0] + 3
 
 
-def numpy_mcd(x, share):
-    """Location and scatter from the nearest half around the median, then concentration steps, as plain loops."""
+def numpy_mcd(x, tries=400):
+    """Squared distances by the minimum covariance determinant of many random starts, made consistent and reweighted, with a floor under each pivot."""
     import numpy as np
 
-    q = [np.quantile(x, p, axis=0, method="inverted_cdf") for p in (0.25, 0.5, 0.75)]
-    d = (((x - q[1]) / np.maximum((q[2] - q[0]) / 1.349, quality_rules.FLOOR)) ** 2).sum(1)
-    part = 0.5
-    for _ in range(100):
-        kept = x[d <= np.sort(d)[int(np.ceil(part * len(x))) - 1]]
-        mean, cov = kept.mean(0), np.cov(kept.T, bias=True)
-        fresh = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        if part == share and np.allclose(fresh, d):
-            break
-        d, part = fresh, share
-    return mean, np.sqrt(np.linalg.det(cov))
-
-
-def test_mcd_by_brute_force(spark):
+    r, (n, p) = np.random.default_rng(1), x.shape
+    h = (n + p + 1) // 2
+
+    def fit(kept, factor):
+        cov, low = factor * np.cov(kept.T, bias=True), np.zeros((p, p))
+        for i in range(p):
+            for j in range(i + 1):
+                rest = cov[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(rest, quality_rules.FLOOR**2)) if i == j else rest / low[j, j]
+        return kept.mean(0), low
+
+    def distances(mean, low):
+        return (np.linalg.solve(low, (x - mean).T) ** 2).sum(0)
+
+    best = None
+    for _ in range(tries):
+        mean, low = fit(x[r.choice(n, p + 1, replace=False)], 1.0)
+        for _ in range(30):
+            mean, fresh = fit(x[np.argsort(distances(mean, low), kind="stable")[:h]], quality_rules.HALF_FACTOR)
+            if np.allclose(fresh, low):
+                break
+            low = fresh
+        det = np.log(np.diag(low)).sum()
+        if best is None or det < best[0]:
+            best = det, mean, low
+    mean, low = fit(x[distances(*best[1:]) <= quality_rules.REWEIGHT_CUT], quality_rules.REWEIGHT_FACTOR)
+    return mean, low, distances(mean, low)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.4, 0.45])
+def test_mcd_by_brute_force(spark, share):
     import numpy as np
 
     r = np.random.default_rng(3)
     rows, want = [], {}
     for g, n in (("a", 25), ("b", 200), ("c", 600), ("few", quality_rules.LEAST_ROWS - 1)):
         x = r.normal(size=(n, 4)) @ r.normal(size=(4, 4)) + r.normal(size=4)
-        x[: n // 10] += 15
+        x[: int(n * share)] = r.normal(size=4) * 0.2 + x.mean(0) + [40, -30, 40, 30] + r.normal(size=(int(n * share), 4))
         rows += [(g, *map(float, v)) for v in x]
-        want[g] = numpy_mcd(x, quality_rules.SUBSET)
+        want[g] = x, *numpy_mcd(x)
     frame = spark.createDataFrame(rows, "g string, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES))
     got = {r.g: r for r in quality_rules.fit_mcd(frame, ["g"]).collect()}
     assert set(got) == {"a", "b", "c"}
+    names = quality_rules.FEATURES
     for g, row in got.items():
-        mean = [row[f"m_{f}"] for f in quality_rules.FEATURES]
-        det = np.prod([row[f"l_{f}_{f}"] for f in quality_rules.FEATURES])
-        assert np.allclose(mean, want[g][0], atol=0.05) and abs(np.log(det / want[g][1])) < 0.05, g
+        x, mean, low, distance = want[g]
+        found = np.array([[row[f"l_{f}_{h}"] if j <= i else 0.0 for j, h in enumerate(names)] for i, f in enumerate(names)])
+        d = (np.linalg.solve(found, (x - [row[f"m_{f}"] for f in names]).T) ** 2).sum(0)
+        if len(x) - int(len(x) * share) >= (len(x) + 5) // 2:  # as many others as the subset takes
+            assert (d[: int(len(x) * share)] > quality_rules.MAX_DISTANCE).all(), g
+        if len(x) >= 200:  # a few rows have many subsets of about the least determinant
+            assert ((d > quality_rules.MAX_DISTANCE) == (distance > quality_rules.MAX_DISTANCE)).all(), g
+            assert np.allclose(np.diag(found), np.diag(low), rtol=0.25), g
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.3, 0.4])
+def test_many_outliers_of_a_group_are_rejected(spark, share):
+    """Texts of 80 to 160 words; outliers have a mark behind 60 % of their words."""
+    import random
+
+    rng = random.Random(int(share * 10))
+    texts = []
+    for i in range(400):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(80, 161))]
+        texts.append((i, " ".join(w + "#" if i < 400 * share and rng.random() < 0.6 else w for w in words)))
+    frame = docs(spark, texts).drop("lang").selectExpr("*", "'en' AS lang")
+    kept = {r.doc_id for r in quality_rules.judge(frame).where("kept").collect()}
+    assert kept == set(range(int(400 * share), 400))
 
 
 def test_ordinary_pages_are_segmented(spark):
