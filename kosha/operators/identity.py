@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -70,10 +71,13 @@ def identity_classes(rows: DataFrame, first: str, second: str, most_rounds: int
 
 
 def _checkpoints(df: DataFrame) -> None:
-    """Checkpoints go to the shared folder in spark.checkpoint.dir; only where it is unset, as in tests, to one of our own."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
+    """Checkpoints go to the shared folder in spark.checkpoint.dir; where it is unset, in local mode to one of our own, and a cluster is refused."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
 
 
 def class_keys(rows: DataFrame, by: str) -> DataFrame:
