@@ -10,6 +10,7 @@ Tokens are compressed wherever they wait for the next step.
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import numpy as np
@@ -123,22 +124,42 @@ def shard_path(root: str, shard: int) -> str:
     return f"{root}/shard-{shard:08d}.bin"
 
 
+def claim(folder: str, plan: dict) -> None:
+    """Write the plan of a folder, or check that the one it has is the same."""
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    if store.get_file_info(f"{root}/plan.json").type == fs.FileType.File:
+        with store.open_input_stream(f"{root}/plan.json") as f:
+            there = json.loads(f.read())
+        if there != plan:
+            raise ValueError(f"{folder} has another plan: {', '.join(k for k in plan if there.get(k) != plan[k])} differ")
+        return
+    with store.open_output_stream(f"{root}/plan.json.new") as f:
+        f.write(json.dumps(plan).encode())
+    store.move(f"{root}/plan.json.new", f"{root}/plan.json")
+
+
 def write_shards(docs: DataFrame, path: str, folder: str, text_col: str = "text", length: int = LENGTH, per_shard: int = SHARD, key: int = 1, end: str = END) -> int:
     """Write docs to shards and index.json in folder, a URI that all executors reach; return the number of sequences.
 
     Ids take two bytes, or four if the vocabulary has more than 65,536.  Each task
     writes a range of slots, shard by shard; a shard is written under a name of
     its own, then renamed, and one that already stands in full is left, so a job
-    that was cut short goes on where it was.  (folder belongs to one set of texts
-    and parameters.)  Null and empty texts are an end token each; repeated rows
-    are written as often as they stand.  The last sequence is filled with end
+    that was cut short goes on where it was.  plan.json, which is written before
+    any shard, tells the vocabulary, the parameters and a digest of the stream; a
+    folder that has another plan is refused.  Null and empty texts are an end
+    token each; repeated rows are written as often as they stand.  The last sequence is filled with end
     tokens.  Without rows there are no shards.  Other columns play no part.
     """
     codec = load(path)
     kind, filler = codec.type, codec.special[end]
     stream = keep(token_stream(docs, path, text_col, end), "tokens", "zstd")
-    total = stream.agg(F.sum("n")).first()[0] or 0
+    sums = stream.agg(F.sum("n").alias("n"), F.bit_xor(F.xxhash64("part", "at", "n", "tokens")).alias("digest")).first()
+    total = sums["n"] or 0
     count = -(-total // length)
+    with open(path, "rb") as f:
+        vocabulary = hashlib.sha256(f.read()).hexdigest()
+    claim(folder, {"vocabulary": vocabulary, "end": filler, "length": length, "per_shard": per_shard, "key": key, "tokens": total, "stream": sums["digest"]})
     shards = -(-count // per_shard)
     rows = cut(stream, total, length, key, kind).withColumn("shard", F.expr(f"slot div {per_shard}"))
     rows = rows.repartitionById(max(1, -(-shards // SHARDS_A_TASK)), F.expr(f"cast(shard div {SHARDS_A_TASK} as int)")).sortWithinPartitions("slot", "at")

@@ -203,6 +203,11 @@ def test_token_shards(spark):
     assert found == Counter(tuple(codec.encode(t or "").tolist()) for t in texts)
     assert [r.slot for r in token_output.read_slots(spark, folder, first=n - 3).collect()] == [n - 3, n - 2, n - 1]
     assert token_output.write_shards(frame, path, folder, length=16, per_shard=10) == n  # what stands is left
+    for other in ({"key": 2}, {"length": 8}, {"per_shard": 9}):
+        with pytest.raises(ValueError, match=next(iter(other))):
+            token_output.write_shards(frame, path, folder, **{"length": 16, "per_shard": 10} | other)
+    with pytest.raises(ValueError, match="stream"):
+        token_output.write_shards(frame.where("doc_id <> 5"), path, folder, length=16, per_shard=10)
     empty = shared.scratch(spark) + "/none"
     assert token_output.write_shards(frame.where("false"), path, empty) == 0 and token_output.read_slots(spark, empty).count() == 0
 
