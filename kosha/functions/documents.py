@@ -65,56 +65,125 @@ def quarter_start(d: Column) -> Column:
     return F.when(early, F.add_months(q, -3)).otherwise(q)
 
 
+# What marks a floating rate, and payments a year by words in a text or by its first figures.
+FLOATING = ("frb", "frn", "floating")
+PAYMENTS = (
+    (2, ("half", "semi"), "2"),
+    (4, ("quart",), "4"),
+    (12, ("month",), "12"),
+    (1, ("year", "annual"), "1"),
+    (6, (), "6"),
+)
+
+
 def coupon(text: Column) -> Column:
     """The coupon in percent that a text names; none for floating rates."""
-    rate = F.nullif(F.regexp_extract(text, r"([0-9]{1,2}(?:\.[0-9]{1,4})?)\s*%", 1), F.lit("")).cast("double")
-    return F.when(~F.rlike(F.lower(text), F.lit("frb|floating|frn")), rate)
+    low = F.lower(text)
+    floats = F.lit(False)
+    for word in FLOATING:
+        floats = floats | F.contains(low, F.lit(word))
+    before_percent = F.regexp_extract(text, r"(\d{1,2}(?:\.\d{1,4})?)\s*%", 1)
+    return F.when(~floats & (before_percent != ""), before_percent.cast("double"))
 
 
 def payments_a_year(text: Column) -> Column:
-    t = F.lower(F.trim(text))
-    starts = lambda x: F.startswith(t, F.lit(x))
-    return (
-        F.when(t.isin("", "0", "none"), None)
-        .when(F.rlike(t, F.lit("half|semi|^2")), 2)
-        .when(F.rlike(t, F.lit("quart|^4")), 4)
-        .when(F.rlike(t, F.lit("month|^12")), 12)
-        .when(F.rlike(t, F.lit("year|annual|^1")), 1)
-        .when(starts("6"), 6)
-    )
-
-
-# The grammar of corporate-action subjects.
-_AMOUNT = r"(?i)(?:rs|re)?[-:\s.]*([0-9]+(?:\.[0-9]+)?)\s*/?-?\s*:?\s*-?\s*(?:p(?:er|r)?\s*(?:(?:equity|ordinary|ord)\s*)?)?sh\w*"
-_BONUS = r"(?i)\bbon[a-z]*\s*[:-]?\s*([0-9]{1,3})(?![0-9])\s*:\s*([0-9]{1,3})(?![0-9])"
-_SPLIT = r"(?i)face value spl\w*|fv spl\w*|stock split|sub-divis"
-_FROM, _TO = (rf"(?i)\b(?:{w})\s*(?:rs|re)?[.\s]*([0-9]+(?:\.[0-9]+)?)" for w in ("from|frm", "to"))
-_MONEY = r"(?i)(?:rs|re)[.\s]*([0-9]+(?:\.[0-9]+)?)"
+    """Payments a year by the first entry of PAYMENTS that fits; none where the text says nothing."""
+    low = F.lower(F.trim(text))
+    found = F.lit(None).cast("int")
+    for n, words, figures in reversed(PAYMENTS):
+        fits = F.startswith(low, F.lit(figures))
+        for word in words:
+            fits = fits | F.contains(low, F.lit(word))
+        found = F.when(fits, n).otherwise(found)
+    return found
+
+
+# Words of corporate-action subjects.
+TOKEN = r"[a-z]+|\d+(?:\.\d+)?|\.+|[^\sa-z0-9./-]"  # a word, a number, dots or a mark; slashes and dashes tell nothing
+PER = ("per", "pr", "p")
+KINDS_OF_SHARE = ("equity", "ordinary", "ord")
+CURRENCY = ("rs", "re")
+NO_EQUITY = ("debenture", "preference", "ncrps")
+MOST_BONUS = 500
+
+
+class _Subject:
+    """The words, numbers and marks of a subject line, looked at by place."""
+
+    def __init__(self, tokens: Column):
+        self.t = tokens
+
+    def at(self, i: Column) -> Column:
+        return F.coalesce(F.get(self.t, i), F.lit(""))
+
+    def is_number(self, i: Column) -> Column:
+        return F.rlike(self.at(i), F.lit(r"^\d"))
+
+    def skip(self, i: Column, words: tuple[str, ...]) -> Column:
+        return i + self.at(i).isin(*words).cast("int")
+
+    def places(self, holds) -> Column:
+        """Places at which `holds` is true."""
+        return F.filter(F.sequence(F.lit(0), F.size(self.t)), lambda i: F.coalesce(holds(i), F.lit(False)))
+
+    def any(self, holds) -> Column:
+        return F.exists(self.t, holds)
+
+    def amount_after(self, i: Column) -> Column:
+        """Place of the number that follows, behind a currency and a dot."""
+        k = self.skip(self.skip(i + 1, CURRENCY), (".",))
+        return F.when(self.is_number(k), k)
+
+    def per_share(self, i: Column) -> Column:
+        """Whether the number at i is an amount for each share."""
+        k = self.skip(self.skip(self.skip(i + 1, (":",)), PER), KINDS_OF_SHARE)
+        unit = self.at(k)
+        joined = F.lit("^(?:" + "|".join(PER) + ")(?:" + "|".join(KINDS_OF_SHARE) + ")?sh")
+        return self.is_number(i) & (F.startswith(unit, F.lit("sh")) | F.rlike(unit, joined))
+
+    def opens_split(self, i: Column) -> Column:
+        """Whether the words from i on announce a cut of the face value."""
+        one, two, three = self.at(i), self.at(i + 1), self.at(i + 2)
+        splits = lambda w: F.startswith(w, F.lit("spl"))
+        return ((one == "face") & (two == "value") & splits(three)) | ((one == "fv") & splits(two)) | ((one == "stock") & F.startswith(two, F.lit("split"))) | ((one == "sub") & F.startswith(two, F.lit("divis")))
+
+    def bonus(self, i: Column) -> Column:
+        """struct<a, b> of "bonus a:b" at i."""
+        k = self.skip(i + 1, (":",))
+        whole = lambda j: F.rlike(self.at(j), F.lit(r"^\d{1,3}$"))
+        fits = F.startswith(self.at(i), F.lit("bon")) & whole(k) & (self.at(k + 1) == ":") & whole(k + 2)
+        return F.when(fits, F.struct(self.at(k).try_cast("double").alias("a"), self.at(k + 2).try_cast("double").alias("b")))
 
 
 def subject_events(subject: Column) -> dict[str, Column]:
-    """dividend (cash a share, summed unless one figure includes the others) and split (old over new price as a factor of shares) of a subject line; null where it states none.
+    """dividend (cash a share, summed unless one figure includes the others) and split (shares after for one before) of a subject line; null where it states none.
 
-    Bonus a:b counts as (a + b) / b shares for one, a face value cut from old to new
-    as old / new; both on one line multiply.  Bonuses of debentures and preference
-    shares do not count.
+    Bonus a:b counts as (a + b) / b shares for one, a face value cut from old to
+    new as old / new; both on one line multiply.  Bonuses of debentures and
+    preference shares do not count.  Amounts between the words that announce a
+    cut and its last stated value are no dividends; if it states neither "from"
+    nor "to", none behind those words is.
     """
-    s = F.trim(F.regexp_replace(F.regexp_replace(subject, r"\.{2,}", "."), r"([0-9])\s*\.\s*([0-9])", "$1.$2"))
-    has = lambda p: F.rlike(s, F.lit(p))
-    number = lambda p, k=1: F.nullif(F.regexp_extract(s, p, k), F.lit("")).cast("double")
-    # The words of a split, up to its last amount, are no dividend.
-    plain = F.when(has(_SPLIT), F.regexp_replace(s, r"(?i)(?:face value spl|fv spl|stock split|sub-divis).*\bto\s*(?:rs|re)?[.\s]*[0-9]+(?:\.[0-9]+)?\S*\s*(?:per\s+share)?", " ")).otherwise(s)
-    amounts = F.filter(F.transform(F.regexp_extract_all(plain, F.lit(_AMOUNT), F.lit(1)), lambda x: x.cast("double")), lambda x: x > 0)
-    total = F.when(has("(?i)includ"), F.get(amounts, F.lit(0))).otherwise(F.aggregate(amounts, F.lit(0.0), lambda a, x: a + x))
-    dividend = F.when(has(r"(?i)\bdiv\b|divid") & (F.size(amounts) > 0), F.round(total, 4))
-    a, b = number(_BONUS, 1), number(_BONUS, 2)
-    bonus = F.when(~has(r"(?i)debenture|\bdeb\d|preference|ncrps") & a.between(1, 500) & b.between(1, 500), (a + b) / b)
-    money = F.regexp_extract_all(s, F.lit(_MONEY), F.lit(1))
-    both = number(_FROM).isNotNull() & number(_TO).isNotNull()
-    old = F.when(both, number(_FROM)).otherwise(F.get(money, F.lit(0)).cast("double"))
-    new = F.when(both, number(_TO)).otherwise(F.get(money, F.lit(1)).cast("double"))
-    cut = F.when(has(_SPLIT) & (new > 0) & (old > new), old / new)
-    return {"dividend": dividend, "split": F.when(F.coalesce(bonus, cut).isNotNull(), F.coalesce(bonus, F.lit(1.0)) * F.coalesce(cut, F.lit(1.0)))}
+    fixed = F.regexp_replace(F.lower(F.coalesce(subject, F.lit(""))), r"(?<=\d)\s*\.+\s*(?=\d)", ".")
+    line = _Subject(F.regexp_extract_all(fixed, F.lit(TOKEN), F.lit(0)))
+    value = lambda i: line.at(i).try_cast("double")
+    first = lambda places: F.get(places, F.lit(0))
+    stated = lambda *words: first(F.filter(F.transform(line.places(lambda i: line.at(i).isin(*words)), line.amount_after), lambda k: k.isNotNull()))
+    cut_at, old_at, new_at = first(line.places(line.opens_split)), stated("from", "frm"), stated("to")
+    last = F.coalesce(F.greatest(old_at, new_at), F.size(line.t))
+    free = F.filter(line.places(line.per_share), lambda i: F.coalesce((i < cut_at) | (i > last), F.lit(True)) & (value(i) > 0))
+    amounts = F.transform(free, value)
+    total = F.when(line.any(lambda w: F.startswith(w, F.lit("includ"))), first(amounts)).otherwise(F.aggregate(amounts, F.lit(0.0), lambda a, x: a + x))
+    pays = line.any(lambda w: (w == "div") | F.contains(w, F.lit("divid")))
+    other_paper = line.any(lambda w: F.rlike(w, F.lit("|".join(NO_EQUITY)))) | (F.size(line.places(lambda i: (line.at(i) == "deb") & line.is_number(i + 1))) > 0)
+    offer = first(F.filter(F.transform(line.places(lambda i: F.startswith(line.at(i), F.lit("bon"))), line.bonus), lambda x: x.isNotNull()))
+    bonus = F.when(~other_paper & offer["a"].between(1, MOST_BONUS) & offer["b"].between(1, MOST_BONUS), (offer["a"] + offer["b"]) / offer["b"])
+    money = F.filter(F.transform(line.places(lambda i: line.at(i).isin(*CURRENCY)), line.amount_after), lambda k: k.isNotNull())
+    both = old_at.isNotNull() & new_at.isNotNull()
+    old, new = value(F.when(both, old_at).otherwise(first(money))), value(F.when(both, new_at).otherwise(F.get(money, F.lit(1))))
+    cut = F.when(cut_at.isNotNull() & (new > 0) & (old > new), old / new)
+    split = F.when(F.coalesce(bonus, cut).isNotNull(), F.coalesce(bonus, F.lit(1.0)) * F.coalesce(cut, F.lit(1.0)))
+    return {"dividend": F.when(pays & (F.size(amounts) > 0), F.round(total, 4)), "split": split}
 
 
 # Segments by security type.

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import held
+
 INVERTED = ("vol_252", "downside_dev", "beta", "max_drawdown")  # small is strong; max_drawdown as the reference ranks it
 
 
@@ -79,45 +81,52 @@ def quality_metrics(years: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def winsorized_z(x: Column, over) -> Column:
-    """Sample z-score, clipped at 3, a deviation of 0 counting as 1; null below 5 values."""
-    sd = F.stddev_samp(x).over(over)
-    z = (x - F.avg(x).over(over)) / F.when(sd > 0, sd).otherwise(1.0)
-    return F.when(F.count(x).over(over) >= 5, F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z)))
-
-
 def long_form(wide: DataFrame) -> DataFrame:
     cols = [c for c in wide.columns if c != "isin"]
     return wide.unpivot("isin", cols, "component", "value").where("value is not null AND NOT isnan(value)")
 
 
+SLICES = 64  # tasks over which the ranks of one component are spread
+
+
 def rank_components(values: DataFrame, by: tuple[str, ...] = ("component",)) -> DataFrame:
     """Percentile rank of each component's z-score, the sign turned for the inverted set; needs 5 values.
 
-    Windows are per component, a handful of keys: ranks are taken over the universe of securities.
+    Means and deviations are aggregated, and scores are dealt into SLICES by
+    approximate quantiles: a rank is the number of scores in lower slices and
+    the rank within its own, so no task sees a whole universe.  Equal scores
+    share a slice.
     """
-    w = W.partitionBy(*by)
-    z = values.withColumn("z", winsorized_z(F.col("value"), w)).where("z is not null").withColumn("s", F.when(F.col("component").isin(*INVERTED), -F.col("z")).otherwise(F.col("z")))
-    return z.select("isin", *by, "z", (100 * F.percent_rank().over(w.orderBy("s"))).alias("rank"))
-
-
-def composite(ranks: DataFrame, least: int = 3) -> DataFrame:
-    return ranks.groupBy("isin").agg(F.avg("rank").alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("isin", "score")
+    values = held(values)
+    points = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    facts = values.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile_approx("value", points, 1000).alias("cuts")).where("n >= 5")
+    scored = lambda x: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), (x - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)))
+    sign = F.when(F.col("component").isin(*INVERTED), -1.0).otherwise(1.0)
+    z = values.join(facts, list(by)).withColumn("z", scored(F.col("value"))).withColumn("s", sign * F.col("z"))
+    z = z.withColumn("slice", F.size(F.filter("cuts", lambda c: sign * scored(c) < F.col("s")))).select("isin", *by, "n", "z", "s", "slice")
+    sizes = z.groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("k"))  # at most SLICES rows a component
+    below = sizes.withColumn("below", F.coalesce(F.sum("k").over(W.partitionBy(*by).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("k")
+    within = F.rank().over(W.partitionBy(*by, "slice").orderBy("s"))
+    return z.join(below, [*by, "slice"]).select("isin", *by, "z", (100 * (F.col("below") + within - 1) / (F.col("n") - 1)).alias("rank"))
 
 
 def factor_scores(closes: DataFrame, bench: DataFrame, more: dict[str, DataFrame] | None = None) -> DataFrame:
-    """isin, one composite for each factor and multi, their mean where two at least are there.
+    """isin, one composite for each factor (the mean of its ranks, three at least) and multi, their mean where two at least are there.
 
     more: further factors by name, such as value and quality, as wide tables of
-    components by isin.
+    components by isin.  The components of all factors are ranked together.
     """
     groups = {"momentum": momentum(closes), "lowvol": low_volatility(closes, bench), **(more or {})}
-    out = None
+    values = None
     for name, wide in groups.items():
-        part = composite(rank_components(long_form(wide))).withColumnRenamed("score", name)
-        out = part if out is None else out.join(part, "isin", "full")
+        part = long_form(wide).withColumn("factor", F.lit(name))
+        values = part if values is None else values.unionByName(part)
+    ranks = rank_components(values, ("factor", "component"))
+    own = lambda name: F.when(F.col("factor") == name, F.col("rank"))
+    out = ranks.groupBy("isin").agg(*[F.when(F.count(own(name)) >= 3, F.avg(own(name))).alias(name) for name in groups])
     there = F.filter(F.array(*[F.col(g) for g in groups]), lambda x: x.isNotNull())
-    return out.withColumn("multi", F.when(F.size(there) >= 2, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there)))
+    scored = out.where(F.size(there) > 0)
+    return scored.withColumn("multi", F.when(F.size(there) >= 2, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there)))
 
 
 def sector_relative(scores: DataFrame, sectors: DataFrame, factors: tuple[str, ...] = ("momentum", "lowvol")) -> DataFrame:

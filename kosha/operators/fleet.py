@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,24 +23,55 @@ def sliding_counts(events: DataFrame, seconds: int, limit: int) -> DataFrame:
     return e.withColumn("n", F.count(F.lit(1)).over(w)).select("event_id", "user_id", "n", (F.col("n") <= limit).alias("passes"))
 
 
+def _folded(events: DataFrame, key: str, order: list[str], value: str, schema: str, start, step, done) -> DataFrame:
+    """One row for each key from a fold over its values in order: rows pass one by one, whatever the length of a history."""
+    rows = events.select(F.col(key).cast("string").alias("k"), *order, F.col(value).alias("v")).repartition("k").sortWithinPartitions("k", *order)
+
+    def run(batches):
+        key_now, state, n = None, None, 0
+        for b in batches:
+            out = []
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if n and k != key_now:
+                    out.append((key_now, n, *done(state)))
+                    n = 0
+                if not n:
+                    key_now, state = k, start
+                state, n = step(state, v), n + 1
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=arrow)
+        if n:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (key_now, n, *done(state)), strict=True))], schema=arrow)
+
+    names = ["k", "n", schema.split()[0]]
+    arrow = pa.schema([("k", pa.string()), ("n", pa.int64()), (names[2], pa.float64() if "double" in schema else pa.string())])
+    found = rows.select("k", "v").mapInArrow(run, f"k string, n long, {schema}")
+    return found.withColumn(key, F.col("k").cast(events.schema[key].dataType)).drop("k")
+
+
 def q_values(events: DataFrame, key: str, order: list[str], reward: str) -> DataFrame:
     """Q <- round(0.8 Q + 0.2 R, 2), not below 0, folded over each key's events in order."""
-    xs = F.sort_array(F.collect_list(F.struct(*order, reward)))
-    fold = F.aggregate("xs", F.lit(0.0), lambda q, x: F.greatest(F.lit(0.0), F.round(0.8 * q + 0.2 * x[reward], 2)))
-    return events.groupBy(key).agg(xs.alias("xs")).select(key, F.size("xs").cast("long").alias("observations"), fold.alias("q"))
+
+    def step(q, r):
+        return max(0.0, round(0.8 * q + 0.2 * r, 2))
+
+    found = _folded(events, key, order, reward, "q double", 0.0, step, lambda q: (q,))
+    return found.select(key, F.col("n").alias("observations"), "q")
 
 
 def states(events: DataFrame, key: str, order: list[str], attempts: int = 3) -> DataFrame:
     """OPEN until a success closes it or `attempts` failures in a row park it as MANUAL; a fold over each key's events in order."""
-    xs = F.sort_array(F.collect_list(F.struct(*order, "ok")))
-    zero = F.struct(F.lit("OPEN").alias("state"), F.lit(0).alias("fails"))
 
-    def step(acc, x):
-        fails = F.when(x["ok"], 0).otherwise(acc["fails"] + 1)
-        state = F.when(acc["state"] != "OPEN", acc["state"]).when(x["ok"], "CLOSED").when(fails >= attempts, "MANUAL").otherwise("OPEN")
-        return F.struct(state.alias("state"), fails.alias("fails"))
+    def step(at, ok):
+        state, fails = at
+        if state != "OPEN":
+            return at
+        if ok:
+            return "CLOSED", 0
+        return ("MANUAL" if fails + 1 >= attempts else "OPEN"), fails + 1
 
-    return events.groupBy(key).agg(xs.alias("xs")).select(key, F.aggregate("xs", zero, step, lambda a: a["state"]).alias("state"), F.size("xs").cast("long").alias("n"))
+    found = _folded(events, key, order, "ok", "state string", ("OPEN", 0), step, lambda at: (at[0],))
+    return found.select(key, "state", "n")
 
 
 def decay(scores: DataFrame, as_of: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from kosha import conventions as C
 
+from .joins import held
+from .series import asof_fill
+
 # Transaction vocabulary.
 INFLOW = ("purchase", "sip", "investment", "additional purchase")
 OUTFLOW = ("redemption", "swp", "withdrawal")
@@ -159,3 +162,44 @@ def reweight(items: DataFrame, prices: DataFrame, by: str, key: str) -> DataFram
         by, key, "units", F.when(market, F.round(100 * c("current_value") / total, 4)).otherwise(c("weight")).alias("weight"), F.when(market, F.round("current_value", 2)).alias("current_value"),
         F.when(stuck, "cost").when(c("units").isNull(), "manual").otherwise("market").alias("pricing_basis"),
     )
+
+
+def movement(ends: DataFrame, tx: DataFrame, nav: DataFrame, by: str, key: str) -> DataFrame:
+    """One row for each portfolio: its period, opening and last value, flows, time-weighted and money-weighted return, and what the figures rest on.
+
+    ends: by, key, end_units (of the statement).  tx: by, key, d, units, amount
+    (both signed).  nav: key, d, nav.
+
+    Transactions of schemes without a NAV are left out, with their cash, and
+    counted.  Units that the transactions don't explain were held before: with
+    one unit or more of them a portfolio starts at its first NAV, if that is
+    earlier than its first transaction.  The period runs from the first day worth
+    1 to the last such day or transaction.  Rates for a year need 90 days.
+    """
+    c = F.col
+    valued, _ = valued_only(tx, nav, key)
+    known = nav.where("nav > 0").select(key).distinct()
+    left_out = tx.join(known, key, "left_anti").groupBy(by).agg(F.countDistinct(key).alias("unvalued_schemes"), F.count(F.lit(1)).alias("unvalued_tx"), F.sum("amount").alias("unvalued_flow"))
+    lines = valued.select(by, key).distinct()
+    opening = held(opening_units(ends.join(lines, [by, key], "left_semi"), valued, [by, key]).select(by, key, "opening"))
+    days = nav.groupBy(key).agg(F.min("d").alias("first_nav"))
+    first_nav = lines.join(days, key).groupBy(by).agg(F.min("first_nav").alias("first_nav"))
+    g = valued.groupBy(by).agg(
+        F.min("d").alias("first_tx"), F.sum("amount").alias("net_flow"), F.coalesce(F.sum(F.when(c("amount") > 0, c("amount"))), F.lit(0.0)).alias("cash_in"), F.coalesce(F.sum(F.when(c("amount") < 0, c("amount"))), F.lit(0.0)).alias("cash_out")
+    )
+    g = g.join(opening.groupBy(by).agg(F.sum("opening").alias("opening_units")), by, "left").join(first_nav, by, "left").withColumn("partial", F.coalesce(c("opening_units") >= 1, F.lit(False)))
+    g = held(g.withColumn("from_day", F.when(c("partial"), F.least("first_tx", "first_nav")).otherwise(c("first_tx"))))
+    before = opening.where("opening > 0").join(g.select(by, "from_day"), by)
+    moves = valued.select(by, key, "d", "units", "amount").unionByName(before.select(by, key, c("from_day").alias("d"), c("opening").alias("units"), F.lit(0.0).alias("amount")))
+    path = held(holding_period(held(value_path(moves, nav, by, key).where("value IS NOT NULL")), valued, by))
+    ends_of = path.groupBy(by).agg(F.min("d").alias("start"), F.max("d").alias("end"), F.max_by("value", "d").alias("terminal_value"))
+    at_start = before.select(by, key, "opening").join(ends_of.select(by, c("start").alias("d")), by)
+    priced = asof_fill(at_start.select(key, "d").distinct(), nav.select(key, "d", "nav"), key)
+    opened = at_start.join(priced, [key, "d"]).groupBy(by).agg(F.sum(c("opening") * c("nav")).alias("opening_value"))
+    out = g.join(ends_of, by).join(opened, by, "left").withColumn("opening_value", F.coalesce("opening_value", F.lit(0.0))).join(twr(path, by), by)
+    flows = out.select(by, c("start").alias("d"), (-c("opening_value")).alias("amount")).unionByName(valued.join(out.select(by), by, "left_semi").select(by, "d", (-c("amount")).alias("amount"))).unionByName(out.select(by, c("end").alias("d"), c("terminal_value").alias("amount")))
+    out = out.join(xirr(flows, by).withColumnRenamed("xirr", "rate"), by, "left").join(left_out, by, "left")
+    return out.select(
+        by, "start", "end", c("span").alias("days"), "partial", "opening_units", "opening_value", "terminal_value", "net_flow", "cash_in", "cash_out", "twr", "annualised", F.when(c("span") >= C.MIN_CAGR_WINDOW_DAYS, c("rate")).alias("xirr"),
+        "artifacts", "max_drawdown", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("unvalued_schemes", "unvalued_tx")], F.coalesce("unvalued_flow", F.lit(0.0)).alias("unvalued_flow"),
+    )

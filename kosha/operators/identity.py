@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import held
+
 # Words that do not tell issuers apart; dates, coupons with and without a percent sign.
 NOISE_WORDS = ("LTD", "LIMITED", "PVT", "PRIVATE", "THE", "AND", "OF", "IN", "LT")
 DATE = r"[()]?(\d{2})[./-](\d{2})[./-](\d{4})[()]?"
@@ -53,8 +52,7 @@ def identity_classes(rows: DataFrame, first: str, second: str, most_rounds: int
     takes the least class over each identity and over the class itself, so
     chains halve; rounds are checkpointed.
     """
-    _checkpoints(rows)
-    pairs = rows.select(first, second).where(F.col(first).isNotNull() & F.col(second).isNotNull()).distinct().withColumn("class", F.col(first)).checkpoint()
+    pairs = held(rows.select(first, second).where(F.col(first).isNotNull() & F.col(second).isNotNull()).distinct().withColumn("class", F.col(first)))
     before = None
     for _ in range(most_rounds):
         for side in (second, first):
@@ -62,7 +60,7 @@ def identity_classes(rows: DataFrame, first: str, second: str, most_rounds: int
             pairs = pairs.join(least, F.col(side) == F.col("k")).select(first, second, F.col("least").alias("class"))
         # A class's name is an identity too: what that has become is the class of all that bear the name.
         named = pairs.groupBy(F.col(first).alias("k")).agg(F.min("class").alias("least"))
-        pairs = pairs.join(named, F.col("class") == F.col("k")).select(first, second, F.col("least").alias("class")).checkpoint()
+        pairs = held(pairs.join(named, F.col("class") == F.col("k")).select(first, second, F.col("least").alias("class")))
         mark = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(first, second, "class"))).first()
         if mark == before:
             return pairs
@@ -70,16 +68,6 @@ def identity_classes(rows: DataFrame, first: str, second: str, most_rounds: int
     raise RuntimeError("identity classes did not settle")
 
 
-def _checkpoints(df: DataFrame) -> None:
-    """Checkpoints go to the shared folder in spark.checkpoint.dir; where it is unset, in local mode to one of our own, and a cluster is refused."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir is to name a folder that all executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
-
-
 def class_keys(rows: DataFrame, by: str) -> DataFrame:
     """rows with key: the class of the line's ISIN and instrument over all sets, else the instrument or ISIN alone, else the name.
 

@@ -33,12 +33,12 @@ def n22(spark, sf):
     return X.tiers(rows.withColumn("w", F.concat(F.col("w").cast("string"), F.lit(" %"))), "set_id", "kind", "w")
 
 
-_SUBJECT = """CASE k % 9 WHEN 0 THEN concat('Interim Dividend - Rs ', k % 40 + 1, ' Per Share') WHEN 1 THEN concat('Agm/Div-Rs.', k % 7 + 1, '..50/- Per Equity Share') WHEN 2 THEN concat('Dividend Rs 2 Per Share + Special Dividend Re ', k % 5 + 1, ' Pershare') WHEN 3 THEN concat('Dividend - Rs ', k % 30 + 4, ' Per Share (Including Special Dividend Rs 3 Per Share)')
+_SUBJECT = """CASE k % 11 WHEN 10 THEN concat('Stock Split Rs 10/- Rs 2/- Dividend Rs ', k % 5 + 1, ' Per Share') WHEN 9 THEN concat('Interim Div - Rs ', k % 6 + 1, '/- Per Share + Face Value Split (Sub-Division) - From Rs 10/- Per Share To Re 1/- Per Share') WHEN 0 THEN concat('Interim Dividend - Rs ', k % 40 + 1, ' Per Share') WHEN 1 THEN concat('Agm/Div-Rs.', k % 7 + 1, '..50/- Per Equity Share') WHEN 2 THEN concat('Dividend Rs 2 Per Share + Special Dividend Re ', k % 5 + 1, ' Pershare') WHEN 3 THEN concat('Dividend - Rs ', k % 30 + 4, ' Per Share (Including Special Dividend Rs 3 Per Share)')
  WHEN 4 THEN concat('Bonus ', k % 4 + 1, ':', k % 3 + 1) WHEN 5 THEN concat('Face Value Split (Sub-Division) - From Rs ', k % 5 + 5, '/- Per Share To Re 1/- Per Share') WHEN 6 THEN concat('Fv Splt Frm Rs 10 To Rs 2 and Bonus 1:', k % 2 + 1) WHEN 7 THEN 'Bonus 1:1 Preference shares' ELSE 'Annual General Meeting' END"""
 
 
-@register("n24_subject_events", """SELECT s_suppkey AS k, CASE s_suppkey % 9 WHEN 0 THEN s_suppkey % 40 + 1.0 WHEN 1 THEN s_suppkey % 7 + 1.5 WHEN 2 THEN s_suppkey % 5 + 3.0 WHEN 3 THEN s_suppkey % 30 + 4.0 END AS dividend,
-CASE s_suppkey % 9 WHEN 4 THEN (s_suppkey % 4 + s_suppkey % 3 + 2.0) / (s_suppkey % 3 + 1) WHEN 5 THEN s_suppkey % 5 + 5.0 WHEN 6 THEN 5.0 * (2 + s_suppkey % 2) / (s_suppkey % 2 + 1) END AS split FROM supplier""")
+@register("n24_subject_events", """SELECT s_suppkey AS k, CASE s_suppkey % 11 WHEN 9 THEN s_suppkey % 6 + 1.0 WHEN 0 THEN s_suppkey % 40 + 1.0 WHEN 1 THEN s_suppkey % 7 + 1.5 WHEN 2 THEN s_suppkey % 5 + 3.0 WHEN 3 THEN s_suppkey % 30 + 4.0 END AS dividend,
+CASE s_suppkey % 11 WHEN 9 THEN 10.0 WHEN 10 THEN 5.0 WHEN 4 THEN (s_suppkey % 4 + s_suppkey % 3 + 2.0) / (s_suppkey % 3 + 1) WHEN 5 THEN s_suppkey % 5 + 5.0 WHEN 6 THEN 5.0 * (2 + s_suppkey % 2) / (s_suppkey % 2 + 1) END AS split FROM supplier""")
 def n24(spark, sf):
     k = D.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
     return k.withColumn("s", F.expr(_SUBJECT)).select("k", *[v.alias(n) for n, v in X.subject_events(F.col("s")).items()])
@@ -57,10 +57,10 @@ def n35(spark, sf):
     return d.select("d", X.quarter_start(F.col("d")).alias("start"))
 
 
-_TAIL = "CASE k % 7 WHEN 0 THEN ' - Direct Plan - Growth' WHEN 1 THEN ' - Regular - IDCW' WHEN 2 THEN ' Direct Growth Option' WHEN 3 THEN ' - Growth (Monthly Payout)' WHEN 4 THEN ' - Income Distribution cum Capital Withdrawal' ELSE '' END"
+_TAIL = "CASE k % 9 WHEN 7 THEN ' Beta-Direct' WHEN 8 THEN ' Multi-Income' WHEN 0 THEN ' - Direct Plan - Growth' WHEN 1 THEN ' - Regular - IDCW' WHEN 2 THEN ' Direct Growth Option' WHEN 3 THEN ' - Growth (Monthly Payout)' WHEN 4 THEN ' - Income Distribution cum Capital Withdrawal' ELSE '' END"
 
 
-@register("n03_n04_names", """SELECT s_suppkey AS k, 'Alpha Fund ' || s_suppkey || CASE s_suppkey % 7 WHEN 4 THEN ' - Income Distribution cum' ELSE '' END AS navall, ['adityabirlasunlife', 'iciciprudential', 'iciciprudential', 'kotak', 'nippon', 'plainvalue'][CAST(s_suppkey % 6 + 1 AS INTEGER)] || 'fund' || s_suppkey AS canon FROM supplier""")
+@register("n03_n04_names", """SELECT s_suppkey AS k, 'Alpha Fund ' || s_suppkey || CASE s_suppkey % 9 WHEN 4 THEN ' - Income Distribution cum' WHEN 7 THEN ' Beta-Direct' WHEN 8 THEN ' Multi-Income' ELSE '' END AS navall, ['adityabirlasunlife', 'iciciprudential', 'iciciprudential', 'kotak', 'nippon', 'plainvalue'][CAST(s_suppkey % 6 + 1 AS INTEGER)] || 'fund' || s_suppkey || 'directplan' AS canon FROM supplier""")
 def n03(spark, sf):
     k = D.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
     brands = F.array(*map(F.lit, ("Aditya Birla SL", "ICICI Pru", "ICICI Prudential", "Kotak Mahindra", "Nippon India", "Plain Value")))

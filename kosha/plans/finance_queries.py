@@ -223,3 +223,40 @@ def a19(spark, sf):
     items = items.select("portfolio_id", "scheme_id", F.when((c("portfolio_id") + c("scheme_id")) % 5 != 0, c("u")).alias("units"), (c("scheme_id") + 10).cast("double").alias("weight"))
     prices = L.latest_nav(D.nav(spark, sf).where("scheme_id <> 6").withColumn("source", F.lit(1)), "scheme_id")
     return L.reweight(items, prices, "portfolio_id", "scheme_id").withColumn("units", F.round("units", 4))
+
+
+# Of three portfolios one has a statement from the beginning; schemes 5 and 6 have no NAV.
+_MOVEMENT = f"""{sql.NAV}, {_STX}, vn AS (SELECT * FROM nav WHERE scheme_id NOT IN (5, 6)), va AS (SELECT * FROM stx WHERE scheme_id IN (SELECT scheme_id FROM vn)),
+op AS (SELECT portfolio_id, scheme_id, greatest(0, CASE WHEN portfolio_id % 3 = 0 THEN sum(units) ELSE count(*) * 1000.0 END - sum(units)) AS opening FROM va GROUP BY ALL),
+g0 AS (SELECT portfolio_id, min(d) AS first_tx, sum(amount) AS net_flow, coalesce(sum(amount) FILTER (amount > 0), 0) AS cash_in, coalesce(sum(amount) FILTER (amount < 0), 0) AS cash_out FROM va GROUP BY 1), g1 AS (SELECT portfolio_id, sum(opening) AS opening_units FROM op GROUP BY 1),
+g2 AS (SELECT portfolio_id, min(vn.d) AS first_nav FROM (SELECT DISTINCT portfolio_id, scheme_id FROM va) JOIN vn USING (scheme_id) GROUP BY 1), g AS (SELECT *, opening_units >= 1 AS partial, CASE WHEN opening_units >= 1 THEN least(first_tx, first_nav) ELSE first_tx END AS from_day FROM g0 JOIN g1 USING (portfolio_id) JOIN g2 USING (portfolio_id)),
+tx2 AS (SELECT portfolio_id, scheme_id, d, units, amount FROM va UNION ALL SELECT portfolio_id, scheme_id, from_day, opening, 0 FROM op JOIN g USING (portfolio_id) WHERE opening > 0)"""
+
+
+@register("f11_portfolio_movement", f"""WITH RECURSIVE {_MOVEMENT}, ln AS (SELECT DISTINCT portfolio_id, scheme_id FROM tx2), fi AS (SELECT portfolio_id, min(d) AS f FROM tx2 GROUP BY 1),
+dy AS (SELECT DISTINCT portfolio_id, d FROM (SELECT portfolio_id, vn.d FROM ln JOIN vn USING (scheme_id) UNION ALL SELECT portfolio_id, d FROM tx2) JOIN fi USING (portfolio_id) WHERE d >= f),
+gr AS (SELECT ln.portfolio_id, ln.scheme_id, d FROM ln JOIN dy USING (portfolio_id)), mo AS (SELECT portfolio_id, scheme_id, d, sum(units) AS u, sum(amount) AS fl FROM tx2 GROUP BY ALL),
+hv AS (SELECT gr.*, coalesce(sum(u) OVER (PARTITION BY portfolio_id, scheme_id ORDER BY d), 0) AS held, coalesce(fl, 0) AS fl FROM gr LEFT JOIN mo USING (portfolio_id, scheme_id, d)),
+pv AS (SELECT hv.*, vn.nav FROM hv ASOF LEFT JOIN vn ON vn.scheme_id = hv.scheme_id AND vn.d <= hv.d), whole AS (SELECT portfolio_id, d, sum(held * nav) AS value, sum(fl) AS flow FROM pv GROUP BY ALL HAVING sum(held * nav) IS NOT NULL),
+bd AS (SELECT portfolio_id, min(whole.d) AS low, greatest(max(whole.d), max(moved)) AS high FROM whole JOIN (SELECT portfolio_id, max(d) AS moved FROM va GROUP BY 1) mv USING (portfolio_id) WHERE abs(value) >= 1 GROUP BY portfolio_id),
+path AS (SELECT whole.* FROM whole JOIN bd USING (portfolio_id) WHERE d BETWEEN low AND high QUALIFY count(*) OVER (PARTITION BY portfolio_id) > 1),
+rr AS (SELECT *, lag(value) OVER (PARTITION BY portfolio_id ORDER BY d) AS p FROM path), r2 AS (SELECT *, (value - flow - p) / p AS r FROM rr WHERE p > 0), r3 AS (SELECT *, abs(r) > 0.2 AS art FROM r2 WHERE NOT (abs(r) < 1e-6 AND flow = 0)),
+ch AS (SELECT *, exp(sum(CASE WHEN art THEN 0 ELSE ln(1 + CASE WHEN art THEN 0 ELSE r END) END) OVER (PARTITION BY portfolio_id ORDER BY d)) AS x FROM r3), dd AS (SELECT *, x / greatest(1, max(x) OVER (PARTITION BY portfolio_id ORDER BY d)) - 1 AS dd FROM ch),
+tw AS (SELECT portfolio_id, arg_max(x, d) AS x, count_if(art) AS artifacts, min(dd) AS dd FROM dd GROUP BY 1), sp AS (SELECT portfolio_id, min(d) AS start, max(d) AS "end", arg_max(value, d) AS terminal_value, date_diff('day', min(d), max(d)) AS days FROM path GROUP BY 1),
+ov AS (SELECT portfolio_id, sum(opening * nav) AS opening_value FROM (SELECT op.portfolio_id, op.opening, op.scheme_id, start FROM op JOIN sp USING (portfolio_id) WHERE opening > 0) q ASOF JOIN vn ON vn.scheme_id = q.scheme_id AND vn.d <= q.start GROUP BY 1),
+cf AS (SELECT portfolio_id, start AS d, -coalesce(opening_value, 0) AS amount FROM sp LEFT JOIN ov USING (portfolio_id) UNION ALL SELECT portfolio_id, d, -amount FROM va WHERE portfolio_id IN (SELECT portfolio_id FROM sp) UNION ALL SELECT portfolio_id, "end", terminal_value FROM sp),
+z AS (SELECT portfolio_id, date_diff('day', min(d) OVER (PARTITION BY portfolio_id), d) / 365.25 AS t, amount AS a FROM cf), e AS (SELECT portfolio_id, sum(a / power(0.01, t)) AS lo, sum(a / power(11, t)) AS hi FROM z GROUP BY 1),
+b(portfolio_id, i, lo, hi, s) AS (SELECT portfolio_id, 0, -0.99::DOUBLE, 10::DOUBLE, sign(lo) FROM e WHERE lo * hi < 0 UNION ALL
+SELECT portfolio_id, i + 1, CASE WHEN sg = s THEN (lo + hi) / 2 ELSE lo END, CASE WHEN sg = s THEN hi ELSE (lo + hi) / 2 END, s FROM (SELECT b.portfolio_id, i, lo, hi, s, sign(sum(a / power(1 + (lo + hi) / 2, t))) AS sg FROM b JOIN z USING (portfolio_id) WHERE i < 60 GROUP BY ALL)),
+un AS (SELECT portfolio_id, count(DISTINCT scheme_id) AS unvalued_schemes, count(*) AS unvalued_tx, sum(amount) AS unvalued_flow FROM stx WHERE scheme_id NOT IN (SELECT scheme_id FROM vn) GROUP BY 1)
+SELECT g.portfolio_id, start, "end", CAST(days AS INTEGER) AS days, partial, round(opening_units, 2) AS opening_units, round(coalesce(opening_value, 0), 2) + 0.0 AS opening_value, round(terminal_value, 2) AS terminal_value, round(net_flow, 2) AS net_flow, round(cash_in, 2) AS cash_in, round(cash_out, 2) AS cash_out, round(x - 1, 4) + 0.0 AS twr,
+  CASE WHEN days >= 90 THEN round(power(x, 365.25 / days) - 1, 4) + 0.0 END AS annualised, CASE WHEN days >= 90 THEN round((b.lo + b.hi) / 2, 4) + 0.0 END AS xirr, artifacts, CASE WHEN artifacts = 0 THEN round(dd, 4) + 0.0 END AS max_drawdown, coalesce(unvalued_schemes, 0) AS unvalued_schemes, coalesce(unvalued_tx, 0) AS unvalued_tx, round(coalesce(unvalued_flow, 0), 2) AS unvalued_flow
+FROM g JOIN sp USING (portfolio_id) JOIN tw USING (portfolio_id) LEFT JOIN ov USING (portfolio_id) LEFT JOIN b ON b.portfolio_id = g.portfolio_id AND i = 60 LEFT JOIN un ON un.portfolio_id = g.portfolio_id""")
+def f11(spark, sf):
+    t = _scheme_tx(spark, sf)
+    whole = F.col("portfolio_id") % 3 == 0
+    ends = t.groupBy("portfolio_id", "scheme_id").agg(F.sum("units").alias("u"), F.count(F.lit(1)).alias("n")).select("portfolio_id", "scheme_id", F.when(whole, F.col("u")).otherwise(F.col("n") * 1000.0).alias("end_units"))
+    m = L.movement(ends, t, _some_nav(spark, sf), "portfolio_id", "scheme_id")
+    r = lambda c, n: (F.round(c, n) + 0.0).alias(c)
+    money, rates = ("opening_units", "opening_value", "terminal_value", "net_flow", "cash_in", "cash_out", "unvalued_flow"), ("twr", "annualised", "xirr", "max_drawdown")
+    return m.select("portfolio_id", "start", "end", "days", "partial", *[r(x, 2) for x in money], *[r(x, 4) for x in rates], "artifacts", "unvalued_schemes", "unvalued_tx")

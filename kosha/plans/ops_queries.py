@@ -27,13 +27,12 @@ def n01(spark, sf):
     return _sup(spark, sf).select("s_suppkey", X.norm_name(F.col("s_name")).alias("k"))
 
 
-_PLANNED = "CASE s_suppkey % 4 WHEN 0 THEN s_name || ' - Direct Plan - Growth' WHEN 1 THEN s_name || ' (Regular) Growth Option' WHEN 2 THEN 'Growth ' || s_name ELSE s_name || ' IDCW Payout' END"
+_PLANNED = "CASE s_suppkey % 8 WHEN 0 THEN s_name || ' - Direct (G)' WHEN 1 THEN s_name || ' (Regular) - Growth' WHEN 2 THEN 'Growth ' || s_name WHEN 3 THEN s_name || '-IDCWM [An open ended scheme.]' WHEN 4 THEN s_name || ':Growth Plan' WHEN 5 THEN s_name || ' Direct Growth' WHEN 6 THEN s_name || ' (Series 3)' ELSE s_name || ' – Reg (Monthly IDCW)' END"
 
 
-@register("n02_n03_strip_plan", f"SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 2 THEN 'Growth ' || s_name ELSE s_name END AS fund FROM supplier")
+@register("n02_n03_strip_plan", "SELECT s_suppkey, CASE s_suppkey % 8 WHEN 2 THEN 'Growth ' || s_name WHEN 4 THEN s_name || ':Growth Plan' WHEN 5 THEN s_name || ' Direct Growth' WHEN 6 THEN s_name || ' (Series 3)' ELSE s_name END AS fund FROM supplier")
 def n02(spark, sf):
-    planned = F.expr(_PLANNED)
-    return _sup(spark, sf).select("s_suppkey", X.strip_plan(planned).alias("fund"))
+    return _sup(spark, sf).select("s_suppkey", X.strip_plan(F.expr(_PLANNED)).alias("fund"))
 
 
 _NUM = "CASE s_suppkey % 6 WHEN 0 THEN '(1,234.5)' WHEN 1 THEN '₹ 2,000' WHEN 2 THEN 'n/a' WHEN 3 THEN '-' WHEN 4 THEN s_suppkey || '.25%' ELSE '' END"
