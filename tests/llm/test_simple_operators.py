@@ -231,7 +231,7 @@ def numpy_mcd(x, tries=400):
     return mean, low, distances(mean, low)
 
 
-@pytest.mark.parametrize("share", [0.1, 0.3, 0.4, 0.45])
+@pytest.mark.parametrize("share", [0.3, 0.45])
 def test_mcd_by_brute_force(spark, share):
     import numpy as np
 
@@ -257,7 +257,7 @@ def test_mcd_by_brute_force(spark, share):
             assert np.allclose(np.diag(found), np.diag(low), rtol=0.25), g
 
 
-@pytest.mark.parametrize("share", [0.1, 0.2, 0.3, 0.4])
+@pytest.mark.parametrize("share", [0.2, 0.4])
 def test_many_outliers_of_a_group_are_rejected(spark, share):
     """Texts of 80 to 160 words; outliers have a mark behind 60 % of their words."""
     import random
