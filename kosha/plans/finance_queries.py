@@ -227,7 +227,7 @@ def a19(spark, sf):
 
 # Of three portfolios one has a statement from the beginning; schemes 5 and 6 have no NAV.
 _MOVEMENT = f"""{sql.NAV}, {_STX}, vn AS (SELECT * FROM nav WHERE scheme_id NOT IN (5, 6)), va AS (SELECT * FROM stx WHERE scheme_id IN (SELECT scheme_id FROM vn)),
-op AS (SELECT portfolio_id, scheme_id, greatest(0, CASE WHEN portfolio_id % 3 = 0 THEN sum(units) ELSE count(*) * 1000.0 END - sum(units)) AS opening FROM va GROUP BY ALL),
+op AS (SELECT portfolio_id, scheme_id, greatest(0, CASE WHEN portfolio_id % 3 = 0 THEN sum(units) ELSE count(*) * 1000.0 END - sum(units)) AS opening FROM va GROUP BY portfolio_id, scheme_id),
 g0 AS (SELECT portfolio_id, min(d) AS first_tx, sum(amount) AS net_flow, coalesce(sum(amount) FILTER (amount > 0), 0) AS cash_in, coalesce(sum(amount) FILTER (amount < 0), 0) AS cash_out FROM va GROUP BY 1), g1 AS (SELECT portfolio_id, sum(opening) AS opening_units FROM op GROUP BY 1),
 g2 AS (SELECT portfolio_id, min(vn.d) AS first_nav FROM (SELECT DISTINCT portfolio_id, scheme_id FROM va) JOIN vn USING (scheme_id) GROUP BY 1), g AS (SELECT *, opening_units >= 1 AS partial, CASE WHEN opening_units >= 1 THEN least(first_tx, first_nav) ELSE first_tx END AS from_day FROM g0 JOIN g1 USING (portfolio_id) JOIN g2 USING (portfolio_id)),
 tx2 AS (SELECT portfolio_id, scheme_id, d, units, amount FROM va UNION ALL SELECT portfolio_id, scheme_id, from_day, opening, 0 FROM op JOIN g USING (portfolio_id) WHERE opening > 0)"""

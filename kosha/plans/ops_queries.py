@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kosha.functions import text as X
+from kosha.operators import calendar as N
 from kosha.operators import fleet as E
 from kosha.operators import merge as M
 from kosha.operators import portfolio as P
@@ -233,11 +234,28 @@ def s27(spark, sf):
     return D.read(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@register("n29_publication_calendar", "WITH d AS (SELECT CAST(x AS DATE) AS d FROM generate_series(TIMESTAMP '2001-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY) s(x)) SELECT d, row_number() OVER (ORDER BY d) AS n FROM d WHERE isodow(d) < 6 AND d NOT IN (DATE '2001-01-26', DATE '2001-08-15', DATE '2001-10-02', DATE '2001-12-25')")
+_HOLIDAYS = ["1996-08-15", "1997-10-02", "1998-01-26", "1998-12-25", "2001-10-02"]
+_OPEN = "isodow({0}) < 6 AND {0} NOT IN (" + ", ".join(f"DATE '{h}'" for h in _HOLIDAYS) + ")"
+
+
+@register("n29_publication_calendar", f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), c AS (SELECT d, unnest(generate_series(1, 30)) AS k FROM d), b AS (SELECT d, max(CAST(d - CAST(k AS INTEGER) AS DATE)) AS prev FROM c WHERE {_OPEN.format('CAST(d - CAST(k AS INTEGER) AS DATE)')} GROUP BY d)
+SELECT d, {_OPEN.format('d')} AS published, prev FROM d JOIN b USING (d)""")
 def n29(spark, sf):
-    from kosha.operators.calendar import publish_days
+    d = D.read(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
+    return d.select("d", N.is_publish_day(F.col("d"), _HOLIDAYS).alias("published"), N.prev_publish_day(F.col("d"), _HOLIDAYS).alias("prev"))
 
-    return publish_days(spark, "2001-01-01", "2001-12-31", ["2001-01-26", "2001-08-15", "2001-10-02", "2001-12-25"])
+
+@register("n30_nav_freshness", f"""WITH n AS (SELECT l_suppkey AS scheme_id, max(CAST(l_shipdate AS DATE)) - CAST(l_suppkey * l_suppkey % 90 AS INTEGER) AS last FROM lineitem GROUP BY l_suppkey), e AS (SELECT scheme_id, CASE WHEN scheme_id % 7 > 0 THEN CAST(last AS DATE) END AS last, CASE WHEN scheme_id % 2 = 0 THEN TIMESTAMP '2001-11-06 23:30:00' ELSE TIMESTAMP '2001-11-05 22:00:00' END AS now FROM n),
+x AS (SELECT scheme_id, last, CASE WHEN hour(now) >= 23 THEN DATE '2001-11-06' ELSE DATE '2001-11-02' END AS expected FROM e), g AS (SELECT scheme_id, any_value(last) AS last, any_value(expected) AS expected, count_if(coalesce({_OPEN.format('day')}, false)) AS gap FROM (SELECT *, CAST(unnest(CASE WHEN expected > last THEN generate_series(last + 1, expected, INTERVAL 1 DAY) ELSE [NULL] END) AS DATE) AS day FROM x) GROUP BY scheme_id)
+SELECT scheme_id, expected, CASE WHEN last IS NOT NULL THEN CAST(gap AS INTEGER) END AS gap, CASE WHEN last IS NULL THEN 'no_history' WHEN gap = 0 THEN 'current' WHEN gap = 1 THEN 'lag1' WHEN gap <= 6 THEN 'stale_recent' WHEN gap < 45 THEN 'stale_deep' ELSE 'dead_suspect' END AS bucket FROM g""")
+def n30(spark, sf):
+    c = F.col
+    last = F.date_sub(F.max(c("l_shipdate").cast("date")), F.expr("cast(l_suppkey * l_suppkey % 90 as int)"))
+    n = D.read(spark, sf, "lineitem").groupBy(c("l_suppkey")).agg(last.alias("d")).withColumnRenamed("l_suppkey", "scheme_id")
+    now = F.when(c("scheme_id") % 2 == 0, F.lit("2001-11-06 23:30:00")).otherwise(F.lit("2001-11-05 22:00:00")).cast("timestamp_ntz")
+    n = n.select("scheme_id", F.when(c("scheme_id") % 7 > 0, c("d")).alias("last"), N.expected_latest(now, _HOLIDAYS).alias("expected"))
+    n = n.withColumn("gap", N.publish_days_between(c("last"), c("expected"), _HOLIDAYS))
+    return n.select("scheme_id", "expected", "gap", N.freshness(c("gap")).alias("bucket"))
 
 
 _LEDGER = "lg AS (SELECT user_id, event_type AS strategy, count(*) AS observations, round(avg(value), 4) AS q FROM events GROUP BY ALL), pb AS (SELECT user_id, min(event_type) AS best_strategy, CASE WHEN user_id % 7 = 0 THEN 'manual' WHEN user_id % 7 = 1 THEN NULL ELSE max(event_type) END AS candidate FROM events GROUP BY user_id)"

@@ -126,7 +126,7 @@ TWO = {
     "A": [
         ["Portfolio as on 31-Jan-2026"], [], ["", "Name of the\nInstrument", "ISIN", "Rating / Industry^", "Quantity", "Market/Fair Value", "% to NAV"],
         [None, "EQUITY & EQUITY RELATED", None], [None, "(a) Listed / awaiting listing", ""], ["1", "Alpha Ltd", "INE001A01036", "Banks", "1,000", "12.5", "1.2"], ["2", "Beta Ltd", "", "IT", "5", "", ""],
-        ["", "Sub Total", "", "", "", "12.5", "1.2"], ["", "", "", "", "", "", ""], ["", "Reverse Repo / TREPS", "", "", "", "", ""], ["", "Treps", "", "", "", "(3.5)", "0.1"], ["", "Net something", "", "", "", "7", "0.2"], ["", "A name alone"], ["", "GRAND TOTAL", "", "", "", "1,000.5", "100"],
+        ["", "Total", "", "", "", "12.5", "1.2"], ["", "", "", "", "", "", ""], ["", "Reverse Repo / TREPS", "", "", "", "", ""], ["", "Treps", "", "", "", "(3.5)", "0.1"], ["", "Net something", "", "", "", "7", "0.2"], ["", "A name alone"], ["", "GRAND TOTAL", "", "", "", "1,000.5", "100"],
     ],
     "B": [["ISIN Code", "Issuer", "Coupon (%)", "Qty", "Yield to Maturity", "Market value (Rs in Lakh)"], ["DEBT INSTRUMENTS", "", "", "", "", ""], ["INE002A07AB9", "Gamma NCD", "7.5", "10", "8.1", "100"], ["Total", "", "", "", "", "100"]],
     "C": [["nothing", "here"], ["x", "y"]],
