@@ -26,4 +26,4 @@ def load() -> None:
         importlib.import_module(f"kosha.plans.{name}")
 
 
-MODULES = ("series_queries", "technical_queries", "factor_queries", "catalog_queries", "finance_queries", "ops_queries", "portfolio_queries", "fundamental_queries", "document_queries", "matching_queries", "nested_queries", "audit_queries", "sheet_queries", "statement_queries", "holding_queries")
+MODULES = ("series_queries", "technical_queries", "factor_queries", "catalog_queries", "finance_queries", "ops_queries", "portfolio_queries", "fundamental_queries", "document_queries", "matching_queries", "nested_queries", "audit_queries", "sheet_queries", "statement_queries", "holding_queries", "screen_queries")
