@@ -2,14 +2,15 @@
 
 Texts that are equal share one node.  The n-grams of a set are globally ordered:
 those that are frequent in the corpus come last, the most frequent at the end; all
-others come first, by hash.  Two sets of sufficient similarity share several
-n-grams among their first ones in that order (their prefixes), so only prefixes
-are indexed, once, by a shuffle on the n-gram.
+others come first, those of the rarest words at the head, so that unrelated texts
+share few of them in a large corpus too.  Two sets of sufficient similarity share
+several n-grams among their first ones in that order (their prefixes), so only
+prefixes are indexed, once, by a shuffle on the n-gram.
 
 Under an n-gram that few sets index, each set meets the others; a pair that meets
 under fewer n-grams than the prefixes guarantee is dropped.  Under other n-grams,
-sets in order of size meet the one before where the lengths that remain behind
-their places allow a link.  Sets that meet, also through others, form a
+sets that meet others under as many n-grams as a link takes, in order of size, meet
+the one before where the lengths that remain behind their places allow a link.  Sets that meet, also through others, form a
 neighbourhood.  Its sets are brought together once and stored in a prefix tree,
 which is traversed once for all of them: at each node, every set that is still in
 the running has the overlap with the path from the root, which all sets below
@@ -25,6 +26,7 @@ looked at again: sets outside the largest class against all that they meet there
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,13 @@ from pyspark.sql import types as T
 
 from .components import components
 from .shared import broadcast_if_small, keep
-from .shingles import shingle_set
+from .shingles import shingle_set, shingles, word_hashes
 
 FREQUENT = 1 << 18  # most n-grams that the order puts last; which they are has no bearing on the result
 CHUNK_GRAMS = 2_000_000  # n-grams that are counted together in a task
 LEAST_COUNT = 2  # count in a chunk from which an n-gram takes part in the order by frequency
+CELL_BITS = 20  # words are counted in so many cells (a power of two), by hash
+LEAST_WORDS = 4  # count of a cell in a chunk from which it takes part; words of other cells are the rarest
 MARGIN = 32  # the prefix of a set of n is longer by n div MARGIN than the shortest one that shows a link
 FEW = 16  # sets under an n-gram that all meet each other
 UNIT_GRAMS = 500_000  # n-grams of a neighbourhood that one task takes, 8 bytes each
@@ -50,51 +54,110 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
 
 
-def _sets(batches, width: int):
-    """(node, set) of every text of a task that has words; of equal texts, once."""
+def _words(batches):
+    """(node, hashes of its words) of every text of a task that has words; of equal texts, once."""
     seen = set()
     for b in batches:
         for node, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             if node not in seen:
                 seen.add(node)
-                s = shingle_set(np.frombuffer(t.as_buffer(), dtype=np.uint8), width)
-                if len(s):
-                    yield node, s
+                words = word_hashes(np.frombuffer(t.as_buffer(), dtype=np.uint8))
+                if len(words):
+                    yield node, words
+
+
+def _sets(batches, width: int):
+    """(node, set) of every text of a task that has words; of equal texts, once."""
+    for node, words in _words(batches):
+        yield node, np.unique(shingles(words, width))
+
+
+def _cells(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def frequent_grams(docs: DataFrame, text_col: str, width: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that the global order puts last, sorted by hash, and their places among each other.
+def _quarters(counts: np.ndarray) -> np.ndarray:
+    """Four times the binary logarithm, rounded down; 0 for counts under 1."""
+    return np.minimum(4 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
+
+
+def _weighed(words: np.ndarray, width: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text given by its word hashes, sorted, and the sums of their words' weights."""
+    s = shingles(words, width)
+    each, weight = weights[_cells(words)], np.zeros(len(s), np.uint16)
+    for j in range(len(words) - len(s) + 1):
+        weight += each[j : j + len(s)]
+    by = np.argsort(s)
+    s = s[by]
+    new = np.concatenate(([True], s[1:] != s[:-1]))
+    return s[new], weight[by[new]]
+
+
+class Order(NamedTuple):
+    """The global order of n-grams.
+
+    grams: those that come last, sorted by hash; places: theirs among each other.
+    The others are in order of the sum of their words' weights, then of hash;
+    weights has one for each cell, in quarters of the count's binary logarithm.
+    """
+
+    grams: np.ndarray
+    places: np.ndarray
+    weights: np.ndarray
+
+    def ordered(self, words: np.ndarray, width: int) -> np.ndarray:
+        """The distinct n-grams of a text given by its word hashes, in this order."""
+        s, weight = _weighed(words, width, self.weights)
+        s = s[np.argsort(weight, kind="stable")]
+        if len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, s), len(self.grams) - 1)
+            often = self.grams[at] == s
+            if often.any():
+                s = np.concatenate((s[~often], s[often][np.argsort(self.places[at[often]])]))
+        return s
+
+
+def frequent_grams(docs: DataFrame, text_col: str, width: int, most: int = FREQUENT) -> Order:
+    """The global order: which n-grams come last, and how frequent words are.
 
     All texts are counted, chunk by chunk; counts of LEAST_COUNT and more in a
     chunk are summed, and the `most` n-grams with the largest sums are taken.
+    Words are counted likewise, by cell.
     """
 
+    def rows(keys, counts, least, word):
+        often = counts >= least
+        return pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often]), pa.array(np.full(often.sum(), word))], names=["key", "c", "word"])
+
     def counted(held):
-        grams, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= LEAST_COUNT
-        return pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often])], names=["gram", "c"])
+        words = np.concatenate(held)
+        cells = np.bincount(_cells(words), minlength=1 << CELL_BITS)
+        grams, counts = np.unique(np.concatenate([np.unique(shingles(w, width)) for w in held]), return_counts=True)
+        yield rows(grams, counts, LEAST_COUNT, False)
+        yield rows(np.arange(1 << CELL_BITS), cells, LEAST_WORDS, True)
 
     def run(batches):
         held, n = [], 0
-        for _, s in _sets(batches, width):
-            held.append(s)
-            n += len(s)
+        for _, words in _words(batches):
+            held.append(words)
+            n += len(words)
             if n >= CHUNK_GRAMS:
-                yield counted(held)
+                yield from counted(held)
                 held, n = [], 0
         if held:
-            yield counted(held)
+            yield from counted(held)
 
-    sums = _texts(docs, text_col).mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-    got = sums.orderBy(F.desc("c"), "gram").limit(most).toArrow()
-    grams = got.column("gram").to_numpy().view(np.uint64)
+    sums = keep(_texts(docs, text_col).mapInArrow(run, "key long, c long, word boolean").groupBy("word", "key").agg(F.sum("c").alias("c")), "counts")
+    got = sums.where("NOT word").orderBy(F.desc("c"), "key").limit(most).select("key").toArrow()
+    grams = got.column("key").to_numpy().view(np.uint64)
     by_hash = np.argsort(grams)
-    return grams[by_hash], (len(grams) - by_hash).astype(np.int64)
+    cells, weights = sums.where("word").select("key", "c").toArrow(), np.zeros(1 << CELL_BITS, np.uint8)
+    weights[cells.column("key").to_numpy()] = _quarters(cells.column("c").to_numpy())
+    return Order(grams[by_hash], (len(grams) - by_hash).astype(np.int64), weights)
 
 
-def prefix_entries(docs: DataFrame, text_col: str, width: int, percent: int, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefix_entries(docs: DataFrame, text_col: str, width: int, percent: int, order: Order) -> DataFrame:
     """(token, node, n, place): the prefix of every set in the global order; place counts from 0, n is the size of the set."""
-    frequent, order = last
 
     def batch(nodes, ns, tokens):
         sizes = [len(x) for x in tokens]
@@ -103,13 +166,9 @@ def prefix_entries(docs: DataFrame, text_col: str, width: int, percent: int, las
 
     def run(batches):
         nodes, ns, tokens, held = [], [], [], 0
-        for node, s in _sets(batches, width):
+        for node, words in _words(batches):
+            s = order.ordered(words, width)
             n = len(s)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                often = frequent[at] == s
-                if often.any():
-                    s = np.concatenate((s[~often], s[often][np.argsort(order[at[often]])]))
             nodes.append(node)
             ns.append(n)
             tokens.append(s[: n - (n * percent + 99) // 100 + 1 + n // MARGIN])
@@ -124,31 +183,40 @@ def prefix_entries(docs: DataFrame, text_col: str, width: int, percent: int, las
 
 
 def meetings(entries: DataFrame, percent: int, few: int = FEW) -> DataFrame:
-    """Entries under n-grams that several nodes index: token, node, n, many (over `few` nodes), before and chained.
+    """Entries under n-grams that several nodes index: token, node, n, place, many (over `few` nodes) and before.
 
     before: in order of size, the nodes in front under an n-gram of few nodes
-    whose size allows a link, as (node, n).  chained: under one of many nodes, the
-    node in front, if the places within the shortest prefixes allow links across.
+    whose size allows a link, as (node, n).
     """
     rows = entries.repartition("token").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("place").alias("place"))
-    rows = rows.withColumn("strict", F.expr(f"place <= n - (n * {percent}L + 99) div 100"))
-    # An n-gram at this place, if it is the first of an overlap, leaves room for links with sizes up to this.
-    rows = rows.withColumn("reach", F.expr(f"(n - place) * {100 + percent}L div {percent} - n"))
     order = W.partitionBy("token").orderBy("n", "node")
-    front = order.rowsBetween(W.unboundedPreceding, -1)
     k = F.count(F.lit(1)).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    rows = rows.select(
-        "token", "node", "n", "strict", k.alias("k"),
-        F.collect_list(F.struct("node", "n")).over(order.rowsBetween(1 - few, -1)).alias("before"),
-        F.max(F.when(F.col("strict"), F.col("reach"))).over(front).alias("reached"),
-        F.last(F.when(F.col("strict"), F.col("node")), ignorenulls=True).over(front).alias("last"),
-    ).where("k > 1")
+    rows = rows.select("token", "node", "n", "place", k.alias("k"), F.collect_list(F.struct("node", "n")).over(order.rowsBetween(1 - few, -1)).alias("before")).where("k > 1")
     many = F.col("k") > few
     before = F.filter("before", lambda x: x["n"] * 100 >= F.col("n") * percent)
-    return rows.select("token", "node", "n", many.alias("many"), F.when(~many, before).alias("before"), F.when(many & F.col("strict") & (F.col("n") <= F.col("reached")), F.col("last")).alias("chained"))
+    return rows.select("token", "node", "n", "place", many.alias("many"), F.when(~many, before).alias("before"))
+
+
+def chains(met: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) under n-grams of many nodes, over which every link of two sets that meet there is connected.
+
+    A node and its partner share one n-gram more than the smaller size div
+    MARGIN, so a node that meets others under fewer has no links and stands in
+    no chain; a text that has one n-gram of a large class by chance stays out.
+    The others, in order of size, meet the one in front if the places within
+    the shortest prefixes allow links across.
+    """
+    able = met.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.max("many").alias("m")).where(f"m AND c >= 1 + n * {percent}L div {100 * MARGIN}")
+    rows = met.where("many").join(able.select("node"), "node", "left_semi").where(f"place <= n - (n * {percent}L + 99) div 100")
+    # An n-gram at this place, if it is the first of an overlap, leaves room for links with sizes up to this.
+    rows = rows.withColumn("reach", F.expr(f"(n - place) * {100 + percent}L div {percent} - n"))
+    order = W.partitionBy("token").orderBy("n", "node")
+    reached = F.max("reach").over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.select(F.col("node").alias("a"), F.lag("node").over(order).alias("b"), (F.col("n") <= reached).alias("near"))
+    return rows.where("near").select("a", "b").distinct()
 
 
-def candidate_edges(met: DataFrame) -> DataFrame:
+def candidate_edges(met: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) over which every link of two sets is connected.
 
     A pair that is linked shares one n-gram more than the smaller size div MARGIN
@@ -162,8 +230,7 @@ def candidate_edges(met: DataFrame) -> DataFrame:
     often = met.where("many").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
     often_a, often_b = (often.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
     saved = lacking.join(often_a, "a").join(often_b, "b").where(f"shared + least(ca, cb) >= 1 + n div {MARGIN}")
-    chains = met.where("chained IS NOT NULL").select(F.col("node").alias("a"), F.col("chained").alias("b"))
-    return pairs.where(f"shared >= 1 + n div {MARGIN}").select("a", "b").unionByName(saved.select("a", "b")).unionByName(chains.distinct())
+    return pairs.where(f"shared >= 1 + n div {MARGIN}").select("a", "b").unionByName(saved.select("a", "b")).unionByName(chains(met, percent))
 
 
 def full_sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -339,7 +406,7 @@ def tree_links(met: DataFrame, docs: DataFrame, text_col: str, width: int, perce
     A neighbourhood whose sets have at most `most` n-grams together is one unit;
     for a larger one see _cut_links.
     """
-    near = keep(components(candidate_edges(met)), "neighbourhoods")
+    near = keep(components(candidate_edges(met, percent)), "neighbourhoods")
     members = keep(near.join(met.groupBy("node").agg(F.first("n").alias("n")), "node"), "neighbours")
     large = keep(members.groupBy("root").agg(F.sum("n").alias("grams")).where(F.col("grams") > most), "large")
     one = members.join(broadcast_if_small(large), "root", "left_anti").select(F.col("root").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node")

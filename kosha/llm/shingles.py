@@ -53,13 +53,17 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(terms, starts) * down[starts] + (ends - starts).astype(np.uint64) * _LANES[4])
 
 
-def shingle_set(data: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes; with fewer words than width, the whole sequence as one; without words, none."""
-    words = word_hashes(data)
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the shingles of a text given by its word hashes, in its order; with fewer words than width, the whole sequence as one; without words, none."""
     if not len(words):
         return words
     k = min(width, len(words))
     total = np.full(len(words) - k + 1, k, dtype=np.uint64)
     for j in range(k):
         total += words[j : len(words) - k + 1 + j] * _LANES[j % len(_LANES)]
-    return np.unique(mix(total))
+    return mix(total)
+
+
+def shingle_set(data: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct shingle hashes; with fewer words than width, the whole sequence as one; without words, none."""
+    return np.unique(shingles(word_hashes(data), width))

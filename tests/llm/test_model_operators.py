@@ -92,6 +92,23 @@ def test_cut_neighbourhoods_give_the_same_classes(spark):
     assert classes[0] == classes[1] == classes[2] and classes[0]
 
 
+def test_unrelated_texts_share_no_prefix(spark):
+    """Texts of frequent words and a few words of their own, in a corpus with more n-grams than the order by frequency takes: none meets another."""
+    r = random.Random(3)
+    frame = docs(spark, [(i, " ".join(r.choice("abcdefgh") if r.random() < 0.85 else f"w{r.randrange(10**9)}" for _ in range(80))) for i in range(300)])
+    entries = jaccard.prefix_entries(frame, "text", 4, 85, jaccard.frequent_grams(frame, "text", 4, 0))
+    assert jaccard.meetings(entries, 85).count() == 0
+
+
+def test_chance_meetings_chain_no_classes(spark):
+    """Texts that have one n-gram of a class of many by chance don't join it; one that has as many as a link takes does."""
+    rows = [(t, node, 320, t) for node in range(20) for t in range(30)] + [(t, 50, 320, t) for t in range(9)]
+    rows += [(t if t == 5 else 1000 * node + t, node, 320, t) for node in range(100, 140) for t in range(30)]
+    met = shared.keep(jaccard.meetings(spark.createDataFrame(rows, "token long, node long, n int, place int"), 85))
+    edges = met.sparkSession.createDataFrame(jaccard.candidate_edges(met, 85).collect(), "a long, b long")
+    assert {r.node: r.root for r in components.components(edges).collect()} == {node: 0 for node in (*range(20), 50)}
+
+
 def test_linked_pairs_by_brute_force():
     r = random.Random(5)
     for _ in range(200):
