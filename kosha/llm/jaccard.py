@@ -8,10 +8,13 @@ several n-grams among their first ones in that order (their prefixes), so only
 prefixes are indexed, once, by a shuffle on the n-gram.
 
 Under an n-gram that few sets index, each set meets the others; a pair that meets
-under fewer n-grams than the prefixes guarantee is dropped.  Under other n-grams,
+under fewer n-grams than the prefixes guarantee is dropped.  A group of sets that
+meets under as many n-grams as that is connected in a line; pairs are counted only
+of sets that no such group connects.  Under other n-grams,
 sets that meet others under as many n-grams as a link takes, in order of size, meet
 the one before where the lengths that remain behind their places allow a link.  Sets that meet, also through others, form a
-neighbourhood.  Its sets are brought together once and stored in a prefix tree,
+neighbourhood.  Its texts are brought together once, compressed, and their sets
+are stored in a prefix tree,
 which is traversed once for all of them: at each node, every set that is still in
 the running has the overlap with the path from the root, which all sets below
 share, and leaves where the remaining lengths cannot reach the bound.  Links
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import broadcast_if_small, keep
+from .shared import broadcast_if_small, keep, slices
 from .shingles import shingle_set, shingles, word_hashes
 
 FREQUENT = 1 << 18  # most n-grams that the order puts last; which they are has no bearing on the result
@@ -66,12 +69,6 @@ def _words(batches):
                     yield node, words
 
 
-def _sets(batches, width: int):
-    """(node, set) of every text of a task that has words; of equal texts, once."""
-    for node, words in _words(batches):
-        yield node, np.unique(shingles(words, width))
-
-
 def _cells(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
@@ -183,18 +180,15 @@ def prefix_entries(docs: DataFrame, text_col: str, width: int, percent: int, ord
 
 
 def meetings(entries: DataFrame, percent: int, few: int = FEW) -> DataFrame:
-    """Entries under n-grams that several nodes index: token, node, n, place, many (over `few` nodes) and before.
+    """Entries under n-grams that several nodes index: token, node, n, place, many (over `few` nodes) and all.
 
-    before: in order of size, the nodes in front under an n-gram of few nodes
-    whose size allows a link, as (node, n).
+    all: of an n-gram of few nodes, these as (n, node) in order, in the row of the last one.
     """
     rows = entries.repartition("token").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("place").alias("place"))
     order = W.partitionBy("token").orderBy("n", "node")
     k = F.count(F.lit(1)).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    rows = rows.select("token", "node", "n", "place", k.alias("k"), F.collect_list(F.struct("node", "n")).over(order.rowsBetween(1 - few, -1)).alias("before")).where("k > 1")
-    many = F.col("k") > few
-    before = F.filter("before", lambda x: x["n"] * 100 >= F.col("n") * percent)
-    return rows.select("token", "node", "n", "place", many.alias("many"), F.when(~many, before).alias("before"))
+    rows = rows.select("token", "node", "n", "place", k.alias("k"), F.collect_list(F.struct("n", "node")).over(order.rowsBetween(1 - few, 0)).alias("all"), F.row_number().over(order).alias("i")).where("k > 1")
+    return rows.select("token", "node", "n", "place", (F.col("k") > few).alias("many"), F.when(F.expr(f"i = k AND k <= {few}"), F.col("all")).alias("all"))
 
 
 def chains(met: DataFrame, percent: int) -> DataFrame:
@@ -216,39 +210,78 @@ def chains(met: DataFrame, percent: int) -> DataFrame:
     return rows.where("near").select("a", "b").distinct()
 
 
+def _groups(met: DataFrame) -> DataFrame:
+    """Distinct groups of nodes that meet under n-grams of few: all, c (how many n-grams) and sure.
+
+    sure: c is what a link of any two takes, so each pair of them is an edge.
+    """
+    groups = met.where("all is not null").groupBy("all").agg(F.count(F.lit(1)).alias("c"))
+    return groups.withColumn("sure", F.expr(f"c >= 1 + element_at(all, -1).n div {MARGIN}"))
+
+
+def _in_line(groups: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of sure groups: neighbours in order of size, over which all pairs whose sizes allow a link are connected."""
+    steps = F.arrays_zip(F.expr("slice(all, 1, size(all) - 1)").alias("x"), F.expr("slice(all, 2, size(all) - 1)").alias("y"))
+    steps = groups.where("sure").select(F.explode(steps).alias("s")).where(f"s.x.n * 100L >= s.y.n * {percent}L")
+    return steps.select(F.col("s.x.node").alias("a"), F.col("s.y.node").alias("b"))
+
+
+def _pairs_across(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different classes that meet, how many n-grams they share, and the smaller size n.
+
+    Groups within one class are left out before pairs are made.
+    """
+    rows = groups.where("NOT sure").select(F.xxhash64("all").alias("id"), "c", F.explode("all").alias("x")).select("id", "c", "x.n", "x.node")
+    rows = rows.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.groupBy("id").agg(F.first("c").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"), F.collect_list(F.struct("n", "node", "root")).alias("all")).where("low <> high")
+    rows = rows.select("c", "all", F.explode("all").alias("y"))
+    rows = rows.select("c", "y", F.explode(F.filter("all", lambda x: (x["root"] != F.col("y.root")) & (F.struct(x["n"], x["node"]) < F.struct("y.n", "y.node")) & (x["n"] * 100 >= F.col("y.n") * percent))).alias("x"))
+    rows = rows.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), "c", F.col("x.n").alias("n"))
+    return rows.groupBy("a", "b").agg(F.sum("c").alias("shared"), F.first("n").alias("n"))
+
+
 def candidate_edges(met: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) over which every link of two sets is connected.
 
     A pair that is linked shares one n-gram more than the smaller size div MARGIN
     among the prefixes.  It met under those of few nodes; of those of many nodes it
-    shares at most as many as either of the two has.
+    shares at most as many as either of the two has.  Near copies meet in the
+    same groups under most n-grams, so groups are counted first, and pairs are
+    made only of nodes that groups met often enough don't connect.
     """
-    pairs = met.where("NOT many").select("node", "n", F.explode("before").alias("x"))
-    pairs = pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"), F.least("n", "x.n").alias("n"))
-    pairs = keep(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")), "pairs")
+    groups = keep(_groups(met), "groups")
+    sure = keep(_in_line(groups, percent), "sure")
+    pairs = keep(_pairs_across(groups, components(sure), percent), "pairs")
     lacking = pairs.where(f"shared < 1 + n div {MARGIN}")
     often = met.where("many").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
     often_a, often_b = (often.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
     saved = lacking.join(often_a, "a").join(often_b, "b").where(f"shared + least(ca, cb) >= 1 + n div {MARGIN}")
-    return pairs.where(f"shared >= 1 + n div {MARGIN}").select("a", "b").unionByName(saved.select("a", "b")).unionByName(chains(met, percent))
+    return sure.unionByName(pairs.where(f"shared >= 1 + n div {MARGIN}").select("a", "b")).unionByName(saved.select("a", "b")).unionByName(chains(met, percent))
 
 
-def full_sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """node and the sorted hashes (binary, 8 bytes each) of the sets of the wanted nodes."""
+def packed_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """node, its text compressed (binary) and the text's length in bytes, of the wanted nodes; far smaller than their sets."""
 
     def run(batches):
-        nodes, grams, held = [], [], 0
-        for node, s in _sets(batches, width):
-            nodes.append(node)
-            grams.append(s.tobytes())
-            held += len(s)
-            if held >= BATCH_GRAMS:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(grams, pa.binary())], names=["node", "grams"])
-                nodes, grams, held = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(grams, pa.binary())], names=["node", "grams"])
+        codec, seen = pa.Codec("zstd", compression_level=3), set()
+        for b in slices(batches):
+            nodes, packed, sizes = [], [], []
+            for node, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if node not in seen:
+                    seen.add(node)
+                    raw = t.as_buffer()
+                    nodes.append(node)
+                    packed.append(codec.compress(raw, asbytes=True))
+                    sizes.append(raw.size)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64())], names=["node", "packed", "bytes"])
 
     texts = _texts(docs, text_col).join(broadcast_if_small(wanted.select("node").distinct(), 1_000_000), "node", "left_semi")
-    return texts.mapInArrow(run, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
+    return texts.mapInArrow(run, "node long, packed binary, bytes long").groupBy("node").agg(F.first("packed").alias("packed"), F.first("bytes").alias("bytes"))
+
+
+def _unpacked(table: pa.Table, width: int) -> list[np.ndarray]:
+    codec = pa.Codec("zstd")
+    return [shingle_set(np.frombuffer(codec.decompress(x.as_buffer(), n), np.uint8), width) for x, n in zip(table.column("packed"), table.column("bytes").to_pylist(), strict=True)]
 
 
 class _Classes:
@@ -385,19 +418,18 @@ def linked_pairs(sets: list[np.ndarray], percent: int, stored: np.ndarray | None
     return out
 
 
-def _unit_links(table: pa.Table, percent: int) -> pa.Table:
+def _unit_links(table: pa.Table, width: int, percent: int) -> pa.Table:
     """Links (a, b) of one unit: of side 0 within it, of sides 1 and 2 between them."""
     nodes, side = table.column("node").to_numpy(), table.column("side").to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
-    pairs = linked_pairs(sets, percent, *(() if not side.any() else (side == 1, side == 2)))
+    pairs = linked_pairs(_unpacked(table, width), percent, *(() if not side.any() else (side == 1, side == 2)))
     at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
     return pa.table({"a": pa.array(nodes[at[:, 0]], pa.int64()), "b": pa.array(nodes[at[:, 1]], pa.int64())})
 
 
-def _links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of units (unit, i, j, side, node)."""
-    ready = units.join(sets, "node")
-    return ready.groupBy("unit", "i", "j").applyInArrow(lambda t: _unit_links(t, percent), "a long, b long")
+def _links(units: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of units (unit, i, j, side, node); their sets are made of the texts where they meet."""
+    ready = units.join(texts, "node")
+    return ready.groupBy("unit", "i", "j").applyInArrow(lambda t: _unit_links(t, width, percent), "a long, b long")
 
 
 def tree_links(met: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int, most: int = UNIT_GRAMS) -> DataFrame:
@@ -410,14 +442,14 @@ def tree_links(met: DataFrame, docs: DataFrame, text_col: str, width: int, perce
     members = keep(near.join(met.groupBy("node").agg(F.first("n").alias("n")), "node"), "neighbours")
     large = keep(members.groupBy("root").agg(F.sum("n").alias("grams")).where(F.col("grams") > most), "large")
     one = members.join(broadcast_if_small(large), "root", "left_anti").select(F.col("root").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node")
-    links = keep(_links(one, full_sets(docs, text_col, width, one), percent), "links")
+    links = keep(_links(one, packed_texts(docs, text_col, one), width, percent), "links")
     if large.isEmpty():
         return links
     rest = members.join(broadcast_if_small(large), "root")
-    return links.unionByName(_cut_links(rest, met, keep(full_sets(docs, text_col, width, rest), "large-sets"), percent, most))
+    return links.unionByName(_cut_links(rest, met, keep(packed_texts(docs, text_col, rest), "large-texts"), width, percent, most))
 
 
-def _cut_links(members: DataFrame, met: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
+def _cut_links(members: DataFrame, met: DataFrame, texts: DataFrame, width: int, percent: int, most: int) -> DataFrame:
     """Links of large neighbourhoods (node, root, n, grams), in units of about `most` n-grams on each side.
 
     Two dealings into parts give most classes.  Then, under each n-gram where
@@ -430,7 +462,7 @@ def _cut_links(members: DataFrame, met: DataFrame, sets: DataFrame, percent: int
     for turn in range(2):
         part = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("grams") / most)).cast("int")
         dealt = members.select(F.col("root").alias("unit"), part.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node")
-        got = keep(_links(dealt, sets, percent), "part-links")
+        got = keep(_links(dealt, texts, width, percent), "part-links")
         links = got if links is None else links.unionByName(got)
     classes = keep(components(links), "part-classes").withColumnRenamed("root", "class")
     members = keep(members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "classed-members")
@@ -450,7 +482,7 @@ def _cut_links(members: DataFrame, met: DataFrame, sets: DataFrame, percent: int
     unit = F.xxhash64("root", "band").alias("unit")
     walk = walk.join(broadcast_if_small(parts), ["root", "band", "i"]).select(unit, "i", F.pmod(F.xxhash64("node"), F.col("walks")).cast("int").alias("j"), F.lit(2).alias("side"), "node")
     store = store.join(parts, ["root", "band", "i"]).select(unit, "i", F.explode(F.sequence(F.lit(0), F.col("walks") - 1)).alias("j"), F.lit(1).alias("side"), "node")
-    return links.unionByName(_links(store.unionByName(walk), sets, percent))
+    return links.unionByName(_links(store.unionByName(walk), texts, width, percent))
 
 
 def similar_classes(docs: DataFrame, text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kosha.llm import bpe, components, jaccard, language, quality_model, shared, token_output
 from kosha.llm.bpe_queries import vocabulary
@@ -109,6 +110,21 @@ def test_chance_meetings_chain_no_classes(spark):
     assert {r.node: r.root for r in components.components(edges).collect()} == {node: 0 for node in (*range(20), 50)}
 
 
+def test_near_copies_take_little_room(spark):
+    """Sixteen near copies are connected in a line, not by 120 pairs; a group that meets under too few n-grams not at all; texts travel packed."""
+    rows = [(100 * c + t, 100 * c + node, 320, t) for c in range(5) for node in range(16) for t in range(30)]
+    rows += [(9000 + t, 900 + node, 320, t) for node in range(3) for t in range(10)] + [(9100 + t, 910 + node, 320, t) for node in range(2) for t in range(11)]
+    met = shared.keep(jaccard.meetings(spark.createDataFrame(rows, "token long, node long, n int, place int"), 85))
+    edges = jaccard.candidate_edges(met, 85).collect()
+    assert len(edges) == 5 * 15 + 1
+    assert {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {**{100 * c + node: 100 * c for c in range(5) for node in range(16)}, 910: 910, 911: 910}
+    texts = [t for _, t in corpus(11, 60) if len(t.split()) > 80]
+    frame = docs(spark, list(enumerate(texts)))
+    packed = jaccard.packed_texts(frame, "text", frame.select(F.xxhash64("text").alias("node"))).toArrow()
+    assert sorted(map(len, jaccard._unpacked(packed, 4))) == sorted(len(gram_set(t, 4)) for t in set(texts))
+    assert sum(map(len, packed.column("packed").to_pylist())) < 4 * sum(len(gram_set(t, 4)) for t in set(texts))
+
+
 def test_linked_pairs_by_brute_force():
     r = random.Random(5)
     for _ in range(200):
