@@ -39,7 +39,7 @@ old AS (SELECT k, p, v, fy % 2 = 1 AS derived FROM r WHERE p % 4 > 0), new AS (S
 j AS (SELECT coalesce(old.k, new.k) AS k, coalesce(old.p, new.p) AS p, old.k IS NULL AS added, coalesce(old.derived AND NOT new.derived, false) AS takes, old.v AS ov, new.v AS nv, old.derived AS od, new.derived AS nd FROM old FULL JOIN new ON old.k = new.k AND old.p = new.p)
 SELECT k, count(*) AS n, count_if(added) AS added, count_if(takes) AS changed, CAST(sum(CASE WHEN added OR takes THEN nv ELSE ov END) AS BIGINT) AS total, count_if(CASE WHEN added OR takes THEN nd ELSE od END) AS derived FROM j GROUP BY k""")
 def m10(spark, sf):
-    s = D.statements(spark, sf).select(F.col("isin").alias("k"), (F.col("fy") * 10 + F.col("q")).alias("p"), "fy", F.round("revenue").cast("long").alias("v"))
+    s = D.statements(spark, sf, exact=True).select(F.col("isin").alias("k"), (F.col("fy") * 10 + F.col("q")).alias("p"), "fy", F.round("revenue").cast("long").alias("v"))
     old = F.when(F.col("p") % 4 > 0, F.struct("p", F.struct("v", (F.col("fy") % 2 == 1).alias("derived")).alias("r")))
     new = F.when(F.col("p") % 7 > 0, F.struct("p", F.struct(F.when(F.col("p") % 5 == 0, F.col("v")).otherwise(F.col("v") + 1).alias("v"), (F.col("p") % 3 == 0).alias("derived")).alias("r")))
     sides = s.groupBy("k").agg(F.map_from_entries(F.collect_list(old)).alias("old"), F.map_from_entries(F.collect_list(new)).alias("new"))

@@ -87,12 +87,19 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 TX_TYPES = {"1": "Purchase", "2": "SIP", "3": "Redemption", "4": "Switch In", "5": "Dividend Payout"}
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """isin, fy, q, end, revenue, expenses, tax: one row for each supplier and fiscal quarter (April to March)."""
+def statements(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+    """isin, fy, q, end, revenue, expenses, tax: one row for each supplier and fiscal quarter (April to March).
+
+    With exact, revenue is summed in decimals (six places of price and discount),
+    so that it does not depend on the order of rows where it stands between two
+    whole numbers.
+    """
     d = F.col("l_shipdate").cast("date")
     q = (F.floor(F.pmod(F.month(d) - 4, F.lit(12)) / 3) + 1).cast("int")
     fy = F.when(F.month(d) >= 4, F.year(d) + 1).otherwise(F.year(d))
     gross, price = F.col("l_extendedprice").cast("double"), F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount"))
+    if exact:
+        price = F.col("l_extendedprice").cast("decimal(18,6)") * (1 - F.col("l_discount").cast("decimal(8,6)"))
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("isin"), fy.alias("fy"), q.alias("q"), price.alias("rev"), (gross * F.col("l_tax")).alias("tax"), (gross * 0.6).alias("exp"), F.col("l_quantity").cast("double").alias("qty"))
     out = rows.groupBy("isin", "fy", "q").agg(F.sum("rev").alias("revenue"), F.sum("exp").alias("expenses"), F.sum("tax").alias("tax"), F.sum("qty").alias("quantity"))
     end = F.last_day(F.make_date(F.when(F.col("q") == 4, F.col("fy")).otherwise(F.col("fy") - 1), F.when(F.col("q") == 4, 3).otherwise(F.col("q") * 3 + 3), F.lit(1)))

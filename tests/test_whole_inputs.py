@@ -5,9 +5,11 @@ import datetime as dt
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from kosha.operators import flows
+from kosha.sources import adapters
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +76,15 @@ def test_value_path_by_brute_force(spark, monkeypatch, schemes):
     frame = spark.createDataFrame([(*t, 100 * t[3]) for t in tx], "p int, s string, d date, units double, amount double")
     got = {(r.p, r.d): (r.value, r.flow) for r in flows.value_path(frame, spark.createDataFrame(nav, "s string, d date, nav double"), "p", "s").collect()}
     assert got == want
+
+
+def test_sums_between_whole_numbers_are_exact(spark, tmp_path):
+    """Sums of 1000001.5, which doubles miss on either side by the order of rows."""
+    prices = [0.7, 0.1, 0.2, 0.3, 0.1, 0.1, 1000000.0]
+    rows = [(k, float(p), 0.0, dt.datetime(1996, 7, 1)) for k in range(7) for p in prices[k:] + prices[:k]]
+    frame = spark.createDataFrame(rows, "l_suppkey long, l_extendedprice double, l_discount double, l_shipdate timestamp")
+    frame.withColumn("l_tax", F.lit(0.0)).withColumn("l_quantity", F.lit(1.0)).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.revenue for r in adapters.statements(spark, str(tmp_path)).collect()} != {1000001.5}  # the premise
+    got = adapters.statements(spark, str(tmp_path), exact=True).collect()
+    assert len(got) == 7 and {float(r.revenue) for r in got} == {1000001.5}
+    assert {r.total for r in __spark_entry__.queries()["m10_merge_records"](spark, str(tmp_path)).collect()} == {1000003}  # the announced record of 1997 Q2 is one more
