@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import small
+
 
 def latest_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One whole row for each key: the last in order.  One partial aggregation, no sort."""
@@ -44,12 +46,16 @@ def adjust_for_splits(prices: DataFrame, splits: DataFrame, key: str) -> DataFra
 
 
 def resolve(left: DataFrame, right: DataFrame, tiers: list[tuple[Column, Column]], left_id: str, right_id: str, prefer: list[Column]) -> DataFrame:
-    """Tiered entity resolution: each tier is an equi-join on its own key; the first tier with a match wins, then `prefer`."""
+    """Tiered entity resolution: each tier is an equi-join on its own key; the first tier with a match wins, then `prefer`.
+
+    Of the right rows of one key only the preferred one can win, so each left row meets one of them.
+    """
     found = None
     for i, (a, b) in enumerate(tiers):
         x = left.select(left_id, a.alias("k")).where("k is not null")
         y = right.select(F.col(right_id), b.alias("k"), F.struct(*prefer).alias("pref")).where("k is not null")
-        hit = x.join(y, "k").select(left_id, right_id, "pref", F.lit(i).alias("tier"))
+        y = y.groupBy("k").agg(F.max_by(F.struct(right_id, "pref"), "pref").alias("y")).select("k", "y.*")
+        hit = x.join(small(y), "k").select(left_id, right_id, "pref", F.lit(i).alias("tier"))
         found = hit if found is None else found.unionByName(hit)
     best = found.groupBy(left_id).agg(F.max_by(F.struct(right_id, "tier"), F.struct((-F.col("tier")).alias("t"), "pref")).alias("b"))
     return best.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.tier").alias("tier"))

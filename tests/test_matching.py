@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kosha.operators import audits, identity, matching, nested
+from kosha.operators import audits, identity, matching, merge, nested
 
 
 def names(spark, values):
@@ -294,3 +294,14 @@ def test_three_sources_side_by_side(spark):
     dated = lambda rows: spark.createDataFrame(rows, "k int, date date, value double")
     got = {r.k: (r.date_current, r.nav_match, r.stored_match, r.only) for r in audits.three_way(dated([(1, d, 1.0), (2, d, 1.0), (3, d, None)]), dated([(1, d, 1.00005), (2, None, 1.1), (4, d, 1.0)]), spark.createDataFrame([(1, 1.02), (3, 1.0), (5, 1.0)], "k int, value double"), "k").collect()}
     assert got == {1: (True, True, False, "hls"), 2: (False, False, False, "hl"), 3: (False, False, False, "hs"), 4: (False, False, False, "l"), 5: (False, False, False, "s")}
+
+
+def test_left_rows_meet_one_right_row_of_a_key(spark):
+    """All rows share the key of the second tier: each left row meets its preferred row only, not all of them."""
+    left = spark.range(2_000).selectExpr("id", "if(id % 2 = 0, concat('same key ', id), 'same key of none') AS name")
+    right = spark.range(1_999, -1, -1).selectExpr("id AS rid", "concat('same key ', id) AS key", "id % 1000 AS worth")
+    tiers = [(F.col("name"), F.col("key")), (F.substring("name", 1, 8), F.substring("key", 1, 8))]
+    found = merge.resolve(left, right, tiers, "id", "rid", [F.col("worth"), F.col("rid").alias("tie")])
+    assert {(r.id, r.rid, r.tier) for r in found.collect()} == {(i, 1999, 1) if i % 2 else (i, i, 0) for i in range(2_000)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == plan.count("AS y#") == 2  # both sides of the union aggregate before they join
