@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +19,8 @@ from .series import asof_fill
 # Transaction vocabulary.
 INFLOW = ("purchase", "sip", "investment", "additional purchase")
 OUTFLOW = ("redemption", "swp", "withdrawal")
-BROADCAST_SCHEMES = 200  # about 100 KB of calendar each
+BROADCAST_SCHEMES = 200  # about 30 KB of calendar each
+ROWS = 200_000  # days of paths that leave a task at once
 NEUTRAL = ("switch in", "switch out", "merger in", "merger out")
 
 
@@ -38,12 +44,196 @@ def value_path(tx: DataFrame, nav: DataFrame, by: str, key: str) -> DataFrame:
 
     tx: by, key, d, units (signed), amount (signed).  nav: key, d, nav.
 
+    Its days are those of its transactions and the NAVs of its schemes, from its
+    first transaction on.  The moves of a portfolio meet in one task; where the
+    schemes are few, their NAVs are broadcast and each path is made there as
+    arrays, so that its days are never shuffled nor taken apart by scheme.
+    """
+    keys = _few(tx, key)
+    if keys is None:
+        return _exploded(tx, nav, by, key)
+    made = _moves(tx, by, key).mapInArrow(_walk(_calendars(tx, nav, key, keys), _days), f"at {_type(tx, by)}, d int, value double, flow double")
+    return made.select(F.col("at").alias(by), F.date_from_unix_date("d").alias("d"), "value", "flow")
+
+
+def path_summary(tx: DataFrame, nav: DataFrame, by: str, key: str, bounded: bool = False) -> DataFrame:
+    """One row for each portfolio's value path, as value_path has it: days, first, last, terminal_value and flow, and its chain (see twr): counted days, x, artifacts, dd.
+
+    With bounded, of the path within its holding period (see holding_period);
+    portfolios without one are left out.
+    """
+    keys = _few(tx, key)
+    if keys is not None:
+        found = _moves(tx, by, key).mapInArrow(_walk(_calendars(tx, nav, key, keys), _ends(bounded)), f"at {_type(tx, by)}, {_SUMMARY}")
+        return found.withColumns({c: F.date_from_unix_date(c) for c in ("first", "last")}).withColumnRenamed("at", by)
+    path = _exploded(tx, nav, by, key)
+    path = holding_period(path, tx, by) if bounded else path
+    return _chain(path, by).groupBy(by).agg(
+        F.count(F.lit(1)).alias("days"), F.min("d").alias("first"), F.max("d").alias("last"), F.max_by("value", "d").alias("terminal_value"), F.sum("flow").alias("flow"),
+        F.count_if("counts").alias("counted"), F.max_by("index", "d").alias("x"), F.count_if(F.col("counts") & F.col("artifact")).alias("artifacts"), F.min("dd").alias("dd"),
+    )
+
+
+_SUMMARY = "days long, first int, last int, terminal_value double, flow double, counted long, x double, artifacts long, dd double"
+
+
+def _few(tx: DataFrame, key: str) -> list | None:
+    """The schemes of the transactions, or None if they are more than BROADCAST_SCHEMES."""
+    found = [r[0] for r in tx.select(key).where(F.col(key).isNotNull()).distinct().limit(BROADCAST_SCHEMES + 1).collect()]
+    return found if len(found) <= BROADCAST_SCHEMES else None
+
+
+def own_nav(tx: DataFrame, nav: DataFrame, key: str) -> DataFrame:
+    """The NAVs of the schemes in tx, if these are few by a filter, which goes down to where the series are made."""
+    keys = _few(tx, key)
+    return nav if keys is None else nav.where(F.col(key).isin(keys))
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _moves(tx: DataFrame, by: str, key: str) -> DataFrame:
+    """at (the portfolio), key, d (days), units and amount, a row for each day of a scheme, those of a portfolio in one task and in order."""
+    parts = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number: few moves make many days, so partitions must not be merged by size
+    rows = tx.where(F.col(by).isNotNull()).select(F.col(by).alias("at"), F.col(key).alias("key"), F.unix_date("d").alias("d"), F.coalesce("units", F.lit(0.0)).alias("units"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
+    moves = rows.repartition(parts, "at").groupBy("at", "key", "d").agg(F.sum("units").alias("units"), F.sum("amount").alias("amount"))
+    return moves.sortWithinPartitions("at", "key", "d")
+
+
+def _calendars(tx: DataFrame, nav: DataFrame, key: str, keys: list):
+    """Broadcast: the keys, the first day of all NAVs, and of each key (and of one without NAVs) the price on every day from there, the days with a NAV of its own and the first priced day.
+
+    Arrays have one place more in front, for the days before.
+    """
+    own = nav.where(F.col(key).isin(keys) & F.col("d").isNotNull()).groupBy(key, "d").agg(F.max("nav").cast("double").alias("nav"))
+    t = own.select(F.col(key).alias("key"), F.unix_date("d").alias("d"), "nav").sort("key", "d").toArrow().combine_chunks()
+    names = pa.array(keys, t.schema.field("key").type)
+    which, day, price, valued = pc.index_in(t["key"], names).to_numpy(), t["d"].to_numpy().astype(np.int64), t["nav"].to_numpy(), t["nav"].is_valid().to_numpy()
+    day0 = int(day.min()) if len(day) else 0
+    n = int(day.max()) - day0 + 1 if len(day) else 0
+    prices, real, start = np.zeros((len(keys) + 1, n + 1)), np.zeros((len(keys) + 1, n + 1), bool), np.full(len(keys) + 1, 1 << 40)
+    for k in range(len(keys)):
+        real[k, day[which == k] - day0 + 1] = True
+        days, p = day[(which == k) & valued], price[(which == k) & valued]
+        if len(days):
+            start[k] = days[0]
+            last = np.searchsorted(days, np.arange(day0, day0 + n), "right") - 1
+            prices[k, 1:] = np.where(last < 0, 0.0, p[last])
+    return tx.sparkSession.sparkContext.broadcast((keys, day0, prices, real, start))
+
+
+def _walk(calendars, make):
+    """Function of the batches of _moves that yields batches of make(rows): rows are (portfolio's place, days, value, known from, flow, end of moves) of each path; make gets them with the portfolios."""
+
+    def path(key, d, dated, units, amount, day0, prices, real, start):
+        keys, key = np.unique(key, return_inverse=True)
+        key, d, units, amount = key[dated], d[dated], units[dated], amount[dated]
+        n = prices.shape[1] - 1
+        open_ = real[keys].any(0)
+        slot = d - day0 + 1
+        inside = (slot > 0) & (slot <= n)
+        open_[slot[inside]] = True
+        low = max(0, min(int(d.min()) - day0 + 1, n + 1))
+        days = np.flatnonzero(open_[low:]) + (low + day0 - 1)
+        if not inside.all():
+            days = np.union1d(days, d)
+        place = np.searchsorted(days, d)
+        held = np.bincount(key * len(days) + place, weights=units, minlength=len(keys) * len(days)).reshape(len(keys), len(days)).cumsum(1)
+        value = (held * prices[keys][:, np.clip(days - (day0 - 1), 0, n)]).sum(0)
+        return days, value, int(np.searchsorted(days, start[keys].min())), np.bincount(place, weights=amount, minlength=len(days)), int(place.max()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, *arrays = calendars.value
+        waiting = []
+
+        def paths(t):
+            at = t["at"].combine_chunks()
+            key = pc.fill_null(pc.index_in(t["key"], pa.array(keys, t.schema.field("key").type)), len(keys)).to_numpy()
+            dated, d = t["d"].is_valid().to_numpy(), pc.fill_null(t["d"], 0).to_numpy().astype(np.int64)
+            units, amount = t["units"].to_numpy(), t["amount"].to_numpy()
+            ends = [*(np.flatnonzero(pc.not_equal(at.slice(1), at.slice(0, len(at) - 1)).to_numpy(zero_copy_only=False)) + 1).tolist(), len(at)]
+            low = 0
+            found, rows = [], 0
+            for high in ends:
+                if dated[low:high].any():
+                    found.append((low, *path(key[low:high], d[low:high], dated[low:high], units[low:high], amount[low:high], *arrays)))
+                    rows += len(found[-1][1])
+                low = high
+                if found and (rows >= ROWS or high == len(at)):
+                    yield from make(at, found)
+                    found, rows = [], 0
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            fresh = np.flatnonzero(pc.not_equal(b["at"].slice(1), b["at"].slice(0, len(b) - 1)).to_numpy(zero_copy_only=False))
+            if waiting and waiting[-1]["at"][-1].as_py() != b["at"][0].as_py():
+                yield from paths(pa.concat_tables(waiting).combine_chunks())
+                waiting = []
+            if len(fresh):
+                yield from paths(pa.concat_tables([*waiting, t.slice(0, int(fresh[-1]) + 1)]).combine_chunks())
+                waiting, t = [], t.slice(int(fresh[-1]) + 1)
+            waiting.append(t)
+        if waiting:
+            yield from paths(pa.concat_tables(waiting).combine_chunks())
+
+    return run
+
+
+def _days(at: pa.Array, paths: list) -> Iterator[pa.RecordBatch]:
+    """at, d, value and flow of all days of the paths; a value is null before any scheme has a price."""
+    sizes = [len(p[1]) for p in paths]
+    unknown = np.concatenate([np.arange(n) < p[3] for n, p in zip(sizes, paths, strict=True)])
+    of = at.take(pa.array(np.repeat([p[0] for p in paths], sizes)))
+    columns = [of, pa.array(np.concatenate([p[1] for p in paths]).astype(np.int32)), pa.array(np.concatenate([p[2] for p in paths]), mask=unknown), pa.array(np.concatenate([p[4] for p in paths]))]
+    yield pa.RecordBatch.from_arrays(columns, names=["at", "d", "value", "flow"])
+
+
+def _ends(bounded: bool):
+    """Function of paths that gives the columns of path_summary."""
+
+    def chain(value, known, flow):
+        value, flow = value[known:], flow[known:]
+        prev = value[:-1]
+        with np.errstate(all="ignore"):
+            r = (value[1:] - flow[1:] - prev) / prev
+            counts = (prev > 0) & ~((np.abs(r) < 1e-6) & (flow[1:] == 0))
+            artifact = counts & (np.abs(r) > C.ARTIFACT_RETURN)
+            index = np.exp(np.cumsum(np.where(counts & ~artifact, np.log1p(r), 0.0)))
+        if not counts.any():
+            return 0, 1.0, 0, None
+        return int(counts.sum()), float(index[-1]), int(artifact.sum()), float((index / np.maximum(1.0, np.maximum.accumulate(index)) - 1)[counts].min())
+
+    def make(at: pa.Array, paths: list) -> Iterator[pa.RecordBatch]:
+        rows, of = [], []
+        for place, days, value, known, flow, moved in paths:
+            if bounded:
+                worth = np.flatnonzero(np.abs(value[known:]) >= 1) + known
+                low, high = (worth[0], max(worth[-1] + 1, moved)) if len(worth) else (0, 0)
+                if high - low < 2:
+                    continue
+                days, value, flow, known = days[low:high], value[low:high], flow[low:high], 0
+            terminal = float(value[-1]) if known < len(days) else None
+            of.append(place)
+            rows.append((len(days), int(days[0]), int(days[-1]), terminal, float(flow.sum()), *chain(value, known, flow)))
+        if rows:
+            names = ["days", "first", "last", "terminal_value", "flow", "counted", "x", "artifacts", "dd"]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([at.take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["at", *names])
+
+    return make
+
+
+def _exploded(tx: DataFrame, nav: DataFrame, by: str, key: str) -> DataFrame:
+    """value_path for many schemes.
+
     Moves become segments of constant units, and the NAV of a scheme one array of
-    calendar days; a segment takes its slice of the array. Everything else stays
-    with its portfolio, so the days are never shuffled where the arrays are small.
+    calendar days; a segment takes its slice of the array.
     """
     tx = tx.where(F.col(by).isNotNull())
-    first = tx.groupBy(by).agg(F.min("d").alias("d"))
+    first = tx.groupBy(by).agg(F.min("d").alias("d")).where("d IS NOT NULL")
     opened = tx.select(by, key).distinct().join(first, by).select(by, key, "d", F.lit(0.0).alias("units"), F.lit(0.0).alias("amount"))
     moves = tx.select(by, key, "d", "units", "amount").where("d is not null").unionByName(opened)
     parts = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number: few moves make many days, so partitions must not be merged by size
@@ -52,8 +242,6 @@ def value_path(tx: DataFrame, nav: DataFrame, by: str, key: str) -> DataFrame:
     sofar = w.rowsBetween(W.unboundedPreceding, 0)
     held = moves.select(by, key, "d", "flow", F.sum(F.coalesce("units", F.lit(0.0))).over(sofar).alias("held"), F.lead("d").over(w).alias("until"))
     days = _calendar(tx, nav, key)
-    if tx.select(key).distinct().limit(BROADCAST_SCHEMES + 1).count() <= BROADCAST_SCHEMES:
-        days = F.broadcast(days)
     skip = F.greatest(F.datediff("d", "day0"), F.lit(0))
     size = F.greatest(F.coalesce(F.datediff("until", "day0"), F.size("days")) - skip, F.lit(0))
     move = F.array(F.struct(F.col("d"), F.lit(None).cast("double").alias("price"), F.lit(True).alias("real")))
@@ -88,16 +276,25 @@ def _marked(path: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("counts", F.coalesce(F.col("r").isNotNull() & ~((F.abs("r") < 1e-6) & (F.col("flow") == 0)), F.lit(False)))
 
 
+def _chain(path: DataFrame, by: str) -> DataFrame:
+    """_marked with the chained index and, on days that count, its fall from the running maximum; days that do not count leave the chain as it is."""
+    w = W.partitionBy(by).orderBy("d").rowsBetween(W.unboundedPreceding, 0)
+    chain = _marked(path, by).withColumn("index", F.exp(F.sum(F.when(F.col("counts") & ~F.col("artifact"), F.log1p("r")).otherwise(0.0)).over(w)))
+    return chain.withColumn("dd", F.when(F.col("counts"), F.col("index") / F.greatest(F.lit(1.0), F.max("index").over(w)) - 1))
+
+
 def twr(path: DataFrame, by: str) -> DataFrame:
     """Chained return, annualised from 90 days on, drawdown of the chain (null with artifacts).
 
     Days that do not count leave the chain as it is, so one pass gives the span of all days too.
     """
-    w = W.partitionBy(by).orderBy("d").rowsBetween(W.unboundedPreceding, 0)
-    chain = _marked(path, by).withColumn("index", F.exp(F.sum(F.when(F.col("counts") & ~F.col("artifact"), F.log1p("r")).otherwise(0.0)).over(w)))
-    chain = chain.withColumn("dd", F.when(F.col("counts"), F.col("index") / F.greatest(F.lit(1.0), F.max("index").over(w)) - 1))
-    span = F.datediff(F.max("d"), F.min("d")).alias("span")
-    g = chain.groupBy(by).agg(F.max_by("index", "d").alias("x"), F.count_if(F.col("counts") & F.col("artifact")).alias("artifacts"), F.min("dd").alias("dd"), span, F.count_if("counts").alias("n")).where("n > 0")
+    g = _chain(path, by).groupBy(by).agg(F.max_by("index", "d").alias("x"), F.count_if(F.col("counts") & F.col("artifact")).alias("artifacts"), F.min("dd").alias("dd"), F.min("d").alias("first"), F.max("d").alias("last"), F.count_if("counts").alias("counted"))
+    return chained(g, by)
+
+
+def chained(summary: DataFrame, by: str) -> DataFrame:
+    """The returns that path_summary's chains tell (see twr); portfolios without a day that counts are left out."""
+    g = summary.where("counted > 0").withColumn("span", F.datediff("last", "first"))
     return g.select(by, (F.col("x") - 1).alias("twr"), "artifacts", "span", F.when(F.col("span") >= C.MIN_CAGR_WINDOW_DAYS, F.pow("x", C.DAYS_PER_YEAR / F.col("span")) - 1).alias("annualised"), F.when(F.col("artifacts") == 0, F.col("dd")).alias("max_drawdown"))
 
 
@@ -177,6 +374,7 @@ def movement(ends: DataFrame, tx: DataFrame, nav: DataFrame, by: str, key: str)
     1 to the last such day or transaction.  Rates for a year need 90 days.
     """
     c = F.col
+    nav = own_nav(tx, nav, key)
     valued, _ = valued_only(tx, nav, key)
     known = nav.where("nav > 0").select(key).distinct()
     left_out = tx.join(known, key, "left_anti").groupBy(by).agg(F.countDistinct(key).alias("unvalued_schemes"), F.count(F.lit(1)).alias("unvalued_tx"), F.sum("amount").alias("unvalued_flow"))
@@ -191,12 +389,12 @@ def movement(ends: DataFrame, tx: DataFrame, nav: DataFrame, by: str, key: str)
     g = held(g.withColumn("from_day", F.when(c("partial"), F.least("first_tx", "first_nav")).otherwise(c("first_tx"))))
     before = opening.where("opening > 0").join(g.select(by, "from_day"), by)
     moves = valued.select(by, key, "d", "units", "amount").unionByName(before.select(by, key, c("from_day").alias("d"), c("opening").alias("units"), F.lit(0.0).alias("amount")))
-    path = held(holding_period(held(value_path(moves, nav, by, key).where("value IS NOT NULL")), valued, by))
-    ends_of = path.groupBy(by).agg(F.min("d").alias("start"), F.max("d").alias("end"), F.max_by("value", "d").alias("terminal_value"))
+    paths = held(path_summary(moves, nav, by, key, bounded=True))
+    ends_of = paths.select(by, c("first").alias("start"), c("last").alias("end"), "terminal_value")
     at_start = before.select(by, key, "opening").join(ends_of.select(by, c("start").alias("d")), by)
     priced = asof_fill(at_start.select(key, "d").distinct(), nav.select(key, "d", "nav"), key)
     opened = at_start.join(priced, [key, "d"]).groupBy(by).agg(F.sum(c("opening") * c("nav")).alias("opening_value"))
-    out = g.join(ends_of, by).join(opened, by, "left").withColumn("opening_value", F.coalesce("opening_value", F.lit(0.0))).join(twr(path, by), by)
+    out = g.join(ends_of, by).join(opened, by, "left").withColumn("opening_value", F.coalesce("opening_value", F.lit(0.0))).join(chained(paths, by), by)
     flows = out.select(by, c("start").alias("d"), (-c("opening_value")).alias("amount")).unionByName(valued.join(out.select(by), by, "left_semi").select(by, "d", (-c("amount")).alias("amount"))).unionByName(out.select(by, c("end").alias("d"), c("terminal_value").alias("amount")))
     out = out.join(xirr(flows, by).withColumnRenamed("xirr", "rate"), by, "left").join(left_out, by, "left")
     return out.select(

@@ -51,7 +51,9 @@ pv AS (SELECT hv.*, nav.nav FROM hv ASOF LEFT JOIN nav ON nav.scheme_id = hv.sch
 
 @register("f04_f05_value_path", f"WITH {_PATH} SELECT portfolio_id, d, round(value, 2) AS value, round(flow, 2) AS flow FROM path")
 def f05(spark, sf):
-    return _r(L.value_path(_scheme_tx(spark, sf), D.nav(spark, sf), "portfolio_id", "scheme_id"), 2)
+    path = L.value_path(_scheme_tx(spark, sf), D.nav(spark, sf), "portfolio_id", "scheme_id")
+    cents = lambda c: (F.signum(c) * F.floor(F.abs(c) * 100 + 0.5) / 100 + 0.0).alias(c)  # noqa: E731  as SQL rounds; F.round makes a decimal of each number
+    return path.select("portfolio_id", "d", cents("value"), cents("flow"))
 
 
 @register("f07_f09_twr", f"""WITH {_PATH}, rr AS (SELECT *, lag(value) OVER (PARTITION BY portfolio_id ORDER BY d) AS p FROM path), r2 AS (SELECT *, (value - flow - p) / p AS r FROM rr WHERE p > 0), r3 AS (SELECT *, abs(r) > 0.2 AS art FROM r2 WHERE NOT (abs(r) < 1e-6 AND flow = 0)),
@@ -59,7 +61,7 @@ ch AS (SELECT *, exp(sum(CASE WHEN art THEN 0 ELSE ln(1 + r) END) OVER (PARTITIO
 sp AS (SELECT portfolio_id, date_diff('day', min(d), max(d)) AS span FROM path GROUP BY 1), g AS (SELECT portfolio_id, arg_max(x, d) AS x, count_if(art) AS artifacts, min(dd) AS dd FROM dd GROUP BY 1)
 SELECT portfolio_id, round(x - 1, 4) AS twr, artifacts, CAST(span AS INTEGER) AS span, CASE WHEN span >= 90 THEN round(power(x, 365.25 / span) - 1, 4) END AS annualised, CASE WHEN artifacts = 0 THEN round(dd, 4) END AS max_drawdown FROM g JOIN sp USING (portfolio_id)""")
 def f07(spark, sf):
-    return _r(L.twr(L.value_path(_scheme_tx(spark, sf), D.nav(spark, sf), "portfolio_id", "scheme_id"), "portfolio_id"))
+    return _r(L.chained(L.path_summary(_scheme_tx(spark, sf), D.nav(spark, sf), "portfolio_id", "scheme_id"), "portfolio_id"))
 
 
 _FL = "fl AS (SELECT o_custkey AS portfolio_id, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 3 = 0 THEN 1.1 ELSE -1.0 END * o_totalprice AS amount FROM orders)"
@@ -210,8 +212,7 @@ def f03(spark, sf):
 i AS (SELECT path.*, count(*) OVER (PARTITION BY portfolio_id) AS n FROM path JOIN e USING (portfolio_id) JOIN m USING (portfolio_id) WHERE d BETWEEN low AND greatest(last, moved)) SELECT portfolio_id, count(*) AS days, min(d) AS first, max(d) AS last, round(sum(flow), 2) AS flow FROM i WHERE n > 1 GROUP BY 1""")
 def f06(spark, sf):
     tx = _scheme_tx(spark, sf)
-    inside = L.holding_period(L.value_path(tx, D.nav(spark, sf), "portfolio_id", "scheme_id"), tx, "portfolio_id")
-    return _r(inside.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("days"), F.min("d").alias("first"), F.max("d").alias("last"), F.sum("flow").alias("flow")), 2)
+    return _r(L.path_summary(tx, D.nav(spark, sf), "portfolio_id", "scheme_id", bounded=True).select("portfolio_id", "days", "first", "last", "flow"), 2)
 
 
 @register("a18_a19_market_weights", f"""WITH {sql.NAV}, {_STX}, su AS (SELECT portfolio_id, scheme_id, sum(units) AS u FROM stx GROUP BY ALL), it AS (SELECT portfolio_id, scheme_id, CASE WHEN (portfolio_id + scheme_id) % 5 <> 0 THEN u END AS units, CAST(10 + scheme_id AS DOUBLE) AS weight FROM su), px AS (SELECT scheme_id, arg_max(nav, d) AS nav FROM nav WHERE scheme_id <> 6 GROUP BY 1),

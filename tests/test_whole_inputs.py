@@ -1,6 +1,7 @@
 """Queries answer for whole tables: against SQL over whole tables, and against brute force."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pandas as pd
@@ -88,3 +89,24 @@ def test_sums_between_whole_numbers_are_exact(spark, tmp_path):
     got = adapters.statements(spark, str(tmp_path), exact=True).collect()
     assert len(got) == 7 and {float(r.revenue) for r in got} == {1000001.5}
     assert {r.total for r in __spark_entry__.queries()["m10_merge_records"](spark, str(tmp_path)).collect()} == {1000003}  # the announced record of 1997 Q2 is one more
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_paths_as_arrays_equal_exploded_ones(spark, monkeypatch, bounded):
+    """Random moves before, within and after the NAVs, days without moves, schemes without NAVs, NAVs and dates that are null; over several Arrow batches."""
+    rng = random.Random(5)
+    day = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    tx = [(p, rng.choice([None, *"abcx"]), rng.choice([None, *day]), rng.choice([0.0, 0.001, 5.0, -5.0, 40.0])) for p in range(60) for _ in range(rng.randrange(1, 9))] + [(None, "a", day[3], 1.0), (61, "a", None, 1.0)]
+    nav = [(s, d, rng.choice([None, 9.0, 10.0, 10.5, 14.0])) for s in "abcz" for d in day[5:50] if rng.random() < 0.4] + [("a", None, 1.0)]
+    frame, prices = spark.createDataFrame([(*t, 10 * t[3]) for t in tx], "p int, s string, d date, units double, amount double"), spark.createDataFrame(nav, "s string, d date, nav double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    rounded = lambda rows: {r[0]: tuple(round(x, 9) + 0.0 if isinstance(x, float) else x for x in r[1:]) for r in rows}
+    columns = ["p", "days", "first", "last", "terminal_value", "flow", "counted", "x", "artifacts", "dd"]
+    try:
+        arrays = rounded(flows.path_summary(frame, prices, "p", "s", bounded).select(columns).collect())
+        days = sorted((r.p, r.d, None if r.value is None else round(r.value, 9), round(r.flow, 9)) for r in flows.value_path(frame, prices, "p", "s").collect())
+        monkeypatch.setattr(flows, "BROADCAST_SCHEMES", 0)
+        assert arrays == rounded(flows.path_summary(frame, prices, "p", "s", bounded).select(columns).collect()) and len(arrays) > 30 and 61 not in arrays
+        assert days == sorted((r.p, r.d, None if r.value is None else round(r.value, 9), round(r.flow, 9)) for r in flows.value_path(frame, prices, "p", "s").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
