@@ -127,20 +127,23 @@ def _walk(calendars, make):
     """Function of the batches of _moves that yields batches of make(rows): rows are (portfolio's place, days, value, known from, flow, end of moves) of each path; make gets them with the portfolios."""
 
     def path(key, d, dated, units, amount, day0, prices, real, start):
-        keys, key = np.unique(key, return_inverse=True)
-        key, d, units, amount = key[dated], d[dated], units[dated], amount[dated]
+        fresh = key[1:] != key[:-1]  # moves stand by scheme
+        keys, key = key[np.flatnonzero(np.concatenate(([True], fresh)))], np.concatenate(([0], fresh.cumsum()))
+        if not dated.all():
+            key, d, units, amount = key[dated], d[dated], units[dated], amount[dated]
         n = prices.shape[1] - 1
+        slot = d - (day0 - 1)
+        low, high = int(slot.min()), int(slot.max())
         open_ = real[keys].any(0)
-        slot = d - day0 + 1
-        inside = (slot > 0) & (slot <= n)
-        open_[slot[inside]] = True
-        low = max(0, min(int(d.min()) - day0 + 1, n + 1))
-        days = np.flatnonzero(open_[low:]) + (low + day0 - 1)
-        if not inside.all():
-            days = np.union1d(days, d)
-        place = np.searchsorted(days, d)
-        held = np.bincount(key * len(days) + place, weights=units, minlength=len(keys) * len(days)).reshape(len(keys), len(days)).cumsum(1)
-        value = (held * prices[keys][:, np.clip(days - (day0 - 1), 0, n)]).sum(0)
+        if 0 < low and high <= n:
+            open_[slot] = True
+            slots = np.flatnonzero(open_[low:]) + low
+            days, place = slots + (day0 - 1), np.searchsorted(slots, slot)
+        else:
+            days = np.union1d(np.flatnonzero(open_[max(0, low) :]) + (max(0, low) + day0 - 1), d)
+            slots, place = np.clip(days - (day0 - 1), 0, n), np.searchsorted(days, d)
+        held = np.bincount(key * len(days) + place, weights=units, minlength=len(keys) * len(days)).reshape(len(keys), len(days))
+        value = np.einsum("ij,ij->j", held.cumsum(1, out=held), prices.take(keys, 0).take(slots, 1))
         return days, value, int(np.searchsorted(days, start[keys].min())), np.bincount(place, weights=amount, minlength=len(days)), int(place.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +202,16 @@ def _ends(bounded: bool):
         prev = value[:-1]
         with np.errstate(all="ignore"):
             r = (value[1:] - flow[1:] - prev) / prev
-            counts = (prev > 0) & ~((np.abs(r) < 1e-6) & (flow[1:] == 0))
-            artifact = counts & (np.abs(r) > C.ARTIFACT_RETURN)
-            index = np.exp(np.cumsum(np.where(counts & ~artifact, np.log1p(r), 0.0)))
-        if not counts.any():
+            size = np.abs(r)
+            counts = (prev > 0) & ((size >= 1e-6) | (flow[1:] != 0))
+            chains = counts & (size <= C.ARTIFACT_RETURN)
+            log = np.cumsum(np.log1p(np.where(chains, r, 0.0)))
+        counted = int(np.count_nonzero(counts))
+        if not counted:
             return 0, 1.0, 0, None
-        return int(counts.sum()), float(index[-1]), int(artifact.sum()), float((index / np.maximum(1.0, np.maximum.accumulate(index)) - 1)[counts].min())
+        index = np.exp(log)
+        fall = index / np.maximum(1.0, np.maximum.accumulate(index))
+        return counted, float(index[-1]), counted - int(np.count_nonzero(chains)), float(fall[counts].min() - 1)
 
     def make(at: pa.Array, paths: list) -> Iterator[pa.RecordBatch]:
         rows, of = [], []
