@@ -18,17 +18,27 @@ def merge_events(existing: Column, overrides: Column, same) -> Column:
     stood; updated counts changes for which same(old, new) does not hold, so a
     second merge reports zeros.  Null arrays are empty.
     """
+    def made(old, dates, last, by_date):
+        takes = lambda x, i: x["date"].isNotNull() & (F.array_position(dates, x["date"]) == i + 1) & F.map_contains_key(by_date, x["date"])
+        changes = lambda x, i: F.coalesce(takes(x, i), F.lit(False)) & ~F.coalesce(same(x["value"], by_date[x["date"]]), F.lit(False))
+        kept = F.transform(old, lambda x, i: F.struct(x["date"].alias("date"), F.when(changes(x, i), by_date[x["date"]]).otherwise(x["value"]).alias("value")))
+        fresh = F.filter(last, lambda x: ~F.coalesce(F.array_contains(dates, x["date"]), F.lit(False)))
+        placed = F.transform(F.concat(kept, fresh), lambda x, i: F.struct(F.coalesce(x["date"], F.lit(LAST)).alias("k"), i.alias("i"), x.alias("x")))
+        merged = F.transform(F.array_sort(placed), lambda x: x["x"])
+        return F.struct(merged.alias("merged"), F.size(fresh).alias("added"), F.size(F.filter(old, changes)).alias("updated"))
+
+    def with_last(old, new, new_dates):
+        last = F.filter(new, lambda x, i: ~F.array_contains(F.slice(new_dates, i + 2, F.size(new)), x["date"]))
+        return _let(last, lambda last: _let(F.map_from_entries(F.transform(last, lambda x: F.struct(x["date"], x["value"]))), lambda by_date: _let(dates_of(old), lambda dates: made(old, dates, last, by_date))))
+
+    dates_of = lambda xs: F.transform(xs, lambda x: x["date"])
     old, new = F.coalesce(existing, F.array().cast(_EVENTS)), F.filter(F.coalesce(overrides, F.array().cast(_EVENTS)), lambda x: x["date"].isNotNull())
-    dates, new_dates = F.transform(old, lambda x: x["date"]), F.transform(new, lambda x: x["date"])
-    last = F.filter(new, lambda x, i: ~F.array_contains(F.slice(new_dates, i + 2, F.size(new)), x["date"]))
-    by_date = F.map_from_entries(F.transform(last, lambda x: F.struct(x["date"], x["value"])))
-    takes = lambda x, i: x["date"].isNotNull() & (F.array_position(dates, x["date"]) == i + 1) & F.map_contains_key(by_date, x["date"])
-    changes = lambda x, i: F.coalesce(takes(x, i), F.lit(False)) & ~F.coalesce(same(x["value"], by_date[x["date"]]), F.lit(False))
-    kept = F.transform(old, lambda x, i: F.struct(x["date"].alias("date"), F.when(changes(x, i), by_date[x["date"]]).otherwise(x["value"]).alias("value")))
-    fresh = F.filter(last, lambda x: ~F.coalesce(F.array_contains(dates, x["date"]), F.lit(False)))
-    placed = F.transform(F.concat(kept, fresh), lambda x, i: F.struct(F.coalesce(x["date"], F.lit(LAST)).alias("k"), i.alias("i"), x.alias("x")))
-    merged = F.transform(F.array_sort(placed), lambda x: x["x"])
-    return F.struct(merged.alias("merged"), F.size(fresh).alias("added"), F.size(F.filter(old, changes)).alias("updated"))
+    return _let(old, lambda old: _let(new, lambda new: _let(dates_of(new), lambda new_dates: with_last(old, new, new_dates))))
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is made once: inside a function of an array's elements a column is made anew for each element, and so is all that it rests on."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 _EVENTS = "array<struct<date string, value double>>"

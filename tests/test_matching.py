@@ -317,3 +317,16 @@ def test_universe_rows_of_one_beginning_are_ranked_before_they_meet(spark):
     assert [(r.tier, r.key) for r in matching.match_universe(asked.where("name = 'samebeginningx'"), universe).collect()] == [(2, best)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "AS head#" in plan.split("Join Inner")[-1]  # beginnings are aggregated below the last join
+
+
+def test_events_of_a_long_history_merge_in_time(spark):
+    """300 dates: each look-up was made anew for each event, in time cubic in the dates."""
+    event = "array<struct<date string, value double>>"
+    day = [str(datetime.date(2000, 1, 1) + datetime.timedelta(days=i)) for i in range(300)]
+    old, new = [(d, 1.0) for d in day[::2]], [(d, 2.0) for d in day[::3]]
+    frame = spark.createDataFrame([(old, new)], f"old {event}, new {event}")
+    merge_ = nested.merge_events(F.col("old"), F.col("new"), lambda a, b: F.abs(a - b) <= 1e-9)
+    m = frame.select(merge_.alias("m")).first().m
+    assert [tuple(e) for e in m.merged] == [(d, 2.0 if i % 3 == 0 else 1.0) for i, d in enumerate(day) if i % 2 == 0 or i % 3 == 0] and (m.added, m.updated) == (50, 50)
+    text = frame.select(merge_.alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("map_from_entries") == 1  # the map of overrides is made once, not inside a look-up
