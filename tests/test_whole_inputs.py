@@ -110,3 +110,13 @@ def test_paths_as_arrays_equal_exploded_ones(spark, monkeypatch, bounded):
         assert days == sorted((r.p, r.d, None if r.value is None else round(r.value, 9), round(r.flow, 9)) for r in flows.value_path(frame, prices, "p", "s").collect())
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def plan_of(spark, name):
+    return __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_holding_periods_take_one_row_of_a_path(spark):
+    check_whole(spark, "f06_holding_period", "portfolio_id % 50")
+    plan = plan_of(spark, "f06_holding_period")
+    assert "MapInArrow" in plan and "Window" not in plan and "Generate" not in plan
