@@ -120,3 +120,8 @@ def test_holding_periods_take_one_row_of_a_path(spark):
     check_whole(spark, "f06_holding_period", "portfolio_id % 50")
     plan = plan_of(spark, "f06_holding_period")
     assert "MapInArrow" in plan and "Window" not in plan and "Generate" not in plan
+
+
+def test_days_of_paths_are_not_taken_apart_by_scheme(spark):
+    plan = plan_of(spark, "f04_f05_value_path")
+    assert "MapInArrow" in plan and "Generate" not in plan and " round(" not in plan
